@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of all word rules here: space and the five controls from tab to carriage return.
@@ -17,12 +18,16 @@ def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
+_LOCAL: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that the cluster names in spark.checkpoint.dir (a local one only where it is unset)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _LOCAL:
+            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="loomgraph-"))
+        base = _LOCAL[0]
     return f"{base.rstrip('/')}/loomgraph-{uuid.uuid4().hex}"
 
 
@@ -48,7 +53,36 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def words(text) -> "F.Column":
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def in_order(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], rank: str | None = None) -> DataFrame:
+    """For each row, totals over the rows before it in the order of `order` among those with equal `keys`.
+
+    sums: new column -> column added up (null: 0); rank: new column for the number of rows before. Rows are dealt by ranges of
+    keys and order, so that a key with very many rows is spread; each range's totals (a few rows each) give its start.
+    The dealt rows are written to the shared folder first: a lost executor can't change who is where. Rows equal in
+    keys and order stand in any order.
+    """
+    totals = dict(sums)
+    part = df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    part = materialize(part)
+    one = F.lit(1).cast("long")
+    add = {k: F.coalesce(F.col(v), F.lit(0)) for k, v in totals.items()} | ({rank: one} if rank else {})
+    tot = part.groupBy(*keys, "_range").agg(*(F.sum(v).alias(k) for k, v in add.items()))
+    w = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = tot.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_r"), *(F.coalesce(F.sum(k).over(w), F.lit(0)).alias(f"_b_{k}") for k in add))
+    on = part["_range"] == before["_r"]
+    for i, k in enumerate(keys):
+        on = on & part[k].eqNullSafe(before[f"_k{i}"])
+    inner = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = part.join(before, on)
+    return out.select(*(part[c] for c in df.columns), *((F.coalesce(F.sum(v).over(inner), F.lit(0)) + F.col(f"_b_{k}")).alias(k) for k, v in add.items()))
+
+
+def words(text: Column) -> Column:
     """The words of a text: runs of characters that are not white space (null: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
