@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of all word rules here: space and the five controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -53,6 +54,11 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def extended(df: DataFrame, **columns: str) -> T.StructType:
+    """The schema of df with further columns."""
+    return T.StructType([*df.schema.fields, *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in columns.items())).fields])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once however often body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -8,12 +8,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def op2_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import score
+
+    part = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5))
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), part == 1)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import plan
 
     return plan(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+#: Action, host and path of the rules.
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import judge
+
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_groups
+
+    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -29,7 +58,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_hmm_scoring": op2_hmm_scoring,
     "op3_mixing": op3_mixing,
+    "op4_url_filter": op4_url_filter,
+    "op5_multi_index": op5_multi_index,
+    "op6_simhash": op6_simhash,
     "op8_quality_rules": op8_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
 }
