@@ -50,6 +50,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import scratch
+    from .huffman import checksums, write
+
+    path = scratch(spark)
+    write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
+    return checksums(spark, path)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -58,6 +67,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import decode, encode
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = decode(encode(docs).drop("text"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import rotate
 
@@ -71,7 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_multi_index": op5_multi_index,
     "op6_simhash": op6_simhash,
+    "op7_huffman_ids": op7_huffman_ids,
     "op8_quality_rules": op8_quality_rules,
+    "op9_bpe": op9_bpe,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
