@@ -4,18 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import common, mixing, quality
+from loomgraph.llm import bpe, common, mixing, quality, simhash, suffix
+
+
+#: Bytes of a repeat: under the length of 50 short words.
+REPEAT = 250
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
     return quality.keep(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return simhash.keep_one(docs)
+
+
+def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Long passages that occur elsewhere go from the texts."""
+    return suffix.without_repeats(docs, length=REPEAT)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often, and in the order, as the curriculum takes them."""
     return mixing.mix(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("source_mix", source_mix)]
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All columns and the token ids."""
+    return bpe.encode(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("repeat_dedup", repeat_dedup),
+    ("source_mix", source_mix),
+    ("token_ids", token_ids),
+]
 
 #: SimHash components, suffix arrays and BPE are beyond SQL.
 ORACLE_SQL = None
