@@ -304,14 +304,15 @@ def remove(docs: DataFrame, text: str = "text", length: int = 400, group: int =
 
 def without_repeats(docs: DataFrame, text: str = "text", length: int = 400) -> DataFrame:
     """docs with their repeats taken out of the text (bytes of a cut character go too) and n_chars, if there is one, counted anew."""
+    names = docs.columns
     out = remove(docs.select("*", F.lit(0).alias("_mark")), text, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             whole = [k.decode("utf-8", "ignore") if t else None for t, k in zip(b.column(text).is_valid().to_pylist(), b.column("kept").to_pylist(), strict=True)]
-            cols = [pa.array(whole, pa.string()) if c == text else b.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(cols, docs.columns)
+            cols = [pa.array(whole, pa.string()) if c == text else b.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     out = out.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
