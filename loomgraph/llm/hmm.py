@@ -11,6 +11,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -51,6 +52,18 @@ def count_words(docs: DataFrame, text: str, most: int = 400_000) -> DataFrame:
     return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _frequent(counts: DataFrame, most: int) -> pd.DataFrame:
+    """The most frequent words, as many steps of the frequency scale as hold no more than `most` words together."""
+    step = F.floor(F.log2("n") * 8)
+    held, least = 0, None
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # some hundred steps
+        held += r["count"]
+        if held > most:
+            break
+        least = r["step"]
+    return counts.where(step >= least if least is not None else F.lit(False)).toPandas()
+
+
 def _hashed(word: bytes) -> int:
     return OWN + xxhash.xxh64_intdigest(word, 42) % HASHED
 
@@ -240,7 +253,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     n, v = counts.agg(F.sum("n"), F.count("*")).first()
     n, v = n or 0, v or 0
     whole = n + 0.5 * (v + 1)
-    top = counts.orderBy(F.desc("n"), "word").limit(HELD).toPandas()
+    top = _frequent(counts, HELD).sort_values(["n", "word"], ascending=[False, True])
     held, times = top["word"].tolist(), top["n"].to_numpy(np.float64)
     if END not in held:
         held, times = [*held, END], np.append(times, 0.0 if not n else counts.where(F.col("word") == END).first()["n"])
