@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import extended, materialize
 
-#: The codebooks are fitted on at most this many vectors, those with the smallest seeded hashes of their ids.
+#: The codebooks are fitted on about this many vectors, a share of all by a hash of their ids.
 SAMPLE = 20_000
 #: Rows of an index shard and of a block of queries that meet in one task.
 SHARD, QUERIES = 8192, 4096
@@ -88,7 +88,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_i
         return empty
     dim, half = sizes["n"], (sizes["n"] + 1) // 2
     ok = ok.where(F.size("v") == dim)
-    some = ok.select("id", "v").orderBy(F.xxhash64("id")).limit(SAMPLE).toPandas()
+    part = (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)) < SAMPLE / ok.count()
+    some = ok.select("id", "v").where(part).union(ok.select("id", "v").orderBy("id").limit(1)).toPandas()
     units = np.array(some["v"].tolist(), np.float64)
     units /= np.linalg.norm(units, axis=1, keepdims=True)
     c1 = kmeans(units[:, :half], books)
