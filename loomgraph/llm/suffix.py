@@ -168,7 +168,7 @@ def _hot(rows: DataFrame, length: int, group: int) -> tuple[DataFrame, DataFrame
     todo = rows.withColumns({"_a": k, "_b": F.lit(length // 2), "g": F.xxhash64("h")})
     ready, known = None, None
     while True:
-        sizes = todo.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+        sizes = materialize(todo.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > 1))
         big = materialize(sizes.where(F.col("n") > group).select("g"))
         if not big.limit(1).count():
             done = todo.join(sizes.select("g"), "g", "left_semi") if ready is not None else todo
@@ -209,11 +209,12 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400, group: int =
 
     d = docs.select(*_identity(F.col(text)), F.col(text).alias("text"))
     found = materialize(d.where(F.col("len") >= length).mapInArrow(find, "th long, len long, pos long, h long, hh long"))
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h")
+    # What an aggregate has to be joined to is written first: joins of plain tables are split where a key is hot.
+    twice = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h"))
     found = materialize(found.join(twice, "h", "left_semi"))
     # Anchors with equal contexts are one class: a class of several repeats its whole context.
     classes = materialize(found.groupBy("h", "hh").agg(F.count("*").alias("n"), F.min(F.struct("th", "len", "pos")).alias("one")))
-    mixed = classes.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > 1).select("h")
+    mixed = materialize(classes.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > 1).select("h"))
     wanted = materialize(classes.join(mixed, "h", "left_semi").select("h", "hh", "one.th", "one.len", "one.pos"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +230,7 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400, group: int =
                         ctx.append(t[max(0, w["pos"] - k) : w["pos"] + length])
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(hh, pa.int64()), pa.array(lo, pa.int32()), pa.array(ctx, pa.binary())], ["h", "hh", "lo", "ctx"])
 
-    per_text = wanted.groupBy("th", "len").agg(F.collect_list(F.struct("h", "hh", "pos")).alias("want"))
+    per_text = materialize(wanted.groupBy("th", "len").agg(F.collect_list(F.struct("h", "hh", "pos")).alias("want")))
     contexts = d.join(per_text, ["th", "len"]).select("text", "want").mapInArrow(cut, "h long, hh long, lo int, ctx binary")
     contexts = materialize(contexts.groupBy("h", "hh").agg(F.first("lo").alias("lo"), F.first("ctx").alias("ctx")))
     rows, known = _hot(contexts, length, group)
