@@ -70,14 +70,14 @@ def depleted(docs: DataFrame, text: str = "text", host: str = "source", least_do
     parts = F.transform(_lines(t), lambda x: F.struct(F.xxhash64(_normal(x)).alias("line"), F.size(words(x)).alias("n")))
     own = materialize(docs.select(F.coalesce(F.col(host), F.lit("")).alias("_host"), *_key(text), parts.alias("parts")))
     each = own.select("_host", "_text", "_chars", F.explode("parts").alias("p")).select("_host", "_text", "_chars", "p.line", "p.n")
-    texts = own.groupBy("_host").agg(F.count_distinct("_text", "_chars").alias("texts"))
+    texts = materialize(own.groupBy("_host").agg(F.count_distinct("_text", "_chars").alias("texts")))
     common = each.groupBy("_host", "line").agg(F.count_distinct("_text", "_chars").alias("docs")).where(F.col("docs") > least_docs)
     frequent = common.join(texts, "_host").where(F.col("docs") > most_share * F.col("texts")).select("_host", "line")
     frequent = materialize(frequent)
     n = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x.n)
     # Copies are counted alike, so sums over all of them compare like one text's.
     total = own.select("_host", "_text", "_chars", n.alias("n"))
-    lost = each.join(frequent, ["_host", "line"]).groupBy("_host", "_text", "_chars").agg(F.sum("n").alias("lost"))
+    lost = materialize(each.join(frequent, ["_host", "line"]).groupBy("_host", "_text", "_chars").agg(F.sum("n").alias("lost")))
     whole = total.join(lost.select("_host", "_text", "_chars"), ["_host", "_text", "_chars"], "left_semi").groupBy("_host", "_text", "_chars").agg(F.sum("n").alias("n"))
     bad = lost.join(whole, ["_host", "_text", "_chars"]).where(F.col("n") - F.col("lost") < least_left * F.col("n"))
     return materialize(bad.select("_host", "_text", "_chars"))
