@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_order
+from .common import in_order, materialize
 
 #: Fixed values of the rendering.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -30,7 +30,7 @@ def rotate(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", speak
         F.col(conv).alias("conv_id"), F.col(turn).alias("turn"),
         plain(F.coalesce(F.nullif(F.col(speaker), F.lit("")), F.lit(NOBODY))).alias("speaker"), plain(F.coalesce(F.col(text), F.lit(""))).alias("body"),
     )
-    people = m.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("participant")).distinct()
+    people = materialize(m.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("participant")).distinct())
     own, system = F.col("speaker") == F.col("participant"), F.col("speaker") == SYSTEM
     head = F.when(system, "system\n").when(own, "assistant\n").otherwise(F.concat(F.lit("user name="), "speaker", F.lit("\n")))
     views = m.join(people, m.conv_id.eqNullSafe(people._conv)).select(
