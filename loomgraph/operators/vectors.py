@@ -101,8 +101,8 @@ def best_matches(source: DataFrame, target: DataFrame, threshold: float, rows: i
     source's best of each block meet at the end, so no task holds a side whole.
     """
     n_s, n_t = max(1, -(-source.count() // rows)), max(1, -(-target.count() // rows))
-    s = source.select("key", "vector", F.pmod(F.xxhash64("key"), F.lit(n_s)).cast("int").alias("a")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_t - 1))))
-    t = target.select("key", "vector", F.pmod(F.xxhash64("key"), F.lit(n_t)).cast("int").alias("b")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n_s - 1))))
+    s = source.select(F.col("key").alias("key"), F.col("vector").alias("vector"), F.pmod(F.xxhash64("key"), F.lit(n_s)).cast("int").alias("a")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_t - 1))))
+    t = target.select(F.col("key").alias("key"), F.col("vector").alias("vector"), F.pmod(F.xxhash64("key"), F.lit(n_t)).cast("int").alias("b")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n_s - 1))))
     kinds = source.schema["key"].dataType.simpleString(), target.schema["key"].dataType.simpleString()
 
     def match(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
