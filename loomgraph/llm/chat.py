@@ -17,7 +17,7 @@ def rotate(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", speak
 
     A row is a segment (one message in one view): conv_id, participant, seq (from 0), tag (assistant, user or system), segment,
     start_char and end_char (its place in the rendered dialogue, in code points), mask_start and mask_end (what is trained on: the text
-    and end mark of the participant's own messages; else null). The rendered dialogue is the segments joined by seq. Views are kept as
+    and end mark of the participant's own messages; else empty, at the start). The rendered dialogue is the segments joined by seq. Views are kept as
     segments since one dialogue may be larger than a task: nothing is gathered by dialogue.
 
     System messages stand in every view and have none of their own; a dialogue of system messages alone has no view. Null or
@@ -41,14 +41,15 @@ def rotate(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", speak
     mine, end = F.col("tag") == "assistant", F.col("start_char") + F.col("_len")
     return placed.select(
         "conv_id", "participant", "seq", "tag", "segment", "start_char", end.alias("end_char"),
-        F.when(mine, F.col("start_char") + F.col("_head")).alias("mask_start"), F.when(mine, end - 1).alias("mask_end"),
+        F.when(mine, F.col("start_char") + F.col("_head")).otherwise(F.col("start_char")).alias("mask_start"),
+        F.when(mine, end - 1).otherwise(F.col("start_char")).alias("mask_end"),
     )
 
 
 def dialogues(segments: DataFrame) -> DataFrame:
     """Whole rendered dialogues, a row for each view with its mask spans: for dialogues that are known to fit a task."""
     part = F.sort_array(F.collect_list(F.struct("seq", "segment", "mask_start", "mask_end")))
-    spans = lambda s: F.transform(F.filter(s, lambda x: x.mask_start.isNotNull()), lambda x: F.struct(x.mask_start.alias("from"), x.mask_end.alias("to")))
+    spans = lambda s: F.transform(F.filter(s, lambda x: x.mask_end > x.mask_start), lambda x: F.struct(x.mask_start.alias("from"), x.mask_end.alias("to")))
     return (
         segments.groupBy("conv_id", "participant").agg(part.alias("s"))
         .select("conv_id", "participant", F.array_join(F.transform("s", lambda x: x.segment), "").alias("rendered"), spans(F.col("s")).alias("mask"))

@@ -25,7 +25,7 @@ def op2_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import plan
 
-    return plan(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return plan(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
 #: Action, host and path of the rules.
@@ -95,4 +95,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+BARE = r"regexp_replace({0}, '[\x20\x09-\x0D]+', '', 'g')"
+
+#: For op3: sources by code point, water-filled targets (the level at which no further source reaches its bound), and the words taken in hash order.
+MIXING_SQL = f"""WITH d AS (SELECT doc_id, source, CAST(len({WORDS.format("text")}) AS BIGINT) AS size, md5('17:' || coalesce(doc_id::VARCHAR, '')) AS h, md5(coalesce(text, '')) AS t FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+a AS (SELECT *, 3 * source_size AS cap, (SELECT sum(source_size) FROM s) AS total FROM s),
+k AS (SELECT *, row_number() OVER (ORDER BY cap * 1.0 / w, source NULLS LAST) AS i FROM a),
+o AS (SELECT *, CAST(total - coalesce(sum(cap) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) / CAST(sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS lv FROM k),
+l AS (SELECT arg_min(lv, i) AS level FROM o WHERE lv < CAST(cap AS DOUBLE) / w),
+g AS (SELECT source, source_size, w, CASE WHEN level IS NULL OR cap <= level * w THEN CAST(cap AS DOUBLE) ELSE level * w END AS target FROM a, l),
+p AS (SELECT doc_id, size, source_size, target, 0.5 * (1 - 2 * (w - 1) / 2.0) AS pull, CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS f FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+q AS (SELECT *, CAST(round(target) AS BIGINT) AS due FROM p),
+r AS (SELECT *, greatest(0, least(size, due - f)) + greatest(0, least(size, due - source_size - f)) + greatest(0, least(size, due - 2 * source_size - f)) AS taken, f / target AS x FROM q)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(abs(CASE WHEN abs(pull) < 1e-12 THEN x ELSE ((1 + pull) - sqrt((1 + pull) * (1 + pull) - 4 * pull * x)) / (2 * pull) END), 9) END AS position FROM r"""
+
+_RULES = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
+URL_SQL = f"""WITH u AS (SELECT page_id, lower(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')) AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(action, h, p) AS (VALUES {_RULES}), m AS (SELECT page_id, host, path, h || p AS rule, action FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, coalesce(arg_max(action, length(rule)), 'allow') AS verdict FROM m GROUP BY page_id, host, path"""
+
+QUALITY_SQL = f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, host, text, {WORDS.format("text")} AS w, list_filter(string_split(text, chr(10)), lambda x: {BARE.format("x")} <> '') AS l FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) > 4)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM g),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM c WHERE n > 1) GROUP BY doc_id),
+f AS (SELECT doc_id, host, text, CAST(len(w) AS BIGINT) AS n_words, CAST(length({BARE.format("text")}) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
+x AS (SELECT doc_id, host, text, lower(trim(regexp_replace(y, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS line, len({WORDS.format("y")}) AS n FROM (SELECT doc_id, host, text, unnest(l) AS y FROM w)),
+often AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS n FROM x GROUP BY 1, 2) JOIN (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY 1) USING (host) WHERE n > 10 AND n > 0.2 * texts),
+lost AS (SELECT doc_id, sum(n) AS lost FROM x SEMI JOIN often USING (host, line) GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(n_words - lost < 0.3 * n_words, false) AS kept FROM f LEFT JOIN lost USING (doc_id)"""
+
+CHAT_SQL = """WITH m AS (SELECT conv_id, turn, replace(coalesce(nullif(role, ''), 'unknown'), '<|', '< |') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS participant FROM m WHERE speaker <> 'system'),
+v AS (SELECT m.conv_id, participant, turn, speaker, body, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = participant THEN 'assistant' ELSE 'user' END AS tag FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
+h AS (SELECT *, '<|im_start|>' || CASE tag WHEN 'user' THEN 'user name=' || speaker ELSE tag END || chr(10) AS head FROM v), s AS (SELECT *, head || body || '<|im_end|>' || chr(10) AS segment FROM h),
+o AS (SELECT *, row_number() OVER k - 1 AS seq, CAST(coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, speaker, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char FROM s WINDOW k AS (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, speaker, body))
+SELECT conv_id, participant, seq, tag, segment, start_char, start_char + length(segment) AS end_char, CASE WHEN tag = 'assistant' THEN start_char + length(head) ELSE start_char END AS mask_start, CASE WHEN tag = 'assistant' THEN start_char + length(segment) - 1 ELSE start_char END AS mask_end FROM o"""
+
+ORACLE_SQL: dict[str, str] = {"op3_mixing": MIXING_SQL, "op4_url_filter": URL_SQL, "op8_quality_rules": QUALITY_SQL, "op10_chat_formatting": CHAT_SQL}
