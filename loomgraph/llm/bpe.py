@@ -45,8 +45,12 @@ class TrieEncoder:
             end = t.endswith(_END) and t != _END
             body = t.removesuffix(_END) if end else t
             self.tails[end].update(body[i:] for i in range(len(body)))
-        self.beside: dict[tuple[int, int], bool] = {}
+        self.beside: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
+        #: Tokens that merging their own symbols gives, without and with a word end (which is left out of the key).
+        ends = {t: i for t, i in self.vocab.items() if t.endswith(_END) and t != _END}
+        self.middle = {t: i for t, i in self.vocab.items() if t not in ends and self._is_whole(i)}
+        self.final = {t.removesuffix(_END): i for t, i in ends.items() if self._is_whole(i)}
 
     def _is_whole(self, t: int) -> bool:
         """Whether merging a token's own symbols gives it: its two parts are whole and may not stand side by side unmerged."""
@@ -80,20 +84,19 @@ class TrieEncoder:
                 made, t = (b, 2), parts[t][1]
 
     def _may_follow(self, u: int, t: int) -> bool:
-        if (ok := self.beside.get((u, t))) is None:
-            if len(self.beside) > 1_500_000:
+        key = u << 20 | t
+        if (ok := self.beside.get(key)) is None:
+            if len(self.beside) > 500_000:
                 self.beside.clear()
-            ok = self.beside[u, t] = self._crossing(u, t) < 0
+            ok = self.beside[key] = self._crossing(u, t) < 0
         return ok
 
-    def _last(self, prefix: str, end: bool, last: list[int]) -> int:
-        """The last token of the encoding of prefix (whose final symbol has a word end if `end`); last[d]: of its first d symbols."""
-        n, k, tails, mark = len(prefix), 1, self.tails[end], _END if end else ""
-        while k < n and prefix[n - k - 1 :] in tails:
-            k += 1
+    def _last(self, prefix: str, k: int, tokens: dict[str, int], last: list[int]) -> int:
+        """The longest fitting token of at most k symbols at the end of prefix; last[d]: the last token of its first d symbols."""
+        n, known = len(prefix), self.beside
         for k in range(k, 0, -1):
-            t = self.vocab.get(prefix[n - k :] + mark)
-            if t is not None and self._is_whole(t) and (k == n or self._may_follow(last[n - k], t)):
+            t = tokens.get(prefix[n - k :])
+            if t is not None and (k == n or known.get(last[n - k] << 20 | t) or self._may_follow(last[n - k], t)):
                 return t
         raise ValueError(f"no token ends {prefix!r}")
 
@@ -103,26 +106,39 @@ class TrieEncoder:
         for p in pieces:
             node = root
             for c in p[:-1]:
-                node = node.setdefault(c, {})
-            node.setdefault(None, []).append(p[-1])
+                if (child := node.get(c)) is None:
+                    child = node[c] = {}
+                node = child
+            if None in node:
+                node[None].append(p[-1])
+            else:
+                node[None] = [p[-1]]
         out: dict[str, tuple[int, ...]] = {}
+        tails, end_tails, width = *self.tails, self.width
         last = [-1]  # last[d]: last token of the first d symbols on the way to the node
-        stack: list[tuple[dict, str, int]] = [(root, "", 0)]
+        stack: list[tuple[dict, str]] = [(root, "")]  # nodes and the symbols to them
         while stack:
-            node, above, d = stack.pop()
-            prefix = above
+            node, prefix = stack.pop()
+            d = len(prefix)
             if d:
+                k = 2
+                while k <= d and prefix[d - k :] in tails:
+                    k += 1
+                k = min(k - 1, d)
                 del last[d:]
-                last.append(self._last(prefix, False, last))
+                last.append(self._last(prefix, k, self.middle, last))
             for c in node.pop(None, ()):
-                word = prefix + c
-                ids = [self._last(word, True, last)]
-                at = d + 1 - self.width[ids[0]]
+                word, m = prefix + c, 1
+                while m <= d and word[d - m :] in end_tails:
+                    m += 1
+                ids = [self._last(word, m, self.final, last)]
+                at = d + 1 - width[ids[0]]
                 while at:
                     ids.append(last[at])
-                    at -= self.width[ids[-1]]
+                    at -= width[ids[-1]]
                 out[word] = tuple(ids[::-1])
-            stack.extend((child, prefix + c, d + 1) for c, child in node.items())
+            for c, child in node.items():
+                stack.append((child, prefix + c))
         return out
 
 

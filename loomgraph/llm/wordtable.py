@@ -43,10 +43,18 @@ class _Index(dict):
         return n
 
 
+def chunks(text: bytes) -> list[bytes]:
+    """What stands between white space, A-Z lower-cased, so that fewer chunks differ.
+
+    The vocabulary's normaliser does the same but for special tokens; texts that may hold one are left as they are.
+    """
+    return text.split() if b"<|" in text else text.lower().split()
+
+
 class WordTable:
     """Ids of words, encoded when first seen. The table is emptied when it holds more than `limit` words."""
 
-    def __init__(self, encode: Callable[[list[bytes]], Iterable[list[int]]], limit: int = 700_000):
+    def __init__(self, encode: Callable[[list[bytes]], Iterable[list[int]]], limit: int = 500_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -74,7 +82,7 @@ class WordTable:
         if len(self.index) > self.limit:
             self.clear()
         look = self.index.__getitem__
-        rows = [np.array(list(map(look, t.split())), np.int64) if t else np.empty(0, np.int64) for t in texts]
+        rows = [np.array(list(map(look, chunks(t))), np.int64) if t else np.empty(0, np.int64) for t in texts]
         if self.index.new:
             self._learn()
         word = np.concatenate(rows) if rows else np.empty(0, np.int64)
@@ -93,7 +101,7 @@ class WordTable:
         seen = np.zeros(0, np.int64)
         for t in texts:
             if t:
-                n = np.bincount(np.array(list(map(look, t.split())), np.int64)) if not t.isspace() else np.zeros(0, np.int64)
+                n = np.bincount(np.array(list(map(look, chunks(t))), np.int64)) if not t.isspace() else np.zeros(0, np.int64)
                 if len(n) > len(seen):
                     seen = np.concatenate([seen, np.zeros(max(len(n), len(seen) * 2) - len(seen), np.int64)])
                 seen[: len(n)] += n
@@ -115,8 +123,13 @@ class ChunkEncoder:
     #: The splitter's own alternatives, over lower-case printable ASCII, where byte-level symbols are the characters.
     _ASCII = re.compile(rb"[\x21-\x7e]+")
     _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    #: The same with the letters of Latin-1, which are single code points in the normal form and have single lower-case letters.
+    _LATIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+    _LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+    #: A symbol for each byte: itself if it is printable in Latin-1, else one from 256 on.
+    _SYMBOLS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])}
 
-    def __init__(self, path: str, encode_pieces: Callable[[list[str]], dict[str, tuple[int, ...]]], limit: int = 600_000):
+    def __init__(self, path: str, encode_pieces: Callable[[list[str]], dict[str, tuple[int, ...]]], limit: int = 400_000):
         self.lib, self.encode_pieces, self.limit = tokenizer(path), encode_pieces, limit
         self.special = {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -130,6 +143,8 @@ class ChunkEncoder:
                 out.append(self.special[part])
             elif self._ASCII.fullmatch(chunk):
                 out += self._PIECES.findall(part.lower())
+            elif self._LATIN.fullmatch(part):
+                out += [p.encode().decode("latin-1").translate(self._SYMBOLS) for p in self._LATIN_PIECES.findall(part.lower())]
             elif part:
                 out += [p for p, _ in self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(part)) if p]
         return out
