@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .wordtable import ChunkEncoder, WordTable, as_bytes, default_vocabulary, slices, tokenizer
+from .wordtable import PieceTable, default_vocabulary, slices, tokenizer
 
 _END = "</w>"
 
@@ -100,8 +100,8 @@ class TrieEncoder:
                 return t
         raise ValueError(f"no token ends {prefix!r}")
 
-    def __call__(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of the pieces, by a depth-first walk over their trie."""
+    def __call__(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        """Ids of each piece, by a depth-first walk over their trie."""
         root: dict = {}
         for p in pieces:
             node = root
@@ -139,12 +139,12 @@ class TrieEncoder:
                 out[word] = tuple(ids[::-1])
             for c, child in node.items():
                 stack.append((child, prefix + c))
-        return out
+        return [out[p] for p in pieces]
 
 
 @lru_cache(maxsize=2)
-def _table(path: str) -> WordTable:
-    return WordTable(ChunkEncoder(path, TrieEncoder(path)))
+def _table(path: str) -> PieceTable:
+    return PieceTable(path, TrieEncoder(path))
 
 
 @lru_cache(maxsize=2)
@@ -167,7 +167,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", vocabu
         table = _table(path)
         for whole in batches:
             for b in slices(whole, text_col):
-                flat, n = table.ids(as_bytes(b.column(text_col)))
+                flat, n = table.ids(b.column(text_col).to_pylist())
                 at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, ids_col])

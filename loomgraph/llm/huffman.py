@@ -16,7 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .wordtable import as_bytes, default_vocabulary, library_table, slices
+from .common import discard, materialize
+from .wordtable import default_vocabulary, library_table, slices
 
 #: Longest code in bits, ids between checkpoints, ids of a block (more, if one document is longer).
 LONGEST, CHECK, BLOCK = 16, 256, 1 << 18
@@ -101,74 +102,87 @@ class Decoder:
         return out.T.ravel()[:n]
 
 
-def count_ids(docs: DataFrame, text: str, vocabulary: str, end: int) -> np.ndarray:
-    """How often each id occurs in all texts, the end of each counted."""
+def _counted(ids: DataFrame) -> np.ndarray:
+    """How often each id occurs in rows of 32-bit ids; every task sums its own before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = library_table(vocabulary), np.zeros(end + 1, np.int64)
-        for whole in batches:
-            for b in slices(whole, text):
-                n = table.word_counts(as_bytes(b.column(0)))
+        total = np.zeros(1, np.int64)
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                n = np.bincount(np.frombuffer(raw, "<u4"))
                 total = np.pad(total, (0, max(0, len(n) - len(total))))
                 total[: len(n)] += n
-                total[end] += b.num_rows
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 
-    got = docs.select(text).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary's ids
-    out = np.zeros(int(got["id"].max()) + 1 if len(got) else end + 1, np.int64)
+    got = ids.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary's ids
+    out = np.zeros(int(got["id"].max()) + 1 if len(got) else 1, np.int64)
     out[got["id"]] = got["n"]
     return out
 
 
-def write(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", vocabulary: str | None = None, end: int = 1) -> None:
-    """Write the token ids of every text, each followed by `end`, in ascending doc_id order (null first; ties by text).
-
-    Null or blank text: the end alone. Repeated rows are written each. Further columns are not read. No rows: empty tables.
-    Documents are dealt by ranges of their ids, so file order is id order, and only the counts of ids reach the driver.
-    """
-    vocabulary = vocabulary or default_vocabulary()
-    spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    lengths = code_lengths(count_ids(docs, "text", vocabulary, end))
-    used = np.flatnonzero(lengths).tolist()
-    spark.createDataFrame([(i, int(lengths[i])) for i in used], "id int, length int").coalesce(1).write.parquet(f"{path}/code")
-    sent = spark.sparkContext.broadcast(lengths.astype(np.int64))
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32())]
-    names = ["part", "seq", "before", "doc_ids", "n_ids", "bits", "checks"]
+def _blocks(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
+    """Rows of about BLOCK ids of whole documents in id order: part, seq, before, doc_ids, n_ids and the plain ids."""
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+    names = ["part", "seq", "before", "doc_ids", "n_ids", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, lens = library_table(vocabulary), sent.value
-        codes, part = canonical(lens)[0], TaskContext.get().partitionId()
+        table, part = library_table(vocabulary), TaskContext.get().partitionId()
         seq = before = size = 0
-        held_ids: list[np.ndarray] = []
+        held: list[np.ndarray] = []
         held_docs: list[int | None] = []
         held_n: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            bits, checks = pack(np.concatenate(held_ids), lens, codes)
-            row = [part, seq, before, held_docs, held_n, bits, checks.tolist()]
+            row = [part, seq, before, held_docs, held_n, np.concatenate(held).astype("<u4").tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names)
 
         for whole in batches:
             for b in slices(whole, "text", 1 << 20):
-                flat, n = table.ids(as_bytes(b.column(1)))
+                flat, n = table.ids(b.column(1).to_pylist())
                 ids = np.full(len(flat) + len(n), end, np.int64)
                 own = np.ones(len(ids), bool)
                 own[np.cumsum(n + 1) - 1] = False
                 ids[own] = flat
-                held_ids.append(ids)
+                held.append(ids)
                 held_docs += b.column(0).to_pylist()
                 held_n += (n + 1).tolist()
                 size += len(ids)
                 if size >= BLOCK:
                     yield flush()
-                    seq, before, size, held_ids, held_docs, held_n = seq + 1, before + size, 0, [], [], []
+                    seq, before, size, held, held_docs, held_n = seq + 1, before + size, 0, [], [], []
         if size:
             yield flush()
 
     dealt = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(run, "part int, seq int, before long, doc_ids array<long>, n_ids array<int>, bits binary, checks array<int>").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    return dealt.mapInArrow(run, "part int, seq int, before long, doc_ids array<long>, n_ids array<int>, ids binary")
+
+
+def write(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", vocabulary: str | None = None, end: int = 1) -> None:
+    """Write the token ids of every text, each followed by `end`, in ascending doc_id order (null first; ties by text).
+
+    Null or blank text: the end alone. Repeated rows are written each. Further columns are not read. No rows: empty tables.
+    Documents are dealt by ranges of their ids, so file order is id order. Texts are tokenised once, into blocks of plain ids in the
+    shared folder; the counts are taken from those, and each block is then coded on its own. Only counts of ids reach the driver.
+    """
+    vocabulary = vocabulary or default_vocabulary()
+    spark = docs.sparkSession
+    plain = materialize(_blocks(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), vocabulary, end))
+    lengths = code_lengths(_counted(plain.select("ids")))
+    used = np.flatnonzero(lengths).tolist()
+    spark.createDataFrame([(i, int(lengths[i])) for i in used], "id int, length int").coalesce(1).write.parquet(f"{path}/code")
+    sent = spark.sparkContext.broadcast(lengths.astype(np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lens = sent.value
+        codes = canonical(lens)[0]
+        for b in batches:
+            made = [pack(np.frombuffer(raw, "<u4").astype(np.int64), lens, codes) for raw in b.column("ids").to_pylist()]
+            cols = [pa.array([x for x, _ in made], pa.binary()), pa.array([c.tolist() for _, c in made], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [*b.schema.names[:-1], "bits", "checks"])
+
+    plain.mapInArrow(run, "part int, seq int, before long, doc_ids array<long>, n_ids array<int>, bits binary, checks array<int>").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    discard(plain)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,7 @@
-"""Token ids of whole texts through a table of their distinct words.
+"""Token ids of whole texts through a table of their distinct pieces.
 
-The vocabulary's normaliser and splitter never join characters across ASCII white space, so the ids of a text are
-those of its space-separated pieces in order, and every distinct piece has to be encoded only once.
+The vocabulary's normaliser and splitter cut a text into pieces (runs of letters, single digits, runs of other characters) that
+are encoded one by one, so the ids of a text are those of its pieces in order, and every distinct piece has to be encoded only once.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,164 +31,120 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Texts of these characters alone (printable ASCII, white space and the letters of Latin-1) are in normal form, and have single
+#: lower-case letters; they are cut by the splitter's own alternatives. All others go through the library's normaliser and splitter.
+_ODD = re.compile(r"[^\x09-\x0d\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]|<\|")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff\s]+")
+_LETTERS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
+#: A symbol for each byte: itself if it is printable in Latin-1, else one from 256 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SYMBOLS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
+#: What leads a piece that is given in symbols, and one that is a special token.
+_RAW, _SPECIAL = "\0", "\1"
+
+
 class _Index(dict):
-    """Word -> number; unseen words get the next number and are noted."""
+    """Piece -> number; unseen pieces get the next number and are noted."""
 
     def __init__(self):
         super().__init__()
-        self.new: list[bytes] = []
+        self.new: list[str] = []
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        self.new.append(word)
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
         return n
 
 
-def chunks(text: bytes) -> list[bytes]:
-    """What stands between white space, A-Z lower-cased, so that fewer chunks differ.
-
-    The vocabulary's normaliser does the same but for special tokens; texts that may hold one are left as they are.
-    """
-    return text.split() if b"<|" in text else text.lower().split()
-
+class PieceTable:
+    """Ids of texts. encode(pieces in symbols) gives the ids of pieces when first seen; beyond `limit` pieces the table is emptied."""
 
-class WordTable:
-    """Ids of words, encoded when first seen. The table is emptied when it holds more than `limit` words."""
-
-    def __init__(self, encode: Callable[[list[bytes]], Iterable[list[int]]], limit: int = 500_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, path: str, encode: Callable[[list[str]], Iterable[tuple[int, ...]]], limit: int = 500_000):
+        self.lib, self.encode, self.limit = tokenizer(path), encode, limit
+        self.special = {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.clear()
 
     def clear(self) -> None:
         self.index = _Index()
-        self.flat, self.used = np.empty(1 << 16, np.int32), 0
-        self.start, self.length, self.words = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
+        self.flat, self.start, self.length = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def pieces(self, text: str) -> list[str]:
+        if not _ODD.search(text):
+            return _PIECES.findall(text.lower())
+        out: list[str] = []
+        for part in self.cut.split(text) if self.cut and "<|" in text else (text,):
+            if part in self.special:
+                out.append(_SPECIAL + part)
+            elif part:
+                out += [_RAW + p for p, _ in self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(part)) if p]
+        return out
 
     def _learn(self) -> None:
         new, self.index.new = self.index.new, []
-        for ids in self.encode(new):
-            k = len(ids)
-            if self.used + k > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), k), np.int32)])
-            if self.words == len(self.start):
-                self.start = np.concatenate([self.start, np.empty_like(self.start)])
-                self.length = np.concatenate([self.length, np.empty_like(self.length)])
-            self.flat[self.used : self.used + k] = ids
-            self.start[self.words], self.length[self.words] = self.used, k
-            self.used += k
-            self.words += 1
-
-    def ids(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in order, and the number of each text's ids (null: none)."""
+        symbols = [p[1:] if p[0] == _RAW else p if p.isascii() else p.encode().decode("latin-1").translate(_SYMBOLS) for p in new if p[0] != _SPECIAL]
+        got = iter(self.encode(symbols))
+        ids = [(self.special[p[1:]],) if p[0] == _SPECIAL else next(got) for p in new]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
+        self.length = np.concatenate([self.length, n])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))])
+
+    def _numbers(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.index) > self.limit:
             self.clear()
         look = self.index.__getitem__
-        rows = [np.array(list(map(look, chunks(t))), np.int64) if t else np.empty(0, np.int64) for t in texts]
+        rows = [np.array(list(map(look, self.pieces(t))), np.int64) if t else np.empty(0, np.int64) for t in texts]
         if self.index.new:
             self._learn()
-        word = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        lens = self.length[word]
-        ends = np.cumsum(lens)
-        flat = self.flat[np.repeat(self.start[word] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
+        return rows
+
+    def _spread(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.length[numbers]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.start[numbers] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
+
+    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in order, and the number of each text's ids (null: none)."""
+        rows = self._numbers(texts)
+        flat, n = self._spread(np.concatenate(rows) if rows else np.empty(0, np.int64))
+        total = np.concatenate([[0], np.cumsum(n)])
         at = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)]).astype(np.int64)
-        total = np.concatenate([[0], ends])
         return flat, total[at[1:]] - total[at[:-1]]
 
-    def word_counts(self, texts: list[bytes | None]) -> np.ndarray:
-        """How often each id occurs in the texts."""
-        if len(self.index) > self.limit:
-            self.clear()
-        look = self.index.__getitem__
-        seen = np.zeros(0, np.int64)
-        for t in texts:
-            if t:
-                n = np.bincount(np.array(list(map(look, chunks(t))), np.int64)) if not t.isspace() else np.zeros(0, np.int64)
-                if len(n) > len(seen):
-                    seen = np.concatenate([seen, np.zeros(max(len(n), len(seen) * 2) - len(seen), np.int64)])
-                seen[: len(n)] += n
-        if self.index.new:
-            self._learn()
-        used = np.flatnonzero(seen)
-        lens = self.length[used]
-        ends = np.cumsum(lens)
-        flat = self.flat[np.repeat(self.start[used] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
-        return np.bincount(flat, weights=np.repeat(seen[used], lens)).astype(np.int64)
-
-
-class ChunkEncoder:
-    """Ids of pieces of text between white space: special tokens and the splitter's pieces, each distinct piece encoded once.
-
-    encode_pieces gets new byte-level pieces and returns their ids; `limit` pieces are remembered at most.
-    """
-
-    #: The splitter's own alternatives, over lower-case printable ASCII, where byte-level symbols are the characters.
-    _ASCII = re.compile(rb"[\x21-\x7e]+")
-    _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-    #: The same with the letters of Latin-1, which are single code points in the normal form and have single lower-case letters.
-    _LATIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-    _LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
-    #: A symbol for each byte: itself if it is printable in Latin-1, else one from 256 on.
-    _SYMBOLS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])}
-
-    def __init__(self, path: str, encode_pieces: Callable[[list[str]], dict[str, tuple[int, ...]]], limit: int = 400_000):
-        self.lib, self.encode_pieces, self.limit = tokenizer(path), encode_pieces, limit
-        self.special = {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()}
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, tuple[int, ...]] = {}
 
-    def split(self, chunk: bytes) -> list[int | str]:
-        out: list[int | str] = []
-        text = chunk.decode("utf-8", "replace")
-        for part in self.cut.split(text) if self.cut and "<|" in text else (text,):
-            if part in self.special:
-                out.append(self.special[part])
-            elif self._ASCII.fullmatch(chunk):
-                out += self._PIECES.findall(part.lower())
-            elif self._LATIN.fullmatch(part):
-                out += [p.encode().decode("latin-1").translate(self._SYMBOLS) for p in self._LATIN_PIECES.findall(part.lower())]
-            elif part:
-                out += [p for p, _ in self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(part)) if p]
-        return out
-
-    def __call__(self, new: list[bytes]) -> Iterable[list[int]]:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        for i in range(0, len(new), 50_000):
-            parts = [self.split(c) for c in new[i : i + 50_000]]
-            known = self.known
-            if fresh := list(dict.fromkeys(p for x in parts for p in x if isinstance(p, str) and p not in known)):
-                known.update(self.encode_pieces(fresh))
-            for x in parts:
-                if len(x) == 1 and isinstance(x[0], str):
-                    yield known[x[0]]
-                else:
-                    yield [t for p in x for t in (known[p] if isinstance(p, str) else (p,))]
-
-
-def library_pieces(path: str) -> Callable[[list[str]], dict[str, tuple[int, ...]]]:
-    """Encode pieces by the tokenizers library: plain ones many to a text, cut at the tokens that end a word."""
+def library_pieces(path: str) -> Callable[[list[str]], Iterable[tuple[int, ...]]]:
+    """Encode pieces by the tokenizers library: runs of letters many to a text, cut at the tokens that end a word."""
     t = tokenizer(path)
     ends = np.array([t.id_to_token(i).endswith("</w>") for i in range(t.get_vocab_size())])
-    plain = re.compile(r"[a-z]+")
-
-    def encode(pieces: list[str]) -> dict[str, tuple[int, ...]]:
-        out: dict[str, tuple[int, ...]] = {}
-        easy = [p for p in pieces if plain.fullmatch(p)]
+    back = {v: k for k, v in _SYMBOLS.items()}
+
+    def encode(pieces: list[str]) -> Iterable[tuple[int, ...]]:
+        out: list[tuple[int, ...] | None] = [None] * len(pieces)
+        easy: list[tuple[int, str]] = []
+        for i, p in enumerate(pieces):
+            if not p.isascii():
+                try:
+                    p = p.translate(back).encode("latin-1").decode()
+                except UnicodeError:
+                    continue
+            if _LETTERS.fullmatch(p):
+                easy.append((i, p))
         for i in range(0, len(easy), 2000):
             part = easy[i : i + 2000]
-            ids = t.encode(" ".join(part), add_special_tokens=False).ids
+            ids = t.encode(" ".join([p for _, p in part]), add_special_tokens=False).ids
             cuts = [0, *(np.flatnonzero(ends[ids]) + 1).tolist()]
-            out.update((p, tuple(ids[a:b])) for p, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
-        for p in pieces:
-            if p not in out:
-                out[p] = tuple(x.id for x in t.model.tokenize(p))
-        return out
+            for (at, _), a, b in zip(part, cuts[:-1], cuts[1:], strict=True):
+                out[at] = tuple(ids[a:b])
+        return [x if x is not None else tuple(y.id for y in t.model.tokenize(p)) for x, p in zip(out, pieces, strict=True)]
 
     return encode
 
 
-def library_table(path: str) -> WordTable:
-    return WordTable(ChunkEncoder(path, library_pieces(path)))
+@lru_cache(maxsize=2)
+def library_table(path: str) -> PieceTable:
+    """The process's table for a vocabulary: what one task has learnt serves the next."""
+    return PieceTable(path, library_pieces(path))
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
