@@ -86,7 +86,7 @@ class TrieEncoder:
     def _may_follow(self, u: int, t: int) -> bool:
         key = u << 20 | t
         if (ok := self.beside.get(key)) is None:
-            if len(self.beside) > 500_000:
+            if len(self.beside) > 300_000:
                 self.beside.clear()
             ok = self.beside[key] = self._crossing(u, t) < 0
         return ok

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
-from .wordtable import default_vocabulary, library_table, slices
+from .wordtable import default_vocabulary, library_table, slices, tokenizer
 
 #: Longest code in bits, ids between checkpoints, ids of a block (more, if one document is longer).
 LONGEST, CHECK, BLOCK = 16, 256, 1 << 18
@@ -102,14 +102,19 @@ class Decoder:
         return out.T.ravel()[:n]
 
 
-def _counted(ids: DataFrame) -> np.ndarray:
-    """How often each id occurs in rows of 32-bit ids; every task sums its own before the shuffle."""
+def _plain(vocabulary: str, end: int) -> str:
+    """The type of plain ids: 16 bits if all fit."""
+    return "<u2" if max(tokenizer(vocabulary).get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
+
+
+def _counted(ids: DataFrame, kind: str) -> np.ndarray:
+    """How often each id occurs in rows of plain ids; every task sums its own before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for b in batches:
             for raw in b.column(0).to_pylist():
-                n = np.bincount(np.frombuffer(raw, "<u4"))
+                n = np.bincount(np.frombuffer(raw, kind))
                 total = np.pad(total, (0, max(0, len(n) - len(total))))
                 total[: len(n)] += n
         used = np.flatnonzero(total)
@@ -124,7 +129,7 @@ def _counted(ids: DataFrame) -> np.ndarray:
 def _blocks(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
     """Rows of about BLOCK ids of whole documents in id order: part, seq, before, doc_ids, n_ids and the plain ids."""
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-    names = ["part", "seq", "before", "doc_ids", "n_ids", "ids"]
+    names, kind = ["part", "seq", "before", "doc_ids", "n_ids", "ids"], _plain(vocabulary, end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, part = library_table(vocabulary), TaskContext.get().partitionId()
@@ -134,8 +139,8 @@ def _blocks(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
         held_n: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            row = [part, seq, before, held_docs, held_n, np.concatenate(held).astype("<u4").tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names)
+            row = [part, seq, before, held_docs, held_n, np.concatenate(held).astype(kind).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
 
         for whole in batches:
             for b in slices(whole, "text", 1 << 20):
@@ -168,7 +173,8 @@ def write(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id"
     vocabulary = vocabulary or default_vocabulary()
     spark = docs.sparkSession
     plain = materialize(_blocks(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), vocabulary, end))
-    lengths = code_lengths(_counted(plain.select("ids")))
+    kind = _plain(vocabulary, end)
+    lengths = code_lengths(_counted(plain.select("ids"), kind))
     used = np.flatnonzero(lengths).tolist()
     spark.createDataFrame([(i, int(lengths[i])) for i in used], "id int, length int").coalesce(1).write.parquet(f"{path}/code")
     sent = spark.sparkContext.broadcast(lengths.astype(np.int64))
@@ -177,7 +183,7 @@ def write(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id"
         lens = sent.value
         codes = canonical(lens)[0]
         for b in batches:
-            made = [pack(np.frombuffer(raw, "<u4").astype(np.int64), lens, codes) for raw in b.column("ids").to_pylist()]
+            made = [pack(np.frombuffer(raw, kind).astype(np.int64), lens, codes) for raw in b.column("ids").to_pylist()]
             cols = [pa.array([x for x, _ in made], pa.binary()), pa.array([c.tolist() for _, c in made], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [*b.schema.names[:-1], "bits", "checks"])
 

@@ -59,7 +59,7 @@ class _Index(dict):
 class PieceTable:
     """Ids of texts. encode(pieces in symbols) gives the ids of pieces when first seen; beyond `limit` pieces the table is emptied."""
 
-    def __init__(self, path: str, encode: Callable[[list[str]], Iterable[tuple[int, ...]]], limit: int = 500_000):
+    def __init__(self, path: str, encode: Callable[[list[str]], Iterable[tuple[int, ...]]], limit: int = 300_000):
         self.lib, self.encode, self.limit = tokenizer(path), encode, limit
         self.special = {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -94,7 +94,7 @@ class PieceTable:
         if len(self.index) > self.limit:
             self.clear()
         look = self.index.__getitem__
-        rows = [np.array(list(map(look, self.pieces(t))), np.int64) if t else np.empty(0, np.int64) for t in texts]
+        rows = [np.fromiter(map(look, p), np.int64, len(p)) for p in (self.pieces(t) if t else () for t in texts)]
         if self.index.new:
             self._learn()
         return rows
@@ -144,7 +144,7 @@ def library_pieces(path: str) -> Callable[[list[str]], Iterable[tuple[int, ...]]
 @lru_cache(maxsize=2)
 def library_table(path: str) -> PieceTable:
     """The process's table for a vocabulary: what one task has learnt serves the next."""
-    return PieceTable(path, library_pieces(path))
+    return PieceTable(path, library_pieces(path), 1_000_000)
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
