@@ -143,7 +143,7 @@ def _blocks(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
 
         for whole in batches:
-            for b in slices(whole, "text", 1 << 20):
+            for b in slices(whole, "text", 2 << 20):
                 flat, n = table.ids(b.column(1).to_pylist())
                 ids = np.full(len(flat) + len(n), end, np.int64)
                 own = np.ones(len(ids), bool)

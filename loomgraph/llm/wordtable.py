@@ -56,6 +56,11 @@ class _Index(dict):
         return n
 
 
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """a, or a longer copy with room for n values."""
+    return a if n <= len(a) else np.concatenate([a, np.empty(max(len(a), n - len(a)), a.dtype)])
+
+
 class PieceTable:
     """Ids of texts. encode(pieces in symbols) gives the ids of pieces when first seen; beyond `limit` pieces the table is emptied."""
 
@@ -67,7 +72,8 @@ class PieceTable:
 
     def clear(self) -> None:
         self.index = _Index()
-        self.flat, self.start, self.length = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat, self.start, self.length = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.used = self.known = 0  # how much of these is filled
 
     def pieces(self, text: str) -> list[str]:
         if not _ODD.search(text):
@@ -86,9 +92,12 @@ class PieceTable:
         got = iter(self.encode(symbols))
         ids = [(self.special[p[1:]],) if p[0] == _SPECIAL else next(got) for p in new]
         n = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
-        self.length = np.concatenate([self.length, n])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))])
+        more, total = len(n), int(n.sum())
+        self.start, self.length, self.flat = _room(self.start, self.known + more), _room(self.length, self.known + more), _room(self.flat, self.used + total)
+        self.start[self.known : self.known + more] = self.used + np.cumsum(n) - n
+        self.length[self.known : self.known + more] = n
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
+        self.known, self.used = self.known + more, self.used + total
 
     def _numbers(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.index) > self.limit:
@@ -144,7 +153,7 @@ def library_pieces(path: str) -> Callable[[list[str]], Iterable[tuple[int, ...]]
 @lru_cache(maxsize=2)
 def library_table(path: str) -> PieceTable:
     """The process's table for a vocabulary: what one task has learnt serves the next."""
-    return PieceTable(path, library_pieces(path), 1_000_000)
+    return PieceTable(path, library_pieces(path), 1_500_000)
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
