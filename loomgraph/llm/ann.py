@@ -73,7 +73,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_i
     """(query_id, rank, vec_id, score) of the k nearest found for each row that satisfies `queries`, by cosine in double precision.
 
     Unit vectors' halves are quantised by two codebooks of `books` centroids; every vector is entered under its pair. A query visits pairs by
-    summed distance until they hold `share` of the entries (and k + 1 at least), and all their entries are ranked by the exact score on the
+    summed distance until they hold `share` of the entries (and 16 * (k + 1) at least), and all their entries are ranked by the exact score on the
     original vectors, ties to the smaller id. Vectors without direction near each other, as random ones, need a large share for a
     recall of 0.9; clustered ones a small one.
 
@@ -113,7 +113,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_i
     # Neighbouring cells share a shard; a cell larger than a shard is spread over several.
     first = (np.cumsum(counts) - counts) // SHARD
     spread = np.maximum(1, -(-counts // SHARD))
-    want = max(k + 1, int(np.ceil(share * counts.sum())))
+    want = max(16 * (k + 1), int(np.ceil(share * counts.sum())))  # small tables are searched whole
     asking = ok.where("q").select("id", "v").distinct()
     blocks = max(1, -(-asking.count() // QUERIES))
 
