@@ -16,7 +16,7 @@ from .common import extended, materialize
 #: The codebooks are fitted on about this many vectors, a share of all by a hash of their ids.
 SAMPLE = 20_000
 #: Rows of an index shard and of a block of queries that meet in one task.
-SHARD, QUERIES = 8192, 4096
+SHARD, QUERIES = 2048, 4096
 
 
 def _usable(vectors: DataFrame, vec: str) -> Column:
