@@ -69,7 +69,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", vec: str = "embedding", books: int = 32, share: float = 0.5) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", vec: str = "embedding", books: int = 32, share: float = 0.6) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for each row that satisfies `queries`, by cosine in double precision.
 
     Unit vectors' halves are quantised by two codebooks of `books` centroids; every vector is entered under its pair. A query visits pairs by
