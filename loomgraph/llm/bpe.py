@@ -153,6 +153,34 @@ def _token_strings(path: str) -> pa.Array:
     return pa.array([t.id_to_token(i) for i in range(t.get_vocab_size())], pa.string())
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], text_col: str, ids_col: str, path: str) -> Iterator[pa.RecordBatch]:
+    table = _table(path)
+    for whole in batches:
+        for b in slices(whole, text_col, 2 << 20):
+            flat, n = table.ids(b.column(text_col).to_pylist())
+            at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, ids_col])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], ids_col: str, out_col: str, path: str) -> Iterator[pa.RecordBatch]:
+    strings = _token_strings(path)
+    for whole in batches:
+        for i in range(0, whole.num_rows, 256):
+            b = whole.slice(i, 256)
+            lists = b.column(ids_col)
+            flat = pc.list_flatten(lists)
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(strings)))
+            if not pc.all(known).as_py() and len(flat):
+                keep = known.to_numpy(zero_copy_only=False)
+                doc = np.repeat(np.arange(len(n)), n)[keep]
+                n, flat = np.bincount(doc, minlength=len(n)), flat.filter(known)
+            at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+            text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(at), strings.take(flat)), " ")
+            yield pa.RecordBatch.from_arrays([*b.columns, text.cast(pa.string())], [*b.schema.names, out_col])
+
+
 def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """Append the token ids (ARRAY<INT>) of a text column to all columns of docs.
 
@@ -162,17 +190,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", vocabu
     path = vocabulary or default_vocabulary()
     docs = docs.drop(ids_col) if ids_col != text_col else docs
     schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(path)
-        for whole in batches:
-            for b in slices(whole, text_col):
-                flat, n = table.ids(b.column(text_col).to_pylist())
-                at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, ids_col])
-
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda b: _encoded(b, text_col, ids_col, path), schema)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", vocabulary: str | None = None) -> DataFrame:
@@ -184,22 +202,12 @@ def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", v
     path = vocabulary or default_vocabulary()
     encoded = encoded.drop(out_col) if out_col != ids_col else encoded
     schema = T.StructType([*encoded.schema.fields, T.StructField(out_col, T.StringType())])
+    return encoded.mapInArrow(lambda b: _decoded(b, ids_col, out_col, path), schema)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings = _token_strings(path)
-        for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
-                lists = b.column(ids_col)
-                flat = pc.list_flatten(lists)
-                n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(strings)))
-                if not pc.all(known).as_py() and len(flat):
-                    keep = known.to_numpy(zero_copy_only=False)
-                    doc = np.repeat(np.arange(len(n)), n)[keep]
-                    n, flat = np.bincount(doc, minlength=len(n)), flat.filter(known)
-                at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-                text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(at), strings.take(flat)), " ")
-                yield pa.RecordBatch.from_arrays([*b.columns, text.cast(pa.string())], [*b.schema.names, out_col])
-
-    return encoded.mapInArrow(run, schema)
+def round_trip(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded", vocabulary: str | None = None) -> DataFrame:
+    """encode() and decode() in one Python pass, so that ids aren't sent out and back between them."""
+    path = vocabulary or default_vocabulary()
+    docs = docs.drop(ids_col, out_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField(out_col, T.StringType())])
+    return docs.mapInArrow(lambda b: _decoded(_encoded(b, text_col, ids_col, path), ids_col, out_col, path), schema)

@@ -365,6 +365,9 @@ def test_codes_are_best_within_the_limit():
 def test_bpe_is_the_library(docs, none):
     got = bpe.decode(bpe.encode(docs.withColumn("ids", F.lit(1))))
     t = tokenizer(default_vocabulary())
+    assert Counter(map(str, bpe.round_trip(docs).collect())) == Counter(map(str, got.select(*docs.columns, "ids", "decoded").collect()))
+    odd = docs.sparkSession.createDataFrame([([5, -1, 49408, 6],), ([],), (None,)], "ids array<int>")
+    assert [r.decoded for r in bpe.decode(odd).collect()] == [t.decode([5, 6], skip_special_tokens=False), "", ""]
     for r in got.collect():
         assert r.ids == library(r.text)
         assert r.decoded == t.decode(r.ids, skip_special_tokens=False)
