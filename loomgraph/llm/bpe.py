@@ -155,12 +155,16 @@ def _token_strings(path: str) -> pa.Array:
 
 def _encoded(batches: Iterator[pa.RecordBatch], text_col: str, ids_col: str, path: str) -> Iterator[pa.RecordBatch]:
     table = _table(path)
-    for whole in batches:
-        for b in slices(whole, text_col, 2 << 20):
-            flat, n = table.ids(b.column(text_col).to_pylist())
-            at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, ids_col])
+    try:
+        for whole in batches:
+            for b in slices(whole, text_col, 2 << 20):
+                flat, n = table.ids(b.column(text_col).to_pylist())
+                at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, ids_col])
+    finally:  # a worker outlives its task; only the vocabulary stays in it
+        table.clear()
+        table.encode.beside.clear()
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], ids_col: str, out_col: str, path: str) -> Iterator[pa.RecordBatch]:
