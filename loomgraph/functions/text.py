@@ -17,6 +17,8 @@ RECORD_DELIMITER = "##"
 COMPLETION_DELIMITER = "<|COMPLETE|>"
 CJK = r"[\x{4e00}-\x{9fff}]"
 MODES = ("local", "global", "naive", "hybrid", "mix", "bypass")
+#: White space of all scripts.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 FLOAT = r"^[-+]?[0-9]*\.?[0-9]+$"
 
 
@@ -27,7 +29,7 @@ def quoted(marker: str) -> str:
 
 def strip(c: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def doc_id(c: Column) -> Column:

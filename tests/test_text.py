@@ -33,6 +33,11 @@ def test_summary(spark):
     assert one(spark, X.summary(F.col("t")), t="a" * 101) == "a" * 100 + "..."
 
 
+def test_strip_is_unicode(spark):
+    assert one(spark, X.strip(F.col("t")), t="\u3000\xa0 a b\x85\n\u200a") == "a b"
+    assert one(spark, X.strip(F.col("t")), t=" \n") == ""
+
+
 def test_estimate(spark):
     assert one(spark, X.estimate_tokens(F.col("t")), t="中文ab") == 3
 
