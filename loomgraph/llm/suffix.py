@@ -68,17 +68,17 @@ class Anchors:
         """(which text, position) of every anchor."""
         held: list[bytes] = []
         of: list[tuple[int, int]] = []
-        size = 0
+        size, last = 0, (-1, -1)
 
         def flush() -> Iterator[tuple[int, int]]:
+            nonlocal last
             lens = np.array([len(x) for x in held], np.int64)
             starts = np.cumsum(lens) - lens
             pos = self._chosen(b"".join(held), starts, lens)
             piece = np.searchsorted(starts, pos, side="right") - 1
-            last = (-1, -1)
             for p, a in zip(piece.tolist(), (pos - starts[piece]).tolist(), strict=True):
                 found = (of[p][0], of[p][1] + a)
-                if found > last:  # pieces of one text overlap
+                if found > last:  # pieces of one text overlap, in one flush or in two
                     yield found
                     last = found
 

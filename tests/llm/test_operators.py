@@ -110,6 +110,26 @@ def test_suffix_stage(docs, none):
     assert suffix.without_repeats(none).count() == 0
 
 
+def test_suffix_pieces_repeat_no_anchor(spark, monkeypatch):
+    real = random.Random(6).randbytes(5 << 19)
+    assert len(set(found := list(suffix.Anchors(400, 200)([real])))) == len(found)
+    monkeypatch.setattr(suffix, "PIECE", 500)
+    texts = [TEXTS[7].encode(), LONG.encode(), real[:4000], real[700:1900] + real[:90], b"short", LONG[2000:4000].encode()]
+    for length in (60, 400):
+        found = list(suffix.Anchors(length, length // 2)(texts))
+        assert len(set(found)) == len(found)
+        monkeypatch.setattr(suffix, "PIECE", 1 << 20)
+        assert found == list(suffix.Anchors(length, length // 2)(texts))
+        monkeypatch.setattr(suffix, "PIECE", 500)
+
+
+def test_suffix_of_texts_over_a_piece(spark):
+    unique = "".join(random.Random(7).choices("abcdefghijklmnopqrstuvwxyz ", k=5 << 19))
+    got = {r.doc_id: r for r in suffix.remove(spark.createDataFrame([(1, unique), (2, unique[1_000_000:1_002_000])], "doc_id int, text string")).collect()}
+    assert (got[1].n_removed, got[1].n_spans, got[2].n_removed) == (2000, 1, 2000)
+    assert got[1].kept.decode() == unique[:1_000_000] + unique[1_002_000:]
+
+
 # 2
 
 
