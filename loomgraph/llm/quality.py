@@ -21,6 +21,11 @@ def _normal(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, SPACE, " ")))
 
 
+def _line(line: Column) -> Column:
+    """What stands for a line."""
+    return F.xxhash64(_normal(line))
+
+
 def _repeated(w: Column) -> Column:
     """Words in 5-word windows that occur twice or more in the text."""
 
@@ -59,15 +64,15 @@ def _key(text: str) -> list[Column]:
     return [F.xxhash64(t).alias("_text"), F.length(t).alias("_chars")]
 
 
-def depleted(docs: DataFrame, text: str = "text", host: str = "source", least_docs: int = 10, most_share: float = 0.2, least_left: float = 0.3) -> DataFrame:
-    """(_host, _text, _chars) of the texts that lose too much when their host's frequent lines are taken out.
+def losses(docs: DataFrame, text: str = "text", host: str = "source", least_docs: int = 10, most_share: float = 0.2, least_left: float = 0.3) -> DataFrame:
+    """(_host, _text, _chars, _out, _bad) of the texts that hold frequent lines of their host: the lines' hashes, and whether the text loses too much.
 
     A line (lower-cased, white space made single spaces) is frequent if more than least_docs distinct texts of its host
     hold it, and more than most_share of the host's distinct texts. A text is depleted if less than least_left of its words are outside
     frequent lines. Copies of one text count once, so a copied document doesn't make its own lines frequent.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    parts = F.transform(_lines(t), lambda x: F.struct(F.xxhash64(_normal(x)).alias("line"), F.size(words(x)).alias("n")))
+    parts = F.transform(_lines(t), lambda x: F.struct(_line(x).alias("line"), F.size(words(x)).alias("n")))
     own = materialize(docs.select(F.coalesce(F.col(host), F.lit("")).alias("_host"), *_key(text), parts.alias("parts")))
     each = own.select("_host", "_text", "_chars", F.explode("parts").alias("p")).select("_host", "_text", "_chars", "p.line", "p.n")
     texts = materialize(own.groupBy("_host").agg(F.count_distinct("_text", "_chars").alias("texts")))
@@ -77,24 +82,30 @@ def depleted(docs: DataFrame, text: str = "text", host: str = "source", least_do
     n = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x.n)
     # Copies are counted alike, so sums over all of them compare like one text's.
     total = own.select("_host", "_text", "_chars", n.alias("n"))
-    lost = materialize(each.join(frequent, ["_host", "line"]).groupBy("_host", "_text", "_chars").agg(F.sum("n").alias("lost")))
+    found = each.join(frequent, ["_host", "line"]).groupBy("_host", "_text", "_chars")
+    lost = materialize(found.agg(F.sum("n").alias("lost"), F.collect_set("line").alias("_out")))
     whole = total.join(lost.select("_host", "_text", "_chars"), ["_host", "_text", "_chars"], "left_semi").groupBy("_host", "_text", "_chars").agg(F.sum("n").alias("n"))
-    bad = lost.join(whole, ["_host", "_text", "_chars"]).where(F.col("n") - F.col("lost") < least_left * F.col("n"))
-    return materialize(bad.select("_host", "_text", "_chars"))
+    bad = (F.col("n") - F.col("lost") < least_left * F.col("n")).alias("_bad")
+    return materialize(lost.join(whole, ["_host", "_text", "_chars"]).select("_host", "_text", "_chars", "_out", bad))
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", **limits: float) -> DataFrame:
-    """All rows and columns of docs with their figures and `kept`: false if the base rules or the shared lines speak against it.
+    """All rows and columns of docs with their figures, `kept` (false if the base rules or the shared lines speak against it) and `cleaned`.
 
+    cleaned: the text without its host's frequent lines, every occurrence; the figures are those of the whole text.
     Null text: empty, which fails; a null host is the host ""; repeated rows get one verdict; an empty table stays empty;
-    columns named like the new ones are replaced. limits: those of depleted().
+    columns named like the new ones are replaced. limits: those of losses().
     """
-    bad = depleted(docs, text, host, **limits)
+    lost = losses(docs, text, host, **limits)
     out = figures(docs, text).withColumns({"_h": F.coalesce(F.col(host), F.lit("")), "_t": _key(text)[0], "_c": _key(text)[1]})
-    out = out.drop("kept").join(bad.withColumn("_bad", F.lit(True)), (out._h == bad._host) & (out._t == bad._text) & (out._c == bad._chars), "left")
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("_bad").isNull()).drop("_h", "_t", "_c", "_host", "_text", "_chars", "_bad")
+    out = out.drop("kept").join(lost, (out._h == lost._host) & (out._t == lost._text) & (out._c == lost._chars), "left")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("_out"), _line(x))), "\n")
+    out = out.withColumns({"kept": ~F.col("base_failed") & ~F.coalesce("_bad", F.lit(False)), "cleaned": F.when(F.col("_out").isNull(), F.col(text)).otherwise(left)})
+    return out.drop("_h", "_t", "_c", "_host", "_text", "_chars", "_out", "_bad")
 
 
-def keep(docs: DataFrame, **options) -> DataFrame:
-    """The documents that judge() keeps, with their own columns."""
-    return judge(docs.select("*", F.lit(0).alias("_mark")), **options).where("kept").select(*docs.columns)
+def keep(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents that judge() keeps, with their own columns: the text without frequent lines, and n_chars, if there is one, counted anew."""
+    out = judge(docs.select("*", F.lit(0).alias("_mark")), text, **options).where("kept").withColumn(text, F.col("cleaned"))
+    out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return out.select(*docs.columns)

@@ -439,6 +439,18 @@ def test_shared_lines(spark):
     assert got[200] and not got[201]
 
 
+def test_shared_lines_go_from_the_texts(spark):
+    menu = "home about contact us imprint privacy terms help login now"
+    body = lambda i: prose(40, i) + "\n\n" + prose(40, 100 + i)
+    rows = [(i, f"  {menu.upper()}\n{body(i)}\n{menu}", "en", "a", 0) for i in range(30)] + [(200, menu + "\n" + body(200), "en", "b", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in quality.keep(docs).collect()}
+    assert {i: r.text for i, r in got.items()} == {i: body(i) for i in range(30)} | {200: rows[-1][1]}
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    judged = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert all(judged[i].text == t and judged[i].cleaned == got[i].text for i, t, *_ in rows)
+
+
 # 10
 
 
