@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from loomgraph.llm import bpe, common, mixing, quality, simhash, suffix
 
 
+#: Distinct texts of a source that may share a line.
+LINE_DOCS = 10
 #: Bytes of a repeat: under the length of 50 short words.
 REPEAT = 250
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality.keep(docs)
+    """Documents that the quality rules reject go, and lines that more than LINE_DOCS distinct texts of a source hold, however large it is."""
+    return quality.keep(docs, least_docs=LINE_DOCS, most_share=0.0)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,3 +36,14 @@ def test_run(spark, tmp_path):
     spark.createDataFrame([(1, "a b c d e f g h i j k", "en", "s", 21)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert pipeline.run(spark, str(tmp_path)).select("doc_id").collect()[0].doc_id == 1
     assert quality.keep(spark.read.parquet(f"{tmp_path}/documents.parquet")).count() == 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_some_lines_of_the_tables_are_over_the_limit(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    line = F.explode(F.split("text", "\n")).alias("line")
+    spread = docs.select("source", "text", line).groupBy("source", "line").agg(F.count_distinct("text").alias("n")).where("n > 50 and trim(line) <> ''")
+    assert spread.count()
+    kept = pipeline.common.materialize(pipeline.quality_rules(spark, docs, ""))
+    held = kept.select("source", line).join(spread, ["source", "line"], "left_semi")
+    assert kept.count() > 0 and held.count() == 0
