@@ -9,8 +9,8 @@ from loomgraph.llm import bpe, common, mixing, quality, simhash, suffix
 
 #: Distinct texts of a source that may share a line.
 LINE_DOCS = 10
-#: Bytes of a repeat: under the length of 50 short words.
-REPEAT = 250
+#: Words of a repeat: over 50.
+REPEAT = 51
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long passages that occur elsewhere go from the texts."""
-    return suffix.without_repeats(docs, length=REPEAT)
+    return suffix.without_repeats(docs, words=REPEAT)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

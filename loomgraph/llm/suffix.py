@@ -8,6 +8,7 @@ how far a repeat reaches to the left with any other occurrence in it, next to it
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -24,6 +25,12 @@ from .wordtable import as_bytes, slices
 PIECE = 1 << 20
 #: Contexts of one anchor that are compared in one task; larger groups are split first.
 GROUP = 20_000
+#: Bytes that stand for a word where passages are judged in words.
+WIDTH = 4
+
+#: A word: bytes between white space, but each character of scripts without spaces (U+3000 to U+D7FF) by itself.
+_WORD = re.compile(rb"[\xe3-\xed][\x80-\xbf]{2}|[^\x20\x09-\x0d\xe3-\xed]+|[\xe3-\xed]")
+_UNSPACED = re.compile(rb"[\xe3-\xed]")
 
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -152,6 +159,29 @@ def extents(lefts: list[bytes], rights: list[bytes], length: int) -> list[tuple[
     return [(a, b) if b else None for a, b in zip(left, right, strict=True)]
 
 
+def word_ids(text: bytes) -> bytes:
+    """WIDTH bytes for each word, equal for equal words."""
+    words = _WORD.findall(text) if _UNSPACED.search(text) else text.split()
+    return b"".join(map(xxhash.xxh32_digest, words))
+
+
+def _in_bytes(text: bytes, spans: list[dict], least: int) -> list[dict]:
+    """Byte runs of the text for sorted runs in its word_ids; of these, only whole words count, `least` bytes or more of them."""
+    runs: list[list[int]] = []
+    for x in spans:
+        start, end = -(-x["start"] // WIDTH), x["end"] // WIDTH
+        if WIDTH * (end - start) < least:
+            continue
+        if runs and start <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], end)
+        else:
+            runs.append([start, end])
+    if not runs:
+        return []
+    at = [m.span() for m in _WORD.finditer(text)]
+    return [{"start": at[a][0], "end": at[b - 1][1]} for a, b in runs]
+
+
 def _identity(text: Column) -> list[Column]:
     t = F.coalesce(text, F.lit(""))
     return [F.xxhash64(t).alias("th"), F.octet_length(t).cast("long").alias("len")]
@@ -185,18 +215,22 @@ def _hot(rows: DataFrame, length: int, group: int) -> tuple[DataFrame, DataFrame
         todo = materialize(split.withColumn("g", key))
 
 
-def repeats(docs: DataFrame, text: str = "text", length: int = 400, group: int = GROUP) -> DataFrame:
+def repeats(docs: DataFrame, text: str = "text", length: int = 400, group: int = GROUP, words: int | None = None) -> DataFrame:
     """(th, len, spans): for each distinct text (by hash and length) with repeats, the ARRAY<STRUCT<start, end>> of byte runs to remove.
 
     Matches lie within one text each; strings overlap freely; the other occurrence may be in the same text.
+    words: repeats of so many words instead of `length` bytes; the runs are then in word_ids of the text.
     """
+    length = WIDTH * words if words else length
     k = length // 2
+    encoded = (lambda texts: [word_ids(t) for t in texts]) if words else (lambda texts: texts)
+    least = words if words else length
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length, k)
         for whole in batches:
             for b in slices(whole, "text"):
-                texts = as_bytes(b.column(2))
+                texts = encoded(as_bytes(b.column(2)))
                 which, pos = [], []
                 for i, a in anchors(texts):
                     which.append(i)
@@ -204,11 +238,12 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400, group: int =
                 h = [xxhash.xxh64_intdigest(texts[i][a : a + k]) for i, a in zip(which, pos, strict=True)]
                 hh = [xxhash.xxh64_intdigest(texts[i][max(0, a - k) : a + length], min(a, k)) for i, a in zip(which, pos, strict=True)]
                 at = pa.array(which, pa.int64())
-                cols = [b.column(0).take(at), b.column(1).take(at), pa.array(pos, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (h, hh))]
-                yield pa.RecordBatch.from_arrays(cols, ["th", "len", "pos", "h", "hh"])
+                right = pa.array([min(len(texts[i]) - a, length) for i, a in zip(which, pos, strict=True)], pa.int32())
+                cols = [b.column(0).take(at), b.column(1).take(at), pa.array(pos, pa.int64()), right, *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (h, hh))]
+                yield pa.RecordBatch.from_arrays(cols, ["th", "len", "pos", "right", "h", "hh"])
 
     d = docs.select(*_identity(F.col(text)), F.col(text).alias("text"))
-    found = materialize(d.where(F.col("len") >= length).mapInArrow(find, "th long, len long, pos long, h long, hh long"))
+    found = materialize(d.where(F.col("len") >= least).mapInArrow(find, "th long, len long, pos long, right int, h long, hh long"))
     # What an aggregate has to be joined to is written first: joins of plain tables are split where a key is hot.
     twice = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h"))
     found = materialize(found.join(twice, "h", "left_semi"))
@@ -220,7 +255,7 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400, group: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                texts = as_bytes(b.column(0))
+                texts = encoded(as_bytes(b.column(0)))
                 h, hh, lo, ctx = [], [], [], []
                 for t, want in zip(texts, b.column(1).to_pylist(), strict=True):
                     for w in want:
@@ -258,22 +293,22 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400, group: int =
     reach = reach.unionByName(known) if known is not None else reach
     reach = materialize(reach.groupBy("h", "hh").agg(F.max("left").alias("left"), F.max("right").alias("right")))
     alone = classes.where("n = 1").join(reach, ["h", "hh"]).select("one.*", "left", "right")
-    both = found.join(classes.where("n > 1").select("h", "hh"), ["h", "hh"], "left_semi").select("th", "len", "pos", F.least(F.col("pos"), F.lit(k)).cast("int").alias("left"), F.least(F.col("len") - F.col("pos"), F.lit(length)).cast("int").alias("right"))
+    both = found.join(classes.where("n > 1").select("h", "hh"), ["h", "hh"], "left_semi").select("th", "len", "pos", F.least(F.col("pos"), F.lit(k)).cast("int").alias("left"), "right")
     span = F.struct((F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"))
     every = both.unionByName(alone).select("th", "len", span.alias("span")).distinct()
     return materialize(every.groupBy("th", "len").agg(F.array_sort(F.collect_list("span")).alias("spans")))
 
 
-def remove(docs: DataFrame, text: str = "text", length: int = 400, group: int = GROUP) -> DataFrame:
+def remove(docs: DataFrame, text: str = "text", length: int = 400, group: int = GROUP, words: int | None = None) -> DataFrame:
     """Append kept (BINARY: the text without its repeats), n_bytes, n_removed and n_spans to all rows and columns of docs.
 
     Every occurrence of a repeat goes, the first included, judged on the input. Null text: empty. Texts shorter than `length` stay
     whole; an exact copy of a longer text goes whole, wherever it stands; repeated rows are copies; columns named like the new ones are
-    replaced; no rows: none.
+    replaced; no rows: none. words: repeats of so many words go instead, whatever their bytes and the white space between them.
     """
     new = ["kept", "n_bytes", "n_removed", "n_spans"]
     docs = docs.drop(*(c for c in new if c != text and c in docs.columns))
-    spans = repeats(docs, text, length, group)
+    spans = repeats(docs, text, length, group, words)
     th, size = _identity(F.col(text))
     keyed = docs.withColumns({"_th": th, "_len": size})
     joined = keyed.join(spans, (keyed._th == spans.th) & (keyed._len == spans.len), "left").drop("_th", "_len", "th", "len")
@@ -286,7 +321,7 @@ def remove(docs: DataFrame, text: str = "text", length: int = 400, group: int =
                 for t, s in zip(as_bytes(b.column(text)), b.column("spans").to_pylist(), strict=True):
                     t = t or b""
                     rest, at, n = [], 0, 0
-                    for x in s or ():
+                    for x in _in_bytes(t, s or [], WIDTH * words) if words else s or ():
                         if x["start"] > at or not n:
                             rest.append(t[at : x["start"]])
                             n += 1
@@ -303,10 +338,10 @@ def remove(docs: DataFrame, text: str = "text", length: int = 400, group: int =
     return joined.mapInArrow(run, schema)
 
 
-def without_repeats(docs: DataFrame, text: str = "text", length: int = 400) -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", length: int = 400, words: int | None = None) -> DataFrame:
     """docs with their repeats taken out of the text (bytes of a cut character go too) and n_chars, if there is one, counted anew."""
     names = docs.columns
-    out = remove(docs.select("*", F.lit(0).alias("_mark")), text, length)
+    out = remove(docs.select("*", F.lit(0).alias("_mark")), text, length, words=words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -110,6 +110,29 @@ def test_suffix_stage(docs, none):
     assert suffix.without_repeats(none).count() == 0
 
 
+def test_suffix_by_words(spark, docs):
+    count, pattern = 12, re.compile(r"[\u3000-\ud7ff]|[^\x20\x09-\x0D\u3000-\ud7ff]+")
+    short = " ".join("abcdefghijkl")
+    texts = [r.text for r in docs.collect()] + [short, "lead\n" + short.replace(" ", "\n") + " end", "m " + short[2:] + " n", "日本語の文章です。同じ文です" + "甲", "乙日本語の文章です。同じ文です"]
+    rows = list(enumerate(texts))
+    at = [list(pattern.finditer(t or "")) for t in texts]
+    seen = Counter(tuple(m[0] for m in w[i : i + count]) for w in at for i in range(len(w) - count + 1))
+    want = {}
+    for (i, t), w in zip(rows, at, strict=True):
+        gone = set()
+        for p in range(len(w) - count + 1):
+            if seen[tuple(m[0] for m in w[p : p + count])] > 1:
+                gone |= set(range(p, p + count))
+        cut = set()
+        for j in gone:
+            cut |= set(range(w[j].start(), w[j + 1].start() if j + 1 in gone else w[j].end()))
+        want[i] = t if t is None else "".join(c for j, c in enumerate(t) if j not in cut)
+    for group in (20_000, 2):
+        got = suffix.remove(spark.createDataFrame(rows, "doc_id int, text string").repartition(3), words=count, group=group)
+        assert {r.doc_id: r.kept.decode() for r in got.collect()} == {i: t or "" for i, t in want.items()}
+    assert want[len(texts) - 5] == "" and want[len(texts) - 4] == "lead\n end" and want[len(texts) - 3] == texts[-3]
+
+
 def test_suffix_pieces_repeat_no_anchor(spark, monkeypatch):
     real = random.Random(6).randbytes(5 << 19)
     assert len(set(found := list(suffix.Anchors(400, 200)([real])))) == len(found)
