@@ -356,6 +356,19 @@ def test_near_groups(spark, docs, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_large_buckets_lose_no_link():
+    r = np.random.default_rng(11)
+    base, free = np.uint64(r.integers(0, 1 << 63)), list(range(0, 64, 2))
+    near = lambda x, bits: x ^ np.uint64(sum(1 << int(b) for b in bits))
+    f = [near(base, r.choice(free, 9, replace=False)) for _ in range(60)]
+    f = np.unique([*f, *(near(x, r.choice(free, 3, replace=False)) for x in f for _ in range(3))])[:, None]
+    d = np.bitwise_count(f ^ f.T)
+    want = {(i, j) for i, j in np.argwhere(d <= 3).tolist() if i < j}
+    for most in (2, 5, 50):
+        got = [(min(a, b), max(a, b)) for u, v in simhash.bucket_pairs(f, np.zeros(len(f)), 3, simhash.by_free_bits(free, 3), most) for a, b in zip(u.tolist(), v.tolist(), strict=True)]
+        assert set(got) == want
+
+
 def test_bit_slices_against_popcounts():
     r = np.random.default_rng(4)
     for width, radius in ((1, 3), (1, 6), (2, 26)):
