@@ -369,6 +369,28 @@ def test_large_buckets_lose_no_link():
         assert set(got) == want
 
 
+@pytest.mark.parametrize("most", [4096, 3])
+def test_wide_links_are_those_of_the_jaccard(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash.wide_links, "__defaults__", (most,))
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(10**9)}"
+    texts = []
+    for _ in range(8):
+        base = [word() for _ in range(300)]
+        for new in (0, 10, 25, 32, 36, 45, 60, 100, 200):  # of the first so many words, all are others: J about (296 - n) / (296 + n)
+            texts.append(" ".join([word() for _ in range(new)] + base[new:]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+    find = lambda x: x if label[x] == x else find(label[x])
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
+    assert {x.doc_id for x in simhash.keep_one(docs).collect()} == {i for i in range(len(texts)) if find(i) == i}
+
+
 def test_bit_slices_against_popcounts():
     r = np.random.default_rng(4)
     for width, radius in ((1, 3), (1, 6), (2, 26)):
