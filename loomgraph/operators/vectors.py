@@ -21,30 +21,47 @@ def top_k(vectors: DataFrame, query: Column, k: int, threshold: float | None = N
 
 
 def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, threshold: float = 0.2, key: str = "id", vector: str = "vector", most: int = 4096) -> DataFrame:
-    """(query_id, key, score, ord) for a bounded list of query vectors (query_id, vector), sent to every task as one matrix.
+    """(query_id, key, score, ord): the k nearest rows of each query vector (query_id, vector), ties to the smaller key.
 
-    More than `most` queries are refused: an index serves those.
+    Up to `most` queries are sent to every task as one matrix; more are dealt to blocks of about that many, each of which meets
+    blocks of the vectors, so no task holds a side whole.
     """
+    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
+    schema = f"query_id {kinds[0]}, {key} {kinds[1]}, score double"
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+    def nearest(ids: list, q: np.ndarray, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(key, kind="stable")
+        s = unit(np.array(b[vector].tolist(), np.float64)) @ q.T
+        out = [pd.DataFrame({"query_id": [], key: [], "score": []})]
+        for j in range(len(ids)):
+            near = np.argsort(-s[:, j], kind="stable")[:k]
+            near = near[s[near, j] >= threshold]
+            out.append(pd.DataFrame({"query_id": ids[j], key: b[key].to_numpy()[near], "score": s[near, j]}))
+        return pd.concat(out[1:] or out)
+
     got = queries.select("query_id", vector).limit(most + 1).toPandas()
-    if len(got) > most:
-        raise ValueError(f"more than {most} queries")
-    ids = got["query_id"].tolist()
-    q = np.array(got[vector].tolist(), np.float64).reshape(len(ids), -1)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    kind = vectors.schema[key].dataType.simpleString()
-
-    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in rows:
-            x = np.array(b[vector].tolist(), np.float64)
-            s = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ q.T
-            out = []
-            for j in range(len(ids)):
-                near = np.argsort(-s[:, j], kind="stable")[: k + 1]
-                near = near[s[near, j] >= threshold]
-                out.append(pd.DataFrame({"query_id": ids[j], key: b[key].to_numpy()[near], "score": s[near, j]}))
-            yield pd.concat(out)
-
-    found = vectors.select(key, vector).mapInPandas(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {kind}, score double")
+    if len(got) <= most:
+        ids = got["query_id"].tolist()
+        q = unit(np.array(got[vector].tolist(), np.float64).reshape(len(ids), -1))
+
+        def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in rows:
+                if len(b) and ids:
+                    yield nearest(ids, q, b)
+
+        found = vectors.select(key, vector).mapInPandas(run, schema)
+    else:
+        n_q, n_v = -(-queries.count() // most), max(1, -(-vectors.count() // 8192))
+        x = queries.select("query_id", vector, F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("_a")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
+        y = vectors.select(key, vector, F.pmod(F.xxhash64(key), F.lit(n_v)).cast("int").alias("_b")).withColumn("_a", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+
+        def match(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            if not len(x) or not len(y):
+                return pd.DataFrame({"query_id": [], key: [], "score": []})
+            return nearest(x["query_id"].tolist(), unit(np.array(x[vector].tolist(), np.float64)), y)
+
+        found = x.groupBy("_a", "_b").cogroup(y.groupBy("_a", "_b")).applyInPandas(match, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return found.withColumn("ord", (F.row_number().over(w) - 1).cast("long")).where(F.col("ord") < k)
 

@@ -112,3 +112,14 @@ def test_pairs_vectors_and_matches(spark):
     got = {r.src: r.tgt for r in vectors.best_matches(s, t, 0.8, rows=1).collect()}
     assert got == {1: 10, 2: 12}
     assert vectors.of_pair(frame(spark, [("b", "a")], "src_id string, tgt_id string"), frame(spark, [("a", "b", [1.0])], "src_id string, tgt_id string, vector array<double>")).first().vector == [1.0]
+
+
+def test_many_queries_in_blocks_and_ties_to_the_smaller_key(spark):
+    from loomgraph.operators.vectors import top_k_many
+
+    rows = [(i, [1.0, 0.0]) for i in range(30, 0, -1)] + [(100 + i, [0.0, 1.0]) for i in range(3)]
+    t = spark.createDataFrame(rows, "id int, vector array<double>").coalesce(1)
+    q = t.selectExpr("id as query_id", "vector").where("query_id in (1, 2, 3, 4, 5, 100)")
+    want = {(i, j) for i in range(1, 6) for j in (1, 2, 3)} | {(100, 100 + j) for j in range(3)}
+    for most in (4096, 2):
+        assert {(r.query_id, r.id) for r in top_k_many(t, q, 3, most=most).collect()} == want
