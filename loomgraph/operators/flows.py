@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_id, doc_id, strip
 from . import cache, community, extract, merge, metrics, tables
-from .graph import rounds_table
+from ..scratch import materialize
 
 Model = Callable[[str, list[dict[str, str]]], str]
 
@@ -80,7 +80,7 @@ def report_levels(clusters: DataFrame, nodes: DataFrame, edges: DataFrame, write
     out = None
     for level in sorted((r["level"] for r in clusters.select("level").distinct().collect()), reverse=True):
         rows = community.describe(clusters.where(F.col("level") == level), nodes, edges, budget)
-        made = rounds_table(write(rows))
+        made = materialize(write(rows))
         out = made if out is None else out.unionByName(made)
     return out
 

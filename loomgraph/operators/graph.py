@@ -2,26 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOCAL: list[str] = []
-
-
-def rounds_table(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back, which cuts the lineage of iterative jobs so that lost executors cost no round."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _LOCAL:
-            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="loomgraph-"))
-        base = _LOCAL[0]
-    path = f"{base.rstrip('/')}/rounds-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..scratch import discard, materialize
 
 
 def canonical(edges: DataFrame) -> DataFrame:
@@ -88,7 +72,7 @@ def within_hops(start: DataFrame, edges: DataFrame, hops: int, directed: bool =
     frontier = seen.select("node")
     for depth in range(1, hops + 1):
         found = frontier.join(step, "node").select(F.col("neighbour").alias("node")).distinct()
-        frontier = rounds_table(found.join(seen, "node", "left_anti"))
+        frontier = materialize(found.join(seen, "node", "left_anti"))
         if not frontier.limit(1).count():
             break
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
@@ -108,21 +92,24 @@ def subgraph(nodes: DataFrame, edges: DataFrame, label: str, hops: int, directed
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(entity_name, component): the smallest name reachable. Labels halve the way to it in each round."""
-    near = rounds_table(both_ways(edges.select("src_id", "tgt_id")).where("node <> neighbour").distinct())
+    near = materialize(both_ways(edges.select("src_id", "tgt_id")).where("node <> neighbour").distinct())
     label = nodes.select(F.col("entity_name").alias("node"), F.col("entity_name").alias("label")).distinct()
     while True:
-        low = near.join(label.withColumnRenamed("node", "neighbour"), "neighbour").groupBy("node").agg(F.min("label").alias("low"))
+        low = near.join(label.select(F.col("node").alias("neighbour"), "label"), "neighbour").groupBy("node").agg(F.min("label").alias("low"))
         new = label.join(low, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("low", "label")).alias("label"))
         up = label.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        label = rounds_table(new.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
-        if not label.where("label <> old").limit(1).count():
+        step = materialize(new.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
+        changed = step.where("label <> old").limit(1).count()
+        discard(label)
+        label = step
+        if not changed:
+            discard(near)
             return label.select(F.col("node").alias("entity_name"), F.col("label").alias("component"))
-        label = label.select("node", "label")
 
 
 def largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The nodes of the component with the most nodes (ties: the smallest name)."""
-    c = rounds_table(components(nodes, edges))
+    c = materialize(components(nodes, edges))
     top = c.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1)
     return nodes.join(c.join(top, "component", "left_semi").select("entity_name"), "entity_name", "left_semi")
 
@@ -179,5 +166,5 @@ def walks(edges: DataFrame, starts: DataFrame, length: int, per_node: int, seed:
     for i in range(length - 1):
         draw = Window.partitionBy("walk").orderBy(F.xxhash64("walk", "neighbour", F.lit(seed + i)))
         nxt = w.withColumn("node", F.element_at("path", -1)).join(near, "node").withColumn("_n", F.row_number().over(draw)).where("_n = 1")
-        w = rounds_table(nxt.select("walk", F.concat("path", F.array("neighbour")).alias("path")))
+        w = materialize(nxt.select("walk", F.concat("path", F.array("neighbour")).alias("path")))
     return w

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import cache, chunk, extract, tables
+from ..scratch import materialize, scratch
 from ..sources.files import page_text
 from ..streaming.ingest import enqueue
 
@@ -278,22 +279,11 @@ def event_windows(spark, d):
 @_query(f"SELECT 'doc-' || md5(t) AS id, 'processed' AS status, CAST(greatest(ceil(len({WORDS.format('t')}) / 180.0), 0) AS BIGINT) AS chunks_count FROM (SELECT DISTINCT {STRIP} AS t FROM documents)")
 def stream_ingest_dedup(spark, d):
     """documents as a stream of files through the ingest query, run to its end; the status table that it leaves."""
-    from ..operators.graph import rounds_table
     from ..streaming.ingest import STATUS, ingest_stream
 
     schema = table(spark, d, "documents").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/document[s].parquet")  # a pattern takes a file or a folder
-    folder = _folder(spark)
+    folder = scratch(spark)
     q = ingest_stream(spark, stream, folder).trigger(availableNow=True).start()
     q.awaitTermination()
-    return rounds_table(spark.read.schema(f"{STATUS}, batch int").parquet(f"{folder}/status").select("id", "status", "chunks_count"))
-
-
-def _folder(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-    return f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
-
-
+    return materialize(spark.read.schema(f"{STATUS}, batch int").parquet(f"{folder}/status").select("id", "status", "chunks_count"))
