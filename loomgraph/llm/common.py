@@ -1,59 +1,22 @@
-"""Shared pieces: scratch tables in the cluster's shared folder, word patterns, components, 64-bit helpers."""
+"""Shared pieces: word patterns, running totals, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import discard, materialize, scratch
+
+__all__ = ["SPACE", "SPACE_CHARS", "components", "discard", "extended", "in_order", "let", "materialize", "scratch", "words"]
+
 #: White space of all word rules here: space and the five controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
 
 
-def session(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
-_LOCAL: list[str] = []
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir (a local one only where it is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _LOCAL:
-            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="loomgraph-"))
-        base = _LOCAL[0]
-    return f"{base.rstrip('/')}/loomgraph-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back, which cuts its lineage.
-
-    The files outlive lost executors, unlike cached or locally checkpointed blocks.
-    """
-    spark = session(df)
-    path = scratch(spark)
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._loomgraph_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a materialized table that no later plan reads."""
-    path = getattr(df, "_loomgraph_path", None)
-    if path:
-        jvm, spark = session(df).sparkContext._jvm, session(df)
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def extended(df: DataFrame, **columns: str) -> T.StructType:
     """The schema of df with further columns."""
     return T.StructType([*df.schema.fields, *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in columns.items())).fields])
@@ -113,4 +76,5 @@ def components(edges: DataFrame) -> DataFrame:
         discard(labels)
         labels = step
         if not changed:
+            discard(both)
             return labels.select("node", "label")
