@@ -26,8 +26,8 @@ END = " "
 #: Classes of single words (the first is the end), classes by hash, and words whose counts every task holds.
 OWN, HASHED, HELD = 4096, 4096, 200_000
 CLASSES = OWN + HASHED
-#: Training sequences are cut to this length (nothing is left out); scoring takes whole texts.
-SEGMENT = 256
+#: Words of a text that are worked on at once in training; messages between the pieces keep the counts those of the whole text.
+SEGMENT = 1024
 
 
 def count_words(docs: DataFrame, text: str, most: int = 400_000) -> DataFrame:
@@ -149,43 +149,91 @@ class Model:
         self.emit = emit / emit.sum(axis=1, keepdims=True)
 
 
-def expect(segments: list[np.ndarray], model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions (S, CLASSES) of class sequences of at most SEGMENT words, by forward and backward passes."""
+def _messages(segments: list[np.ndarray], doc: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What each segment of a cut text is told: how likely its first state is by what lies before, the state just before it (0 for a
+    first segment), and how likely all that comes after is by its last state. Segments of a text follow each other; doc numbers the texts.
+
+    A segment is a product of S x S matrices, made for all segments side by side; the messages go through these products.
+    """
+    start, move, ratio = model
+    n, s = len(segments), len(start)
+    lens = np.array([len(x) for x in segments])
+    order = np.argsort(-lens, kind="stable")
+    flat, at = np.concatenate(segments).astype(np.int64), (np.cumsum(lens) - lens)[order]
+    through = np.repeat(np.eye(s)[None], n, axis=0)
+    for t, k in enumerate(np.searchsorted(-lens[order], -np.arange(lens.max()), side="left")):
+        e = ratio[flat[at[:k] + t]]
+        now = through[:k] if not t else (through[:k].reshape(-1, s) @ move).reshape(k, s, s)
+        through[:k] = now * e[:, None, :]
+        if t % 4 == 3:
+            through[:k] /= through[:k].sum(axis=(1, 2), keepdims=True)
+    product = np.empty_like(through)
+    product[order] = through / through.sum(axis=(1, 2), keepdims=True)
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    count = np.diff(np.append(first, n))
+    ahead, before, behind = np.tile(start, (n, 1)), np.zeros((n, s)), np.ones((n, s))
+    for k in range(1, count.max()):
+        own = first[count > k] + k
+        end = np.einsum("ni,nij->nj", ahead[own - 1], product[own - 1])
+        before[own] = end / end.sum(axis=1, keepdims=True)
+        ahead[own] = before[own] @ move
+        own = (first + count)[count > k] - k
+        back = np.einsum("nij,nj->ni", product[own], behind[own]) @ move.T
+        behind[own - 1] = back / back.sum(axis=1, keepdims=True)
+    return ahead, before, behind
+
+
+def expect(docs: list[np.ndarray], model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts, moves and emissions (S, CLASSES) of whole class sequences, by forward and backward passes.
+
+    Long sequences are worked on in segments, which changes no count: only a text's first word is a start, and moves from one segment
+    to the next are counted.
+    """
     start, move, ratio = model
     s = len(start)
     starts, moves, emits = np.zeros(s), np.zeros((s, s)), np.zeros((s, CLASSES))
-    segments = sorted(segments, key=len, reverse=True)
-    for i in range(0, len(segments), 2048):
-        part = segments[i : i + 2048]
-        lens = np.array([len(x) for x in part])
-        steps = lens[0]
-        o = np.zeros((steps, len(part)), np.int64)
-        for j, x in enumerate(part):
-            o[: len(x), j] = x
-        active = (lens[None, :] > np.arange(steps)[:, None]).sum(axis=1)
-        alpha, scale = np.empty((steps, len(part), s)), np.empty((steps, len(part)))
-        a = start * ratio[o[0]]
-        for t in range(steps):
-            n = active[t]
-            if t:
-                a = (alpha[t - 1, :n] @ move) * ratio[o[t, :n]]
-            scale[t, :n] = a.sum(axis=1)
-            alpha[t, :n] = a / scale[t, :n, None]
-        beta = np.ones((active[-1], s))
-        for t in range(steps - 1, -1, -1):
-            n = active[t]
-            if t < steps - 1:
-                m = active[t + 1]
-                later = beta * ratio[o[t + 1, :m]] / scale[t + 1, :m, None]
-                moves += alpha[t, :m].T @ later
-                beta = np.ones((n, s))
-                beta[:m] = later @ move.T
-            alpha[t, :n] *= beta  # from here on: how likely each state is
-        starts += alpha[0].sum(axis=0)
-        seen = np.arange(len(part))[None, :] < active[:, None]
-        words, gamma = o[seen], alpha[seen]
-        for k in range(s):
-            emits[k] += np.bincount(words, weights=gamma[:, k], minlength=CLASSES)
+    parts = [x[i : i + SEGMENT] for x in docs for i in range(0, len(x), SEGMENT)]
+    doc = np.repeat(np.arange(len(docs)), [-(-len(x) // SEGMENT) for x in docs])
+    if not parts:
+        return starts, moves, emits
+    n = len(parts)
+    ahead, before, behind = np.tile(start, (n, 1)), np.zeros((n, s)), np.ones((n, s))
+    cut = np.flatnonzero(np.bincount(doc)[doc] > 1)
+    if len(cut):
+        ahead[cut], before[cut], behind[cut] = _messages([parts[i] for i in cut], doc[cut], model)
+    head = np.concatenate([[True], doc[1:] != doc[:-1]])
+    lens = np.array([len(x) for x in parts])
+    order = np.argsort(-lens, kind="stable")
+    parts, lens, ahead, before, behind, head = [parts[i] for i in order], lens[order], ahead[order], before[order], behind[order], head[order]
+    active = np.searchsorted(-lens, -np.arange(lens[0]), side="left")
+    offset = np.cumsum(active) - active
+    o = np.empty(lens.sum(), np.int32)  # step by step, the segments side by side
+    for j, x in enumerate(parts):
+        o[offset[: len(x)] + j] = x
+    alpha, scale = np.empty((len(o), s)), np.empty(len(o))
+    for t, k in enumerate(active):
+        now = slice(offset[t], offset[t] + k)
+        a = (ahead if not t else alpha[offset[t - 1] : offset[t - 1] + k] @ move) * ratio[o[now]]
+        scale[now] = a.sum(axis=1)
+        alpha[now] = a / scale[now, None]
+    later = None
+    for t in range(len(active) - 1, -1, -1):
+        k = active[t]
+        now = slice(offset[t], offset[t] + k)
+        m = 0 if later is None else len(later)
+        if m:
+            moves += alpha[offset[t] : offset[t] + m].T @ later
+        beta = np.empty((k, s))
+        if m:
+            beta[:m] = later @ move.T
+        if k > m:  # these segments end here
+            beta[m:] = behind[m:k] / (alpha[offset[t] + m : offset[t] + k] * behind[m:k]).sum(axis=1, keepdims=True)
+        later = beta * ratio[o[now]] / scale[now, None]
+        alpha[now] *= beta  # from here on: how likely each state is
+    moves += before.T @ later
+    starts += alpha[: active[0]][head].sum(axis=0)
+    for i in range(s):
+        emits[i] = np.bincount(o, weights=alpha[:, i], minlength=CLASSES)
     return starts, moves * move, emits
 
 
@@ -221,9 +269,8 @@ def _counts(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.n
         known, sums, held, size = sent.value, [np.zeros(s), np.zeros((s, s)), np.zeros((s, CLASSES))], [], 0
         for b in batches:
             for raw in b.column(0).to_pylist():
-                x = np.frombuffer(raw, np.uint16)
-                held += [x[i : i + SEGMENT] for i in range(0, len(x), SEGMENT)]
-                size += len(x)
+                held.append(np.frombuffer(raw, np.uint16))
+                size += len(held[-1])
                 if size > 1 << 20:
                     sums = [a + c for a, c in zip(sums, expect(held, known), strict=True)]
                     held, size = [], 0
@@ -268,6 +315,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     by_hash = counts.join(names, "word", "left_anti").groupBy(F.pmod(F.xxhash64("word"), F.lit(HASHED)).alias("at")).agg(F.sum(F.col("n") + 0.5).alias("n"))
     for r in by_hash.collect():  # at most HASHED rows
         mass[OWN + r["at"]] = r["n"] / whole
+    excess = float(np.log10(mass.sum()))  # the smoothed frequencies of all classes are a little over 1
     model = Model(mass / mass.sum(), states)
     if n:
         train = rows.where(~F.col("held_out"))
@@ -278,7 +326,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     def gain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [np.frombuffer(x, np.uint16) for x in b.column(b.schema.names.index("classes")).to_pylist()]
-            more = forward(texts, sent.value) if sent.value and texts else np.zeros(len(texts))
+            more = forward(texts, sent.value) - excess * np.array([len(x) for x in texts]) if sent.value and texts else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(more)], [*b.schema.names[:-1], "gain"])
 
     few = ["row", "doc_id", "held_out", "n_tokens", "n_held", "base"]

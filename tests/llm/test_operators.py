@@ -156,7 +156,9 @@ def test_suffix_of_texts_over_a_piece(spark):
 # 2
 
 
-def test_forward_and_expectation_by_enumeration():
+@pytest.mark.parametrize("segment", [1024, 1, 2, 3])
+def test_forward_and_expectation_by_enumeration(monkeypatch, segment):
+    monkeypatch.setattr(hmm, "SEGMENT", segment)
     m = hmm.Model(np.full(hmm.CLASSES, 1 / hmm.CLASSES), 3, stay=0.6)
     r = np.random.default_rng(0)
     m.start = np.array([0.5, 0.3, 0.2])
@@ -184,6 +186,35 @@ def test_forward_and_expectation_by_enumeration():
     assert np.allclose(s0, starts) and np.allclose(m0, moves) and np.allclose(e0, emits)
 
 
+def test_training_is_baum_welch_over_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "SEGMENT", 7)
+    r = np.random.default_rng(2)
+    seqs = [r.integers(0, 9, n).astype(np.uint16) for n in (1, 2, 7, 8, 14, 40, 133, 21)]
+    frequency = np.full(hmm.CLASSES, 1e-6)
+    frequency[:9] = (np.bincount(np.concatenate(seqs), minlength=9) + 1) / 300
+    mine, spread = hmm.Model(frequency, 3), hmm.Model(frequency, 3)
+    rows = spark.createDataFrame([(x.tobytes(),) for x in seqs], "classes binary").repartition(3)
+    for _ in range(4):
+        spread.update(*hmm._counts(rows, spread))
+        s, m, e = np.zeros(3), np.zeros((3, 3)), np.zeros((3, hmm.CLASSES))
+        ratio = mine.ratios()
+        for x in seqs:
+            a, b = np.zeros((len(x), 3)), np.ones((len(x), 3))
+            a[0] = mine.start * ratio[x[0]]
+            for t in range(1, len(x)):
+                a[t] = (a[t - 1] @ mine.move) * ratio[x[t]]
+            for t in range(len(x) - 2, -1, -1):
+                b[t] = mine.move @ (ratio[x[t + 1]] * b[t + 1])
+            p = a[-1].sum()
+            s += a[0] * b[0] / p
+            for t in range(len(x)):
+                e[:, x[t]] += a[t] * b[t] / p
+                if t:
+                    m += np.outer(a[t - 1], ratio[x[t]] * b[t]) * mine.move / p
+        mine.update(s, m, e)
+    assert np.allclose(mine.start, spread.start) and np.allclose(mine.move, spread.move) and np.allclose(mine.emit, spread.emit)
+
+
 def test_hmm_base_and_gain(docs, none):
     part = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
     got = hmm.score(docs, part, rounds=2).collect()
