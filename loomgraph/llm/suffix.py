@@ -2,15 +2,16 @@
 
 Any `length` bytes hold an anchor: of their k-byte strings the one with the smallest hash, wherever the bytes stand. So two
 occurrences of a repeat meet at an anchor of equal content. Around each repeated anchor the contexts are compared as an enhanced suffix
-array: sorted by what follows, their common-prefix intervals are scanned with a stack, and in each interval the left extensions tell
-how far a repeat reaches to the left with any other occurrence in it, next to it in the order or not.
+array: sorted by what follows, their common-prefix intervals are scanned with a stack; the left extensions of an interval's members form
+intervals in turn, and one whose members differ on both sides is a maximal repeat with all its occurrences. A context that occurs
+several times is one leaf with a count.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +19,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, materialize
+from .common import discard, extended, materialize
 from .wordtable import as_bytes, slices
 
 #: Bytes of text whose anchors are chosen at once.
 PIECE = 1 << 20
 #: Contexts of one anchor that are compared in one task; larger groups are split first.
-GROUP = 20_000
+GROUP = 2_000
 #: Bytes that stand for a word where passages are judged in words.
 WIDTH = 4
 
@@ -119,44 +120,63 @@ def _common(a: bytes, b: bytes) -> int:
     return low
 
 
-def extents(lefts: list[bytes], rights: list[bytes], length: int) -> list[tuple[int, int] | None]:
-    """For contexts around one anchor: how far left and right repeats of at least `length` bytes over the anchor reach; None without one.
+def _intervals(common: list[int]) -> Iterator[tuple[int, int, int]]:
+    """Common-prefix intervals (depth, first, last) of a sorted list whose neighbours share common[i], inner ones first, by a stack."""
+    stack: list[tuple[int, int]] = []  # depth, first
+    for at, depth in enumerate([*common, -1]):
+        first = at
+        while stack and stack[-1][0] > depth:
+            d, first = stack.pop()
+            yield d, first, at
+        if depth >= 0 and (not stack or stack[-1][0] < depth):
+            stack.append((depth, first))
+
+
+def groups(lefts: list[bytes], rights: list[bytes], length: int, counts: list[int] | None = None) -> Iterator[tuple[int, int, list[int]]]:
+    """Maximal repeats of at least `length` bytes among distinct contexts around one anchor: (bytes left, bytes right, contexts that hold it).
 
-    rights: bytes from the anchor on; lefts: bytes before it, reversed. The contexts are sorted by rights; a stack holds the open
-    common-prefix intervals, each with its members in the order of their lefts. Where two intervals close into one of depth d, each
-    member of the smaller is put between its neighbours in the larger: they share d bytes to the right and their common left extension.
+    rights: bytes from the anchor on; lefts: bytes before it, reversed; counts: how often a context occurs. Each common-prefix interval
+    of the sorted rights has its members put in the order of their lefts, where intervals are formed again: the members of one share
+    `depth` bytes to the right and all of their common left extension, beyond which they differ. It is a maximal repeat if they lie in
+    two or more of the right interval's parts, so that they differ on the right as well. A context with a count is a repeat by itself.
     """
+    for i, n in enumerate(counts or ()):
+        if n > 1 and len(lefts[i]) + len(rights[i]) >= length:
+            yield len(lefts[i]), len(rights[i]), [i]
     n = len(rights)
-    suffixes = sorted(range(n), key=rights.__getitem__)
     by_left = sorted(range(n), key=lefts.__getitem__)
     rank = [0] * n
     for r, i in enumerate(by_left):
         rank[i] = r
-    left, right = [0] * n, [0] * n
-
-    def note(x: int, y: int, depth: int) -> None:
-        i, j = by_left[x], by_left[y]
-        shared = _common(lefts[i], lefts[j])
-        if shared + depth >= length:
-            for m in (i, j):
-                left[m], right[m] = max(left[m], shared), max(right[m], depth)
-
-    stack: list[tuple[list[int], int]] = []
-    for at, i in enumerate(suffixes):
-        members = [rank[i]]
-        depth = _common(rights[i], rights[suffixes[at + 1]]) if at + 1 < n else -1
-        while stack and stack[-1][1] >= depth:
-            other, d = stack.pop()
-            small, members = (members, other) if len(members) <= len(other) else (other, members)
-            for x in small:
-                p = bisect_left(members, x)
-                if p:
-                    note(x, members[p - 1], d)
-                if p < len(members):
-                    note(x, members[p], d)
-                members.insert(p, x)
-        stack.append((members, depth))
-    return [(a, b) if b else None for a, b in zip(left, right, strict=True)]
+    longest = max(map(len, lefts), default=0)
+    suffixes = sorted(range(n), key=rights.__getitem__)
+    common = [_common(rights[a], rights[b]) for a, b in zip(suffixes, suffixes[1:], strict=False)]
+    for depth, first, last in _intervals(common):
+        if depth + longest < length:
+            continue
+        part, members = 0, []
+        for at in range(first, last + 1):
+            members.append((rank[suffixes[at]], part))
+            part += at < last and common[at] == depth
+        members.sort()
+        inside = [by_left[r] for r, _ in members]
+        other = [last - first + 1] * len(members)  # the next member of another part
+        for x in range(len(members) - 2, -1, -1):
+            other[x] = x + 1 if members[x][1] != members[x + 1][1] else other[x + 1]
+        for shared, lo, hi in _intervals([_common(lefts[a], lefts[b]) for a, b in zip(inside, inside[1:], strict=False)]):
+            if shared + depth >= length and other[lo] <= hi:
+                yield shared, depth, inside[lo : hi + 1]
+
+
+def extents(lefts: list[bytes], rights: list[bytes], length: int) -> list[tuple[int, int] | None]:
+    """How far left and right the maximal repeats that a context holds reach; None without one."""
+    out: list[tuple[int, int] | None] = [None] * len(rights)
+    for left, right, members in groups(lefts, rights, length):
+        for i in members:
+            old = out[i]
+            if old is None or old[0] < left or old[1] < right:
+                out[i] = (left, right) if old is None else (max(old[0], left), max(old[1], right))
+    return out
 
 
 def word_ids(text: bytes) -> bytes:
@@ -188,7 +208,7 @@ def _identity(text: Column) -> list[Column]:
 
 
 def _hot(rows: DataFrame, length: int, group: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows (h, hh, lo, ctx) with a key `g` whose groups are bounded, and (h, hh, left, right) of what splitting has shown.
+    """Rows (h, hh, lo, ctx) with a key `g` whose groups are bounded, and (g, h, hh, lo, ctx, left, right) of what splitting has shown.
 
     A group whose members share the bytes from -a to b around the anchor is split into those that share half of what is missing
     to `length` bytes more on the left, and on the right: a repeat's occurrences stay together in one of the two. When nothing is
@@ -206,7 +226,7 @@ def _hot(rows: DataFrame, length: int, group: int) -> tuple[DataFrame, DataFrame
         large = todo.join(big, "g", "left_semi")
         done = todo.join(big, "g", "left_anti").join(sizes.select("g"), "g", "left_semi")
         ready = done if ready is None else ready.unionByName(done)
-        whole = large.where(F.col("_a") + F.col("_b") >= length).select("h", "hh", F.col("_a").alias("left"), F.col("_b").alias("right"))
+        whole = large.where(F.col("_a") + F.col("_b") >= length).select("g", "h", "hh", "lo", "ctx", F.col("_a").alias("left"), F.col("_b").alias("right"))
         known = whole if known is None else known.unionByName(whole)
         more = F.ceil((length - F.col("_a") - F.col("_b")) / 2).cast("int")
         split = large.where(F.col("_a") + F.col("_b") < length).withColumn("_s", F.explode(F.array(F.struct((F.col("_a") + more).alias("a"), F.col("_b").alias("b")), F.struct(F.col("_a").alias("a"), (F.col("_b") + more).alias("b")))))
@@ -215,13 +235,17 @@ def _hot(rows: DataFrame, length: int, group: int) -> tuple[DataFrame, DataFrame
         todo = materialize(split.withColumn("g", key))
 
 
-def repeats(docs: DataFrame, text: str = "text", length: int = 400, group: int = GROUP, words: int | None = None) -> DataFrame:
-    """(th, len, spans): for each distinct text (by hash and length) with repeats, the ARRAY<STRUCT<start, end>> of byte runs to remove.
+class _Found(NamedTuple):
+    """What the anchors have shown: all repeated ones (th, len, pos, right, h, hh), their classes of equal contexts (h, hh, n, one),
+    and the contexts to compare, in bounded groups (g, h, hh, lo, ctx), with what is known of groups that no split makes small."""
 
-    Matches lie within one text each; strings overlap freely; the other occurrence may be in the same text.
-    words: repeats of so many words instead of `length` bytes; the runs are then in word_ids of the text.
-    """
-    length = WIDTH * words if words else length
+    anchors: DataFrame
+    classes: DataFrame
+    rows: DataFrame
+    known: DataFrame | None
+
+
+def _anchored(docs: DataFrame, text: str, length: int, group: int, words: int | None) -> _Found:
     k = length // 2
     encoded = (lambda texts: [word_ids(t) for t in texts]) if words else (lambda texts: texts)
     least = words if words else length
@@ -243,11 +267,12 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400, group: int =
                 yield pa.RecordBatch.from_arrays(cols, ["th", "len", "pos", "right", "h", "hh"])
 
     d = docs.select(*_identity(F.col(text)), F.col(text).alias("text"))
-    found = materialize(d.where(F.col("len") >= least).mapInArrow(find, "th long, len long, pos long, right int, h long, hh long"))
+    every = materialize(d.where(F.col("len") >= least).mapInArrow(find, "th long, len long, pos long, right int, h long, hh long"))
     # What an aggregate has to be joined to is written first: joins of plain tables are split where a key is hot.
-    twice = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h"))
-    found = materialize(found.join(twice, "h", "left_semi"))
-    # Anchors with equal contexts are one class: a class of several repeats its whole context.
+    twice = materialize(every.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h"))
+    found = materialize(every.join(twice, "h", "left_semi"))
+    discard(every, twice)
+    # Anchors with equal contexts are one class, a leaf of the tree: a class of several repeats its whole context.
     classes = materialize(found.groupBy("h", "hh").agg(F.count("*").alias("n"), F.min(F.struct("th", "len", "pos")).alias("one")))
     mixed = materialize(classes.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > 1).select("h"))
     wanted = materialize(classes.join(mixed, "h", "left_semi").select("h", "hh", "one.th", "one.len", "one.pos"))
@@ -268,35 +293,96 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400, group: int =
     per_text = materialize(wanted.groupBy("th", "len").agg(F.collect_list(F.struct("h", "hh", "pos")).alias("want")))
     contexts = d.join(per_text, ["th", "len"]).select("text", "want").mapInArrow(cut, "h long, hh long, lo int, ctx binary")
     contexts = materialize(contexts.groupBy("h", "hh").agg(F.first("lo").alias("lo"), F.first("ctx").alias("ctx")))
-    rows, known = _hot(contexts, length, group)
-    dealt = rows.select("g", "h", "hh", "lo", "ctx").repartition("g").sortWithinPartitions("g")
+    discard(mixed, wanted, per_text)
+    return _Found(found, classes, *_hot(contexts, length, group))
+
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(members: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-            reach = extents([c[:lo][::-1] for _, _, lo, c in members], [c[lo:] for _, _, lo, c in members], length)
-            got = [(m[0], m[1], *r) for m, r in zip(members, reach, strict=True) if r]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["h", "hh", "left", "right"])
+def _compared(rows: DataFrame, compare: Callable[[list[tuple[int, int, int, bytes]]], pa.RecordBatch], schema: str) -> DataFrame:
+    """compare() of the contexts (h, hh, lo, ctx) of each group of rows."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
         key = None
         for b in batches:
             for g, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if g != key:
                     if len(held) > 1:
-                        yield out(held)
+                        yield compare(held)
                     held, key = [], g
                 held.append(tuple(row))
         if len(held) > 1:
-            yield out(held)
+            yield compare(held)
+
+    return rows.select("g", "h", "hh", "lo", "ctx").repartition("g").sortWithinPartitions("g").mapInArrow(run, schema)
+
 
-    reach = dealt.mapInArrow(compare, "h long, hh long, left int, right int")
-    reach = reach.unionByName(known) if known is not None else reach
+def repeats(docs: DataFrame, text: str = "text", length: int = 400, group: int = GROUP, words: int | None = None) -> DataFrame:
+    """(th, len, spans): for each distinct text (by hash and length) with repeats, the ARRAY<STRUCT<start, end>> of byte runs to remove.
+
+    Matches lie within one text each; strings overlap freely; the other occurrence may be in the same text.
+    words: repeats of so many words instead of `length` bytes; the runs are then in word_ids of the text.
+    """
+    length = WIDTH * words if words else length
+    got = _anchored(docs, text, length, group, words)
+
+    def compare(members: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        reach = extents([c[:lo][::-1] for _, _, lo, c in members], [c[lo:] for _, _, lo, c in members], length)
+        found = [(m[0], m[1], *r) for m, r in zip(members, reach, strict=True) if r]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["h", "hh", "left", "right"])
+
+    reach = _compared(got.rows, compare, "h long, hh long, left int, right int")
+    reach = reach.unionByName(got.known.select("h", "hh", "left", "right")) if got.known is not None else reach
     reach = materialize(reach.groupBy("h", "hh").agg(F.max("left").alias("left"), F.max("right").alias("right")))
-    alone = classes.where("n = 1").join(reach, ["h", "hh"]).select("one.*", "left", "right")
-    both = found.join(classes.where("n > 1").select("h", "hh"), ["h", "hh"], "left_semi").select("th", "len", "pos", F.least(F.col("pos"), F.lit(k)).cast("int").alias("left"), "right")
+    alone = got.classes.where("n = 1").join(reach, ["h", "hh"]).select("one.*", "left", "right")
+    leaf = F.least(F.col("pos"), F.lit(length // 2)).cast("int")
+    both = got.anchors.join(got.classes.where("n > 1").select("h", "hh"), ["h", "hh"], "left_semi").select("th", "len", "pos", leaf.alias("left"), "right")
     span = F.struct((F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"))
     every = both.unionByName(alone).select("th", "len", span.alias("span")).distinct()
-    return materialize(every.groupBy("th", "len").agg(F.array_sort(F.collect_list("span")).alias("spans")))
+    out = materialize(every.groupBy("th", "len").agg(F.array_sort(F.collect_list("span")).alias("spans")))
+    discard(got.anchors, got.classes, reach)
+    return out
+
+
+def repeat_groups(docs: DataFrame, text: str = "text", length: int = 400, group: int = GROUP) -> DataFrame:
+    """(repeat, th, len, start, end): the maximal repeats of at least `length` bytes with all their occurrences, for distinct texts th, len.
+
+    A repeat is looked for in contexts of length / 2 bytes before an anchor and `length` from it on, so a longer one is a chain of
+    overlapping repeats, one for each of its anchors. Null and short texts have none; an occurrence in a repeated row counts once, and
+    what only whole copies of one text repeat is not listed; no rows: none.
+    """
+    got = _anchored(docs.dropDuplicates([text]), text, length, group, None)
+    of = "repeat long, h long, hh long, left int, right int"
+
+    def compare(members: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        out = []
+        for left, right, inside in groups([c[:lo][::-1] for _, _, lo, c in members], [c[lo:] for _, _, lo, c in members], length):
+            _, _, lo, c = members[inside[0]]
+            name = np.uint64(xxhash.xxh64_intdigest(c[lo - left : lo + right], left)).astype(np.int64)
+            out += [(int(name), members[i][0], members[i][1], left, right) for i in inside]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], [f.split()[0] for f in of.split(", ")])
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            g, *ends = (c.to_pylist() for c in b.columns)
+            more = [(_common(a, z) // 2, _common(c, d)) for a, z, c, d in zip(*ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), *(pa.array([m[i] for m in more], pa.int32()) for i in (0, 1))], ["g", "_left", "_right"])
+
+    found = _compared(got.rows, compare, of)
+    if got.known is not None:
+        # All members of a group that stays large repeat `length` bytes, and what the first and the last in order share beyond them.
+        before = F.reverse(F.hex(F.substring(F.col("ctx"), F.lit(1), F.col("lo") - F.col("left")))).cast("binary")
+        after = F.substring(F.col("ctx"), F.col("lo") + F.col("right") + 1, F.length("ctx"))
+        rest = got.known.select("g", before.alias("b"), after.alias("a")).groupBy("g").agg(F.min("b").alias("b0"), F.max("b").alias("b1"), F.min("a").alias("a0"), F.max("a").alias("a1"))
+        wider = materialize(rest.mapInArrow(extend, "g long, _left int, _right int"))
+        whole = got.known.join(wider, "g").withColumns({"left": F.col("left") + F.col("_left"), "right": F.col("right") + F.col("_right")})
+        piece = F.substring(F.col("ctx"), F.col("lo") - F.col("left") + 1, F.col("left") + F.col("right"))
+        found = found.unionByName(whole.select(F.xxhash64("left", piece).alias("repeat"), "h", "hh", "left", "right"))
+    found = materialize(found.distinct())
+    leaf = got.classes.where("n > 1").select(F.xxhash64("h", "hh").alias("repeat"), "h", "hh", F.lit(None).cast("int").alias("left"), F.lit(None).cast("int").alias("_right"))
+    every = found.withColumnRenamed("right", "_right").unionByName(leaf).join(got.anchors, ["h", "hh"])
+    left, right = F.coalesce("left", F.least(F.col("pos"), F.lit(length // 2)).cast("int")), F.coalesce("_right", "right")
+    return every.select("repeat", "th", "len", (F.col("pos") - left).alias("start"), (F.col("pos") + right).alias("end"))
 
 
 def remove(docs: DataFrame, text: str = "text", length: int = 400, group: int = GROUP, words: int | None = None) -> DataFrame:
