@@ -8,17 +8,19 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, materialize
+from .common import components, discard, materialize
 from .wordtable import as_bytes
 
 SEED = 42
 LANES = 64
 #: Fingerprints that are compared all with all in one task, and bytes of their shingle sets.
 MOST, SET_BYTES = 4096, 1 << 25
+#: Fingerprints under one key that meet in one task; more are dealt to blocks, each two of which meet.
+LARGEST = 1 << 17
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Odd factors whose products order the shingle hashes for the min-wise keys: the first from a generator with a fixed seed.
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -312,7 +314,8 @@ def links(fps: DataFrame, radius: int = 3, bands: int = 5) -> DataFrame:
     free = [[b for b in range(64) if not m >> b & 1] for m in masks]
     word = F.conv(F.hex("_fp"), 16, -10).cast("long")
     key = [F.struct(F.lit(i).alias("i"), word.bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(signed)]
-    rows = fps.select("_fp", F.explode(F.array(*key)).alias("key")).select("key.i", "key.k", F.col("_fp").alias("node"), F.lit(b"").alias("set"))
+    rows = fps.select("_fp", F.explode(F.array(*key)).alias("key")).select("key.i", "key.k", F.col("_fp").alias("node"), F.lit(0).alias("bytes"))
+    rows = _spread(rows, LARGEST).withColumn("set", F.lit(b""))
     return _compared(rows, 1, radius, lambda i: by_free_bits(free[i], radius))
 
 
@@ -340,39 +343,57 @@ def wide_links(nodes: DataFrame, docs: DataFrame, radius: int, width: int, words
     return _compared(again.join(sets, "node"), width, radius, lambda i: whole, least)
 
 
-def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 3, width: int = 1, keys: int = 0, least: float = 0.0) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row: components of fingerprints that link at `radius` or fewer differing bits.
-
-    keys = 0 takes all links (a small radius, 64 bits); otherwise links are looked for among documents that share one of that many
-    min-wise keys (any radius), and count if the texts' sets of shingles have a Jaccard similarity of `least` or more. component_id is the smallest id reachable, a row's own included (null only if all are). Null or blank text:
-    fingerprint zero, linked like any other. Rows with equal fingerprints are one class, so thousands of copies cost one
-    comparison; repeated rows stay repeated; further columns are not read; no rows: none.
-    """
+def _grouped(docs: DataFrame, text: str, doc_id: str, words: int, radius: int, width: int, keys: int, least: float) -> DataFrame:
+    """doc_id, th and len (hash and bytes of the text), _fp and first (null, doc_id, th, len: the first row of the component) of every row."""
     t = F.coalesce(F.col("_text"), F.lit(""))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).withColumns({"th": F.xxhash64(t), "len": F.octet_length(t)})
     fp = fingerprints(texts, "_text", words, width, keys).drop("_text").withColumn("node", F.concat("_fp", "_set") if keys else F.col("_fp"))
-    fp = materialize(fp.drop("_set") if keys else fp.drop("_set", "_keys", "th", "len"))
-    classes = fp.groupBy("node").agg(F.min("doc_id").alias("smallest"), *([F.min(F.struct("th", "len")).alias("t"), F.first("_keys").alias("_keys")] if keys else []))
-    classes = materialize(classes)
+    fp = materialize(fp.drop("_set") if keys else fp.drop("_set", "_keys"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "len")).alias("first")
+    classes = materialize(fp.groupBy("node").agg(first, *([F.min(F.struct("th", "len")).alias("t"), F.first("_keys").alias("_keys")] if keys else [])))
     if keys:
         nodes = classes.select("node", "_keys", "t.th", "t.len")
         label = components(wide_links(nodes, texts.select("th", "len", "_text"), radius, width, words, least))
     else:
         label = components(links(classes.select(F.col("node").alias("_fp")), radius))
-    classes = classes.select(F.col("node").alias("_node"), "smallest").join(label, F.col("_node") == label.node, "left").select("_node", "smallest", F.coalesce("label", "_node").alias("label"))
-    smallest = classes.groupBy("label").agg(F.min("smallest").alias("component_id"))
-    known = materialize(classes.join(smallest, "label").select("_node", "component_id"))
-    return fp.join(known, fp.node == known._node).select("doc_id", F.lower(F.hex("_fp")).alias("fingerprint"), "component_id")
+    own = classes.select(F.col("node").alias("_node"), "first").join(label, F.col("_node") == label.node, "left").select("_node", "first", F.coalesce("label", "_node").alias("label"))
+    own = materialize(own)  # a component may hold a third of all: plain tables are split where a key is hot
+    of = materialize(own.groupBy("label").agg(F.min("first").alias("first")))
+    known = materialize(own.select("_node", "label").join(of, "label").select("_node", "first"))
+    discard(classes, label, own, of)
+    return fp.join(known, fp.node == known._node).select("doc_id", "th", "len", "_fp", "first")
+
+
+def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 3, width: int = 1, keys: int = 0, least: float = 0.0) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row: components of fingerprints that link at `radius` or fewer differing bits.
+
+    keys = 0 takes all links (a small radius, 64 bits); otherwise links are looked for among documents that share one of that many
+    min-wise keys (any radius), and count if the texts' sets of shingles have a Jaccard similarity of `least` or more. component_id is the smallest id reachable, a row's own included (null only if all are). Null or blank text:
+    fingerprint zero, linked like any other. Rows with equal fingerprints are one class, so thousands of copies cost one
+    comparison; repeated rows stay repeated; further columns are not read; no rows: none.
+    """
+    out = _grouped(docs, text, doc_id, words, radius, width, keys, least)
+    return out.select("doc_id", F.lower(F.hex("_fp")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, radius: int = 36, width: int = 2, keys: int = 6, least: float = 0.8) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, with all columns; of rows that share that id, one stays.
+    """One document of each near-duplicate group, with all columns: the one with the smallest id, of equal ids the one with the smallest hash of its text.
 
     With 128-bit fingerprints of five-word shingles, texts of similarity 0.8 differ in 19 bits at the mean (deviation 4), unrelated
-    ones in 64; the radius only says which sets of shingles are compared. Rows with a null id stay.
+    ones in 64; the radius only says which sets of shingles are compared. A null id comes after all others and stands for no document
+    in particular, so rows without an id fold only where their texts are near copies; an id on different texts is several documents.
+    Of rows equal in id and text one stays, the first by a hash of its other columns. Null and blank texts are one group; no rows: none.
     """
-    groups = materialize(near_groups(docs, text, doc_id, words, radius, width, keys, least).where(F.col("doc_id").isNotNull()))
-    out = docs.join(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), F.col(doc_id) == F.col("_gone"), "left_anti")
-    if groups.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates([doc_id])
+    groups = materialize(_grouped(docs, text, doc_id, words, radius, width, keys, least))
+    t = F.coalesce(F.col(text), F.lit(""))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "len")
+    gone = groups.where(own != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("len").alias("_len")).distinct()
+    keyed = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(t) == F.col("_th")) & (F.octet_length(t) == F.col("_len"))
+    out = docs.join(materialize(gone), keyed, "left_anti")
+    twice = materialize(groups.where(own == F.col("first")).groupBy("doc_id", "th", "len").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("len").alias("_len")))
+    if twice.limit(1).count():
+        rest = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+        place = Window.partitionBy("_id", "_th", "_len").orderBy(F.xxhash64(*rest))
+        some = docs.join(twice, keyed).withColumn("_at", F.row_number().over(place)).where("_at = 1").select(*docs.columns)
+        out = out.join(twice, keyed, "left_anti").unionByName(some)
     return out

@@ -424,6 +424,24 @@ def test_near_groups(spark, docs, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_loses_no_text(spark):
+    a, b, c = prose(80, 31), prose(80, 32), prose(80, 33)
+    rows = [(2, a, "x"), (5, a, "x"), (5, b, "x"), (7, b, "x"), (None, c, "x"), (None, c, "y"), (None, prose(80, 34), "x"), (None, a, "x"), (9, None, "x"), (8, " ", "x"), (1, prose(80, 35), "p"), (1, prose(80, 35), "q"), (1, prose(80, 35), "p")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, first string").withColumn("extra", F.create_map(F.lit("k"), F.col("doc_id")))
+    runs = [sorted(map(repr, simhash.keep_one(docs.repartition(n)).collect())) for n in (1, 5)]
+    assert runs[0] == runs[1]
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(kept, key=repr) == sorted([(2, a), (5, b), (None, c), (None, prose(80, 34)), (8, " "), (1, prose(80, 35))], key=repr)
+
+
+def test_blocks_of_a_large_bucket_lose_no_link(spark, docs, monkeypatch):
+    want = Counter(map(tuple, simhash.near_groups(docs).collect()))
+    monkeypatch.setattr(simhash, "LARGEST", 3)
+    assert Counter(map(tuple, simhash.near_groups(docs).collect())) == want
+
+
 def test_large_buckets_lose_no_link():
     r = np.random.default_rng(11)
     base, free = np.uint64(r.integers(0, 1 << 63)), list(range(0, 64, 2))
