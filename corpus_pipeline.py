@@ -15,7 +15,7 @@ REPEAT = 51
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go, and lines that more than LINE_DOCS distinct texts of a source hold, however large it is."""
-    return quality.keep(docs, least_docs=LINE_DOCS, most_share=0.0)
+    return quality.keep(docs, most_docs=LINE_DOCS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

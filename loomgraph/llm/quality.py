@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, let, materialize, words
+from .common import SPACE, SPACE_CHARS, discard, let, materialize, words
 
 #: Fixed values of the rules.
 SYMBOLS = "#*$%&|<>"
@@ -64,20 +64,20 @@ def _key(text: str) -> list[Column]:
     return [F.xxhash64(t).alias("_text"), F.length(t).alias("_chars")]
 
 
-def losses(docs: DataFrame, text: str = "text", host: str = "source", least_docs: int = 10, most_share: float = 0.2, least_left: float = 0.3) -> DataFrame:
+def losses(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str | None = None, most_docs: int = 10, least_left: float = 0.3) -> DataFrame:
     """(_host, _text, _chars, _out, _bad) of the texts that hold frequent lines of their host: the lines' hashes, and whether the text loses too much.
 
-    A line (lower-cased, white space made single spaces) is frequent if more than least_docs distinct texts of its host
-    hold it, and more than most_share of the host's distinct texts. A text is depleted if less than least_left of its words are outside
-    frequent lines. Copies of one text count once, so a copied document doesn't make its own lines frequent.
+    A line (lower-cased, white space made single spaces) is frequent if more than most_docs distinct documents of its host hold it,
+    however large the host is. A text is depleted if less than least_left of its words are outside frequent lines. Copies of one text
+    are one document here: a text that is copied a thousand times doesn't make its own lines frequent, and one copy of it can stay.
+    With doc_id, distinct ids are counted instead, so each copy counts.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     parts = F.transform(_lines(t), lambda x: F.struct(_line(x).alias("line"), F.size(words(x)).alias("n")))
-    own = materialize(docs.select(F.coalesce(F.col(host), F.lit("")).alias("_host"), *_key(text), parts.alias("parts")))
-    each = own.select("_host", "_text", "_chars", F.explode("parts").alias("p")).select("_host", "_text", "_chars", "p.line", "p.n")
-    texts = materialize(own.groupBy("_host").agg(F.count_distinct("_text", "_chars").alias("texts")))
-    common = each.groupBy("_host", "line").agg(F.count_distinct("_text", "_chars").alias("docs")).where(F.col("docs") > least_docs)
-    frequent = common.join(texts, "_host").where(F.col("docs") > most_share * F.col("texts")).select("_host", "line")
+    one = F.struct(*_key(text)) if doc_id is None else F.struct(F.col(doc_id))
+    own = materialize(docs.select(F.coalesce(F.col(host), F.lit("")).alias("_host"), *_key(text), F.xxhash64(one).alias("_one"), parts.alias("parts")))
+    each = own.select("_host", "_text", "_chars", "_one", F.explode("parts").alias("p")).select("_host", "_text", "_chars", "_one", "p.line", "p.n")
+    frequent = each.groupBy("_host", "line").agg(F.count_distinct("_one").alias("docs")).where(F.col("docs") > most_docs).select("_host", "line")
     frequent = materialize(frequent)
     n = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x.n)
     # Copies are counted alike, so sums over all of them compare like one text's.
@@ -86,26 +86,44 @@ def losses(docs: DataFrame, text: str = "text", host: str = "source", least_docs
     lost = materialize(found.agg(F.sum("n").alias("lost"), F.collect_set("line").alias("_out")))
     whole = total.join(lost.select("_host", "_text", "_chars"), ["_host", "_text", "_chars"], "left_semi").groupBy("_host", "_text", "_chars").agg(F.sum("n").alias("n"))
     bad = (F.col("n") - F.col("lost") < least_left * F.col("n")).alias("_bad")
-    return materialize(lost.join(whole, ["_host", "_text", "_chars"]).select("_host", "_text", "_chars", "_out", bad))
+    out = materialize(lost.join(whole, ["_host", "_text", "_chars"]).select("_host", "_text", "_chars", "_out", bad))
+    discard(own, frequent, lost)
+    return out
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", **limits: float) -> DataFrame:
-    """All rows and columns of docs with their figures, `kept` (false if the base rules or the shared lines speak against it) and `cleaned`.
+NEW = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_frequent_lines", "cleaned", "kept"]
+
+
+def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str | None = None, **limits: float) -> DataFrame:
+    """All rows and columns of docs with their figures, n_frequent_lines, `cleaned`, and `kept` (false if the base rules or the shared lines speak against it).
 
     cleaned: the text without its host's frequent lines, every occurrence; the figures are those of the whole text.
     Null text: empty, which fails; a null host is the host ""; repeated rows get one verdict; an empty table stays empty;
-    columns named like the new ones are replaced. limits: those of losses().
+    columns named like the new ones are replaced, any other name may occur. limits: those of losses().
     """
-    lost = losses(docs, text, host, **limits)
-    out = figures(docs, text).withColumns({"_h": F.coalesce(F.col(host), F.lit("")), "_t": _key(text)[0], "_c": _key(text)[1]})
-    out = out.drop("kept").join(lost, (out._h == lost._host) & (out._t == lost._text) & (out._c == lost._chars), "left")
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("_out"), _line(x))), "\n")
-    out = out.withColumns({"kept": ~F.col("base_failed") & ~F.coalesce("_bad", F.lit(False)), "cleaned": F.when(F.col("_out").isNull(), F.col(text)).otherwise(left)})
-    return out.drop("_h", "_t", "_c", "_host", "_text", "_chars", "_out", "_bad")
+    kept = [c for c in docs.columns if c not in NEW or c in (text, host, doc_id)]
+    own = {c: f"c{i}" for i, c in enumerate(kept)}  # so that no name clashes with one used here
+    docs = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()))
+    lost = losses(docs, own[text], own[host], own.get(doc_id), **limits)
+    t = F.coalesce(F.col(own[text]), F.lit(""))
+    out = figures(docs, own[text]).withColumns({"_h": F.coalesce(F.col(own[host]), F.lit("")), "_t": _key(own[text])[0], "_c": _key(own[text])[1]})
+    out = out.join(lost, (out._h == lost._host) & (out._t == lost._text) & (out._c == lost._chars), "left")
+    frequent = lambda x: F.array_contains(F.col("_out"), _line(x))
+    left = F.array_join(F.filter(F.split(t, "\n"), lambda x: ~frequent(x)), "\n")
+    none = F.col("_out").isNull()
+    out = out.withColumns({
+        "kept": ~F.col("base_failed") & ~F.coalesce("_bad", F.lit(False)),
+        "cleaned": F.when(none, F.col(own[text])).otherwise(left),
+        "n_frequent_lines": F.when(none, 0).otherwise(F.size(F.filter(_lines(t), frequent))).cast("long"),
+    })
+    return out.select(*(F.col(n).alias(c) for c, n in own.items() if c not in NEW), *NEW)
 
 
 def keep(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that judge() keeps, with their own columns: the text without frequent lines, and n_chars, if there is one, counted anew."""
-    out = judge(docs.select("*", F.lit(0).alias("_mark")), text, **options).where("kept").withColumn(text, F.col("cleaned"))
-    out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
-    return out.select(*docs.columns)
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    named = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()))
+    options = {"host": own[options.pop("host", "source")]} | options
+    out = judge(named, own[text], **options).where("kept").withColumn(own[text], F.col("cleaned"))
+    out = out.withColumn(own["n_chars"], F.length(own[text]).cast(docs.schema["n_chars"].dataType)) if "n_chars" in own else out
+    return out.select(*(F.col(n).alias(c) for c, n in own.items()))

@@ -63,7 +63,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_lines"
     )
 
 
@@ -112,9 +112,9 @@ r AS (SELECT *, greatest(0, least(size, due - f)) + greatest(0, least(size, due
 SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(abs(CASE WHEN abs(pull) < 1e-12 THEN x ELSE ((1 + pull) - sqrt((1 + pull) * (1 + pull) - 4 * pull * x)) / (2 * pull) END), 9) END AS position FROM r"""
 
 _RULES = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
-URL_SQL = f"""WITH u AS (SELECT page_id, lower(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')) AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-r(action, h, p) AS (VALUES {_RULES}), m AS (SELECT page_id, host, path, h || p AS rule, action FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
-SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, coalesce(arg_max(action, length(rule)), 'allow') AS verdict FROM m GROUP BY page_id, host, path"""
+URL_SQL = f"""WITH u AS (SELECT row_number() OVER () AS i, page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(action, h, p) AS (VALUES {_RULES}), m AS (SELECT i, page_id, host, path, h || p AS rule, action FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, coalesce(arg_max(action, length(rule)), 'allow') AS verdict FROM m GROUP BY i, page_id, host, path"""
 
 QUALITY_SQL = f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, host, text, {WORDS.format("text")} AS w, list_filter(string_split(text, chr(10)), lambda x: {BARE.format("x")} <> '') AS l FROM d),
@@ -124,10 +124,10 @@ rep AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id,
 f AS (SELECT doc_id, host, text, CAST(len(w) AS BIGINT) AS n_words, CAST(length({BARE.format("text")}) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
 CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
 x AS (SELECT doc_id, host, text, lower(trim(regexp_replace(y, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS line, len({WORDS.format("y")}) AS n FROM (SELECT doc_id, host, text, unnest(l) AS y FROM w)),
-often AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS n FROM x GROUP BY 1, 2) JOIN (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY 1) USING (host) WHERE n > 10 AND n > 0.2 * texts),
-lost AS (SELECT doc_id, sum(n) AS lost FROM x SEMI JOIN often USING (host, line) GROUP BY 1)
+often AS (SELECT host, line FROM x GROUP BY 1, 2 HAVING count(DISTINCT text) > 10),
+lost AS (SELECT doc_id, sum(n) AS lost, count(*) AS frequent FROM x SEMI JOIN often USING (host, line) GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(n_words - lost < 0.3 * n_words, false) AS kept FROM f LEFT JOIN lost USING (doc_id)"""
+NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(n_words - lost < 0.3 * n_words, false) AS kept, coalesce(frequent, 0) AS n_frequent_lines FROM f LEFT JOIN lost USING (doc_id)"""
 
 CHAT_SQL = """WITH m AS (SELECT conv_id, turn, replace(coalesce(nullif(role, ''), 'unknown'), '<|', '< |') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
 p AS (SELECT DISTINCT conv_id, speaker AS participant FROM m WHERE speaker <> 'system'),

@@ -581,6 +581,18 @@ def test_shared_lines(spark):
     assert not any(got[i] for i in range(15)) and all(got[i] for i in range(15, 30))
     assert all(got[100 + i] for i in range(40))  # copies of one text don't make its line frequent
     assert got[200] and not got[201]
+    by_id = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA), doc_id="doc_id").collect()}
+    assert not any(by_id[100 + i].kept for i in range(40))  # unless ids are counted
+    assert by_id[100].n_frequent_lines == 1 and by_id[200].n_frequent_lines == 0
+
+
+def test_quality_with_clashing_names(spark):
+    t = spark.createDataFrame([(1, prose(40, 1), "a", i) for i in range(3)] + [(2, "", None, None)], "doc_id int, text string, source string, _host int")
+    for n in ("_text", "_out", "_of_words", "c1", "parts", "_bad", "n_words", "cleaned"):
+        t = t.withColumn(n, F.lit(7))
+    assert quality.keep(t).columns == t.columns
+    got = quality.judge(t).collect()
+    assert [r["_bad"] for r in got] == [7] * 4 and sorted(r.n_words for r in got) == [0, 40, 40, 40]
 
 
 def test_shared_lines_go_from_the_texts(spark):
