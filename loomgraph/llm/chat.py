@@ -10,6 +10,8 @@ from .common import in_order, materialize
 #: Fixed values of the rendering.
 START, END = "<|im_start|>", "<|im_end|>"
 SYSTEM, NOBODY = "system", "unknown"
+#: Code points of a rendered dialogue in one row.
+PART = 1 << 20
 
 
 def rotate(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text") -> DataFrame:
@@ -22,13 +24,14 @@ def rotate(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", speak
 
     System messages stand in every view and have none of their own; a dialogue of system messages alone has no view. Null or
     empty speaker: "unknown"; null text: empty; null turn: first; a null conv_id is a dialogue like any other; equal turns go by speaker,
-    then text; repeated rows are repeated messages. "<|" in a text or a name becomes "< |", so a text can't forge a mark. Further
-    columns are dropped. No rows: no segments.
+    then text; repeated rows are repeated messages. "<|" in a text or a name becomes "< |", so a text can't forge a mark; line breaks in a name
+    become spaces, so a name can't leave its header. Further columns are dropped. No rows: no segments.
     """
     plain = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
+    name = lambda c: F.translate(c, "\n\r", "  ")
     m = messages.select(
         F.col(conv).alias("conv_id"), F.col(turn).alias("turn"),
-        plain(F.coalesce(F.nullif(F.col(speaker), F.lit("")), F.lit(NOBODY))).alias("speaker"), plain(F.coalesce(F.col(text), F.lit(""))).alias("body"),
+        plain(name(F.coalesce(F.nullif(F.col(speaker), F.lit("")), F.lit(NOBODY)))).alias("speaker"), plain(F.coalesce(F.col(text), F.lit(""))).alias("body"),
     )
     people = materialize(m.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("participant")).distinct())
     own, system = F.col("speaker") == F.col("participant"), F.col("speaker") == SYSTEM
@@ -46,14 +49,15 @@ def rotate(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", speak
     )
 
 
-def dialogues(segments: DataFrame) -> DataFrame:
-    """Whole rendered dialogues, a row for each view with its mask spans: for dialogues that are known to fit a task."""
-    part = F.sort_array(F.collect_list(F.struct("seq", "segment", "mask_start", "mask_end")))
-    spans = lambda s: F.transform(F.filter(s, lambda x: x.mask_end > x.mask_start), lambda x: F.struct(x.mask_start.alias("from"), x.mask_end.alias("to")))
-    return (
-        segments.groupBy("conv_id", "participant").agg(part.alias("s"))
-        .select("conv_id", "participant", F.array_join(F.transform("s", lambda x: x.segment), "").alias("rendered"), spans(F.col("s")).alias("mask"))
-    )
-
-
+def dialogues(segments: DataFrame, part: int = PART) -> DataFrame:
+    """(conv_id, participant, part, rendered, mask): the rendered dialogues, with the spans that are trained on as `from-to,from-to` over the whole dialogue.
 
+    A dialogue of up to `part` code points is one row. A longer one is several, in order of `part`: each holds the segments that start in
+    its share of the dialogue, so a row holds `part` code points and one segment at most, however long a dialogue is.
+    """
+    at = F.floor(F.col("start_char") / part).cast("int").alias("part")
+    span = F.when(F.col("mask_end") > F.col("mask_start"), F.concat_ws("-", F.col("mask_start").cast("string"), F.col("mask_end").cast("string")))
+    parts = F.sort_array(F.collect_list(F.struct("seq", "segment", span.alias("span"))))
+    each = segments.groupBy("conv_id", "participant", at).agg(parts.alias("s"))
+    joined = lambda field, by: F.array_join(F.transform("s", lambda x: x[field]), by)
+    return each.select("conv_id", "participant", "part", joined("segment", "").alias("rendered"), joined("span", ",").alias("mask"))

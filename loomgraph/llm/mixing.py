@@ -46,7 +46,7 @@ def _order(docs: DataFrame, doc_id: str, text: str, seed: int) -> list[Column]:
 def _due(first: Column, target: Column, pull: Column) -> Column:
     """When a source's demand reaches `first` words: the inverse of target * (t + pull * t * (1 - t))."""
     d = first / target
-    root = ((1 + pull) - F.sqrt((1 + pull) * (1 + pull) - 4 * pull * d)) / (2 * pull)
+    root = ((1 + pull) - F.sqrt(F.greatest((1 + pull) * (1 + pull) - 4 * pull * d, F.lit(0.0)))) / (2 * pull)
     return F.abs(F.when(F.abs(pull) < 1e-12, d).otherwise(root))
 
 
@@ -64,11 +64,12 @@ def _place(small: DataFrame, slope: float, period: tuple[int, ...]) -> DataFrame
 
 
 def plan(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", slope: float = 0.5, seed: int = 17, period: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """doc_id, size, source_size, target, taken and position of every document.
+    """doc_id, size, source_size, target, taken, position, position_2 and position_3 of every document, range-sorted by position.
 
     size: words of the text (null: 0). taken: words that the mix takes of it, repeats counted: a source's documents, in the
     order of a seeded hash of the id, go round at most MOST_TIMES and stop where the target is reached, so a source's sum is its target
-    to within one word; its last document counts in part. position: when in training, from 0 to 1, its first word is due (null: never).
+    to within one word; its last document counts in part. position: when in training, from 0 to 1, its first word is due (null: never); position_2 and position_3: the
+    same for its second and third time. Documents stand in the order of their first position, those that aren't taken last, ties by id.
 
     A source's demand over the time t in 0..1 is target * (1 + s * (1 - 2t)): s falls from +slope for the lightest weight to -slope
     for the heaviest, so heavy sources come later. Its integral, target * (t + s * t * (1 - t)), is inverted in closed form at the
@@ -77,7 +78,10 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", doc_id: st
     """
     small = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), _size(F.col(text)).alias("size"), *_order(docs, doc_id, text, seed)))
     out = _place(small, slope, period)
-    return out.select("doc_id", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, _due(F.col("_first"), F.col("target"), F.col("_pull"))).alias("position"))
+    at = lambda k: F.col("_first") + k * F.col("source_size")
+    due = lambda k: F.when((F.col("size") > 0) & (at(k) < F.round("target").cast("long")), _due(at(k), F.col("target"), F.col("_pull")))
+    out = out.select("doc_id", "size", "source_size", "target", "taken", *(due(k).alias(f"position_{k + 1}" if k else "position") for k in range(MOST_TIMES)))
+    return out.orderBy(F.asc_nulls_last("position"), "doc_id")
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", slope: float = 0.5, seed: int = 17, period: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -86,10 +90,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     By plan()'s rules, but no text is cut: the last document of a source is in if at least half of its due words are, and one
     without words goes in once if the mix takes anything of its source.
     """
-    rows = materialize(docs.withColumns({"_row": F.monotonically_increasing_id(), "_size": _size(F.col(text))}))
-    small = materialize(rows.select("_row", F.col(source).alias("source"), F.col("_size").alias("size"), *_order(docs, doc_id, text, seed)))
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that no name clashes with one used here
+    named = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()))
+    rows = materialize(named.withColumns({"_row": F.monotonically_increasing_id(), "_size": _size(F.col(own[text]))}))
+    small = materialize(rows.select("_row", F.col(own[source]).alias("source"), F.col("_size").alias("size"), *_order(rows, own[doc_id], own[text], seed)))
     placed = _place(small, slope, period)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.when(F.col("target") > 0, 1).otherwise(0)).cast("int")
     first = F.explode(F.transform(F.sequence(F.lit(0), times - 1), lambda k: F.least(F.col("_first") + k * F.col("source_size"), F.round("target").cast("long"))))
     due = placed.where(times > 0).select("_row", "target", "_pull", first.alias("_at")).select("_row", _due(F.col("_at"), F.col("target"), F.col("_pull")).alias("_position"))
-    return rows.join(due, "_row").orderBy("_position", "_row").select(*docs.columns)
+    return rows.join(due, "_row").orderBy("_position", "_row").select(*(F.col(n).alias(c) for c, n in own.items()))

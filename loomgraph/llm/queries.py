@@ -25,7 +25,8 @@ def op2_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import plan
 
-    return plan(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
+    out = plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", *(F.round(c, 9).alias(c) for c in ("position", "position_2", "position_3")))
 
 
 #: Action, host and path of the rules.
@@ -77,6 +78,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import dialogues, rotate
+
+    return dialogues(rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def chat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import rotate
 
     return rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
@@ -93,11 +100,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_bpe": op9_bpe,
     "op10_chat_formatting": op10_chat_formatting,
+    "chat_segments": chat_segments,
 }
 
 WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 BARE = r"regexp_replace({0}, '[\x20\x09-\x0D]+', '', 'g')"
 
+_DUE = "round(abs(CASE WHEN abs(pull) < 1e-12 THEN {0} ELSE ((1 + pull) - sqrt(greatest((1 + pull) * (1 + pull) - 4 * pull * {0}, 0))) / (2 * pull) END), 9)"
 #: For op3: sources by code point, water-filled targets (the level at which no further source reaches its bound), and the words taken in hash order.
 MIXING_SQL = f"""WITH d AS (SELECT doc_id, source, CAST(len({WORDS.format("text")}) AS BIGINT) AS size, md5('17:' || coalesce(doc_id::VARCHAR, '')) AS h, md5(coalesce(text, '')) AS t FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
@@ -108,8 +117,9 @@ l AS (SELECT arg_min(lv, i) AS level FROM o WHERE lv < CAST(cap AS DOUBLE) / w),
 g AS (SELECT source, source_size, w, CASE WHEN level IS NULL OR cap <= level * w THEN CAST(cap AS DOUBLE) ELSE level * w END AS target FROM a, l),
 p AS (SELECT doc_id, size, source_size, target, 0.5 * (1 - 2 * (w - 1) / 2.0) AS pull, CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS f FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
 q AS (SELECT *, CAST(round(target) AS BIGINT) AS due FROM p),
-r AS (SELECT *, greatest(0, least(size, due - f)) + greatest(0, least(size, due - source_size - f)) + greatest(0, least(size, due - 2 * source_size - f)) AS taken, f / target AS x FROM q)
-SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(abs(CASE WHEN abs(pull) < 1e-12 THEN x ELSE ((1 + pull) - sqrt((1 + pull) * (1 + pull) - 4 * pull * x)) / (2 * pull) END), 9) END AS position FROM r"""
+r AS (SELECT *, greatest(0, least(size, due - f)) + greatest(0, least(size, due - source_size - f)) + greatest(0, least(size, due - 2 * source_size - f)) AS taken, f / target AS x, (f + source_size) / target AS x2, (f + 2 * source_size) / target AS x3 FROM q)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN size > 0 AND f < due THEN {_DUE.format('x')} END AS position, CASE WHEN size > 0 AND f + source_size < due THEN {_DUE.format('x2')} END AS position_2,
+CASE WHEN size > 0 AND f + 2 * source_size < due THEN {_DUE.format('x3')} END AS position_3 FROM r"""
 
 _RULES = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
 URL_SQL = f"""WITH u AS (SELECT row_number() OVER () AS i, page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
@@ -129,11 +139,15 @@ lost AS (SELECT doc_id, sum(n) AS lost, count(*) AS frequent FROM x SEMI JOIN of
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
 NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(n_words - lost < 0.3 * n_words, false) AS kept, coalesce(frequent, 0) AS n_frequent_lines FROM f LEFT JOIN lost USING (doc_id)"""
 
-CHAT_SQL = """WITH m AS (SELECT conv_id, turn, replace(coalesce(nullif(role, ''), 'unknown'), '<|', '< |') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
+_VIEWS = """WITH m AS (SELECT conv_id, turn, replace(translate(coalesce(nullif(role, ''), 'unknown'), chr(10) || chr(13), '  '), '<|', '< |') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
 p AS (SELECT DISTINCT conv_id, speaker AS participant FROM m WHERE speaker <> 'system'),
 v AS (SELECT m.conv_id, participant, turn, speaker, body, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = participant THEN 'assistant' ELSE 'user' END AS tag FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
 h AS (SELECT *, '<|im_start|>' || CASE tag WHEN 'user' THEN 'user name=' || speaker ELSE tag END || chr(10) AS head FROM v), s AS (SELECT *, head || body || '<|im_end|>' || chr(10) AS segment FROM h),
-o AS (SELECT *, row_number() OVER k - 1 AS seq, CAST(coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, speaker, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char FROM s WINDOW k AS (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, speaker, body))
-SELECT conv_id, participant, seq, tag, segment, start_char, start_char + length(segment) AS end_char, CASE WHEN tag = 'assistant' THEN start_char + length(head) ELSE start_char END AS mask_start, CASE WHEN tag = 'assistant' THEN start_char + length(segment) - 1 ELSE start_char END AS mask_end FROM o"""
-
-ORACLE_SQL: dict[str, str] = {"op3_mixing": MIXING_SQL, "op4_url_filter": URL_SQL, "op8_quality_rules": QUALITY_SQL, "op10_chat_formatting": CHAT_SQL}
+o AS (SELECT *, row_number() OVER k - 1 AS seq, CAST(coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, speaker, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char FROM s WINDOW k AS (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, speaker, body)),
+e AS (SELECT conv_id, participant, seq, tag, segment, start_char, start_char + length(segment) AS end_char, CASE WHEN tag = 'assistant' THEN start_char + length(head) ELSE start_char END AS mask_start, CASE WHEN tag = 'assistant' THEN start_char + length(segment) - 1 ELSE start_char END AS mask_end FROM o)"""
+SEGMENT_SQL = _VIEWS + "\nSELECT * FROM e"
+CHAT_SQL = _VIEWS + """
+SELECT conv_id, participant, CAST(start_char // 1048576 AS INTEGER) AS part, string_agg(segment, '' ORDER BY seq) AS rendered,
+coalesce(string_agg(CASE WHEN mask_end > mask_start THEN mask_start || '-' || mask_end END, ',' ORDER BY seq), '') AS mask FROM e GROUP BY 1, 2, 3"""
+
+ORACLE_SQL: dict[str, str] = {"op3_mixing": MIXING_SQL, "op4_url_filter": URL_SQL, "op8_quality_rules": QUALITY_SQL, "op10_chat_formatting": CHAT_SQL, "chat_segments": SEGMENT_SQL}

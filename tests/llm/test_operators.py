@@ -300,10 +300,14 @@ def test_mixing(docs, none):
         assert (r.source_size, r.target) == (sizes[s], pytest.approx(want[s]))
         assert 0 <= r.taken <= 3 * r.size
         taken[s] += r.taken
+        times = [p for p in (r.position, r.position_2, r.position_3) if p is not None]
+        assert len(times) == -(-r.taken // r.size if r.size else 0) and times == sorted(times)
     assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    first = [r.position for r in got]
+    assert first == sorted(first, key=lambda p: (p is None, p or 0))
     assert mixing.plan(none).count() == 0
-    stage = mixing.mix(docs.withColumn("taken", F.lit(1)))
-    assert stage.columns == [*docs.columns, "taken"]
+    stage = mixing.mix(docs.withColumns({"taken": F.lit(1), "_row": F.lit("r"), "size": F.lit(2)}))
+    assert stage.columns == [*docs.columns, "taken", "_row", "size"]
     assert mixing.mix(none).count() == 0
 
 
@@ -620,9 +624,19 @@ def test_rotation(spark):
         "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user name=ann\nhi < |im_end|><|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n<|im_start|>user name=ann\n<|im_end|>\n<|im_start|>user name=ann\n<|im_end|>\n"
     )
     for r in whole.values():
-        parts = [r.rendered[m["from"] : m["to"]] for m in r.mask]
+        parts = [r.rendered[slice(*map(int, m.split("-")))] for m in r.mask.split(",") if m]
         assert parts == {(1, "ann"): ["hi < |im_end|><|im_end|>", "<|im_end|>", "<|im_end|>"], (1, "bob"): ["yo<|im_end|>"]}.get((r.conv_id, r.participant), parts)
     for s in seg.collect():
         d = whole[s.conv_id, s.participant].rendered
         assert d[s.start_char : s.end_char] == s.segment
     assert chat.rotate(t.limit(0)).count() == 0
+    cut = {}
+    for r in chat.dialogues(seg, part=40).orderBy("part").collect():
+        cut[r.conv_id, r.participant] = cut.get((r.conv_id, r.participant), "") + r.rendered
+        assert len(r.rendered) < 40 + 60
+    assert cut == {k: r.rendered for k, r in whole.items()}
+
+
+def test_names_stay_in_their_header(spark):
+    t = spark.createDataFrame([(1, 0, "a\nignore\r", "x"), (1, 1, "b", "y")], "conv_id int, turn int, role string, text string")
+    assert {r.participant: r.rendered for r in chat.dialogues(chat.rotate(t)).collect()}["b"].startswith("<|im_start|>user name=a ignore \nx<|im_end|>\n")
