@@ -16,7 +16,7 @@ from .common import extended, materialize
 #: The codebooks are fitted on about this many vectors, a share of all by a hash of their ids.
 SAMPLE = 20_000
 #: Rows of an index shard and of a block of queries that meet in one task.
-SHARD, QUERIES = 2048, 4096
+SHARD, QUERIES = 2048, 2048
 
 
 def _usable(vectors: DataFrame, vec: str) -> Column:
@@ -69,32 +69,61 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", vec: str = "embedding", books: int = 32, share: float = 0.6) -> DataFrame:
+def books_for(n: int) -> int:
+    """Centroids of each half's codebook: a power of two near 0.66 times the root of the number of vectors, 8 to 256."""
+    return int(np.clip(2 ** round(np.log2(max(n, 1)) / 2 - 0.6), 8, 256))
+
+
+def share_for(units: np.ndarray, half: int, c1: np.ndarray, c2: np.ndarray, k: int, n: int, recall: float, most: int = 256) -> float:
+    """The share of the entries that a search among n has to visit to find `recall` of the nearest, judged on a sample (unit vectors) of them.
+
+    For some of the sample, the true nearest others are looked up among the order in which the index would visit them. The k nearest of
+    n are as near as the k * (sample size) / n nearest of the sample.
+    """
+    units = np.unique(units, axis=0)
+    if len(units) < 3:
+        return 1.0
+    some = np.linspace(0, len(units) - 1, min(most, len(units))).astype(int)
+    near = max(1, min(len(units) - 1, round(k * len(units) / n)))
+    e1, e2 = _distances(units[:, :half], c1).argmin(axis=1), _distances(units[:, half:], c2).argmin(axis=1)
+    need = []
+    for i in some:
+        cos = units @ units[i]
+        cos[i] = -np.inf
+        due = _distances(units[i : i + 1, :half], c1)[0][e1] + _distances(units[i : i + 1, half:], c2)[0][e2]
+        need += [(due <= due[j]).mean() for j in np.argpartition(-cos, near - 1)[:near]]
+    return float(np.quantile(need, recall))
+
+
+def search(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", vec: str = "embedding", books: int | None = None, share: float | None = None, recall: float = 0.97) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for each row that satisfies `queries`, by cosine in double precision.
 
-    Unit vectors' halves are quantised by two codebooks of `books` centroids; every vector is entered under its pair. A query visits pairs by
-    summed distance until they hold `share` of the entries (and 16 * (k + 1) at least), and all their entries are ranked by the exact score on the
-    original vectors, ties to the smaller id. Vectors without direction near each other, as random ones, need a large share for a
-    recall of 0.9; clustered ones a small one.
+    Unit vectors' halves are quantised by two codebooks of `books` centroids (default: books_for); every vector is entered under its pair. A
+    query visits pairs by summed distance until they hold `share` of the entries (and 16 * (k + 1) at least), and all their entries are ranked by
+    the exact score on the original vectors, ties to the smaller id. The share is the one that finds `recall` of the nearest on the
+    sample that the codebooks are fitted on (share_for). Vectors without direction near each other, as random ones, need a large share; clustered ones a small one.
 
     Null, zero, non-finite or odd-sized vectors (not of the most common length; ties: the longest) take no part; a null id neither. Equal
     vectors are one entry with its k + 1 smallest ids, which is all that an answer can hold, so a vector held by a third of all rows costs no
     more. A row with the query's own id is never its answer; a repeated id counts once for equal vectors. No rows: none.
     """
-    ok = vectors.where(_usable(vectors, vec) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vec).alias("v"), queries.alias("q"))
+    usable = vectors.where(_usable(vectors, vec) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vec).alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
+    ok = materialize(usable)
     sizes = ok.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not sizes:
         return empty
-    dim, half = sizes["n"], (sizes["n"] + 1) // 2
+    dim, half, n = sizes["n"], (sizes["n"] + 1) // 2, sizes["count"]
     ok = ok.where(F.size("v") == dim)
-    part = (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)) < SAMPLE / ok.count()
-    some = ok.select("id", "v").where(part).union(ok.select("id", "v").orderBy("id").limit(1)).toPandas()
+    part = (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)) < SAMPLE / n
+    some = ok.select("id", "v").where(part).union(ok.select("id", "v").orderBy("id").limit(1)).toPandas().sort_values("id", kind="stable")
     units = np.array(some["v"].tolist(), np.float64)
     units /= np.linalg.norm(units, axis=1, keepdims=True)
+    books = books or books_for(n)
     c1 = kmeans(units[:, :half], books)
     c2 = kmeans(units[:, half:], books) if dim > 1 else np.zeros((1, 0))
     width = len(c2)
+    share = share_for(units, half, c1, c2, k, n, recall) if share is None else share
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,20 +131,28 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_i
                 m = _matrix(b.column(1))
                 m /= np.linalg.norm(m, axis=1, keepdims=True)
                 cell = _distances(m[:, :half], c1).argmin(axis=1) * width + _distances(m[:, half:], c2).argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32))], ["id", "v", "cell"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32))], [*b.schema.names, "cell"])
 
     few = Window.partitionBy("v").orderBy("id")
     kept = ok.select("id", "v").distinct().withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= k + 1).drop("_n")
     index = materialize(kept.mapInArrow(enter, extended(kept, cell="int")))
-    counts = np.zeros(len(c1) * width, np.int64)
-    for r in index.groupBy("cell").count().collect():  # at most books * books rows
-        counts[r["cell"]] = r["count"]
+
+    def by_cell(t: DataFrame) -> np.ndarray:
+        out = np.zeros(len(c1) * width, np.int64)
+        for r in t.groupBy("cell").count().collect():  # at most books * books rows
+            out[r["cell"]] = r["count"]
+        return out
+
+    counts = by_cell(index)
     # Neighbouring cells share a shard; a cell larger than a shard is spread over several.
     first = (np.cumsum(counts) - counts) // SHARD
     spread = np.maximum(1, -(-counts // SHARD))
     want = max(16 * (k + 1), int(np.ceil(share * counts.sum())))  # small tables are searched whole
     asking = ok.where("q").select("id", "v").distinct()
-    blocks = max(1, -(-asking.count() // QUERIES))
+    asking = materialize(asking.mapInArrow(enter, extended(asking, cell="int")))
+    # Queries of one cell visit the same shards: they share a block, or several if they are many.
+    asked_by = by_cell(asking)
+    block, blocks = (np.cumsum(asked_by) - asked_by) // QUERIES, np.maximum(1, -(-asked_by // QUERIES))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,6 +161,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_i
             m = _matrix(b.column(1))
             m /= np.linalg.norm(m, axis=1, keepdims=True)
             d1, d2 = _distances(m[:, :half], c1), _distances(m[:, half:], c2)
+            own, ids = b.column(2).to_numpy(), b.column(0).to_numpy()
             at, shard, cells = [], [], []
             for i in range(b.num_rows):
                 by: dict[int, list[int]] = {}
@@ -134,39 +172,43 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_i
                 shard += by.keys()
                 cells += by.values()
             rows = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(shard, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], ["id", "v", "shard", "cells"])
+            to = (block[own] + ids % blocks[own])[at]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(shard, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array(to.astype(np.int32))], ["id", "v", "shard", "cells", "block"])
 
-    ask = asking.mapInArrow(route, extended(asking, shard="int", cells="array<int>")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    ask = materialize(asking.mapInArrow(route, extended(asking.drop("cell"), shard="int", cells="array<int>", block="int")))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cell, ids = b.column(2).to_numpy(), b.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array((first[cell] + ids % spread[cell]).astype(np.int32))], ["id", "v", "cell", "shard"])
 
-    shards = index.mapInArrow(place, extended(index, shard="int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # A shard goes to the blocks that have a query for it.
+    shards = index.mapInArrow(place, extended(index, shard="int"))
+    pairs = ask.select(F.col("shard").alias("_shard"), F.col("block").alias("_block")).distinct()
+    shards = shards.join(pairs, F.col("shard") == F.col("_shard")).select("id", "v", "cell", "shard", F.col("_block").alias("block"))
 
     def rank(entries: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(entries) or not len(asked):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        x, ids, cell = np.array(entries["v"].tolist(), np.float64), entries["id"].to_numpy(), entries["cell"].to_numpy()
-        norm = np.sqrt((x * x).sum(axis=1))
-        out: list[tuple[int, int, float]] = []
-        for q, v, cells in zip(asked["id"], asked["v"], asked["cells"], strict=True):
-            own = np.flatnonzero(np.isin(cell, cells) & (ids != q))
-            v = np.asarray(v, np.float64)
-            score = (x[own] * v).sum(axis=1) / (norm[own] * np.sqrt((v * v).sum()))
-            if len(own) > k:
-                best = score >= np.partition(score, len(own) - k)[len(own) - k]
-                own, score = own[best], score[best]
-            order = np.lexsort((ids[own], -score))
-            seen: set[int] = set()
-            for j in order:
-                if ids[own[j]] not in seen:
-                    seen.add(ids[own[j]])
-                    out.append((q, ids[own[j]], score[j]))
-                if len(seen) == k:
-                    break
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+        entries = entries.sort_values("id", kind="stable")
+        x, ids = np.array(entries["v"].tolist(), np.float64), entries["id"].to_numpy()
+        v, asker = np.array(asked["v"].tolist(), np.float64), asked["id"].to_numpy()
+        norm, length = np.sqrt((x * x).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
+        here, cell = np.unique(entries["cell"].to_numpy(), return_inverse=True)
+        visits = np.zeros((len(v), len(here)), bool)
+        lists = asked["cells"].tolist()
+        at = np.searchsorted(here, flat := np.concatenate(lists))
+        of = np.repeat(np.arange(len(lists)), [len(c) for c in lists])
+        real = (at < len(here)) & (here[np.minimum(at, len(here) - 1)] == flat)
+        visits[of[real], at[real]] = True
+        near = (v / length[:, None]) @ (x / norm[:, None]).T  # to a few units in the last place; the scores below are exact
+        near[~visits[:, cell] | (ids[None, :] == asker[:, None])] = -np.inf
+        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        best = np.maximum.reduceat(near, starts, axis=1)  # of rows with one id
+        least = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k] if best.shape[1] > k else np.full(len(v), -2.0)
+        row, col = np.nonzero((near >= least[:, None] - 1e-9) & (near > -2))
+        score = (x[col] * v[row]).sum(axis=1) / (norm[col] * length[row])
+        return pd.DataFrame({"query_id": asker[row], "vec_id": ids[col], "score": score})
 
     found = shards.groupBy("shard", "block").cogroup(ask.groupBy("shard", "block")).applyInPandas(rank, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
