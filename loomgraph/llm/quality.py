@@ -65,7 +65,7 @@ def _key(text: str) -> list[Column]:
 
 
 def losses(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str | None = None, most_docs: int = 10, least_left: float = 0.3) -> DataFrame:
-    """(_host, _text, _chars, _out, _bad) of the texts that hold frequent lines of their host: the lines' hashes, and whether the text loses too much.
+    """(_host, _text, _chars, _out, _n, _bad) of the texts that hold frequent lines of their host: the lines' hashes, how many lines go, and whether the text loses too much.
 
     A line (lower-cased, white space made single spaces) is frequent if more than most_docs distinct documents of its host hold it,
     however large the host is. A text is depleted if less than least_left of its words are outside frequent lines. Copies of one text
@@ -83,10 +83,10 @@ def losses(docs: DataFrame, text: str = "text", host: str = "source", doc_id: st
     # Copies are counted alike, so sums over all of them compare like one text's.
     total = own.select("_host", "_text", "_chars", n.alias("n"))
     found = each.join(frequent, ["_host", "line"]).groupBy("_host", "_text", "_chars")
-    lost = materialize(found.agg(F.sum("n").alias("lost"), F.collect_set("line").alias("_out")))
-    whole = total.join(lost.select("_host", "_text", "_chars"), ["_host", "_text", "_chars"], "left_semi").groupBy("_host", "_text", "_chars").agg(F.sum("n").alias("n"))
+    lost = materialize(found.agg(F.sum("n").alias("lost"), F.count("*").alias("gone"), F.collect_set("line").alias("_out")))
+    whole = total.join(lost.select("_host", "_text", "_chars"), ["_host", "_text", "_chars"], "left_semi").groupBy("_host", "_text", "_chars").agg(F.sum("n").alias("n"), F.count("*").alias("copies"))
     bad = (F.col("n") - F.col("lost") < least_left * F.col("n")).alias("_bad")
-    out = materialize(lost.join(whole, ["_host", "_text", "_chars"]).select("_host", "_text", "_chars", "_out", bad))
+    out = materialize(lost.join(whole, ["_host", "_text", "_chars"]).select("_host", "_text", "_chars", "_out", (F.col("gone") / F.col("copies")).cast("long").alias("_n"), bad))
     discard(own, frequent, lost)
     return out
 
@@ -107,6 +107,8 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str
     lost = losses(docs, own[text], own[host], own.get(doc_id), **limits)
     t = F.coalesce(F.col(own[text]), F.lit(""))
     out = figures(docs, own[text]).withColumns({"_h": F.coalesce(F.col(own[host]), F.lit("")), "_t": _key(own[text])[0], "_c": _key(own[text])[1]})
+    # A sort-merge join at every size, as on large tables: it is split where a host is hot.
+    lost = lost.hint("merge")
     out = out.join(lost, (out._h == lost._host) & (out._t == lost._text) & (out._c == lost._chars), "left")
     frequent = lambda x: F.array_contains(F.col("_out"), _line(x))
     left = F.array_join(F.filter(F.split(t, "\n"), lambda x: ~frequent(x)), "\n")
@@ -114,7 +116,7 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str
     out = out.withColumns({
         "kept": ~F.col("base_failed") & ~F.coalesce("_bad", F.lit(False)),
         "cleaned": F.when(none, F.col(own[text])).otherwise(left),
-        "n_frequent_lines": F.when(none, 0).otherwise(F.size(F.filter(_lines(t), frequent))).cast("long"),
+        "n_frequent_lines": F.coalesce("_n", F.lit(0)).cast("long"),
     })
     return out.select(*(F.col(n).alias(c) for c, n in own.items() if c not in NEW), *NEW)
 
