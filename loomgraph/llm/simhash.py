@@ -389,7 +389,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "len")
     gone = groups.where(own != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("len").alias("_len")).distinct()
     keyed = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(t) == F.col("_th")) & (F.octet_length(t) == F.col("_len"))
-    out = docs.join(materialize(gone), keyed, "left_anti")
+    out = docs.join(materialize(gone).hint("merge"), keyed, "left_anti")  # as on large tables, at every size
     twice = materialize(groups.where(own == F.col("first")).groupBy("doc_id", "th", "len").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("len").alias("_len")))
     if twice.limit(1).count():
         rest = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
