@@ -48,10 +48,10 @@ def args_hash(*args: Column, cache_type: str | None = None) -> Column:
 
 def clean(c: Column) -> Column:
     """Stripped, the five basic HTML entities resolved, control characters dropped."""
-    out = strip(c)
+    plain = out = strip(c)
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(char))
-    return F.regexp_replace(out, r"[\x00-\x1f\x7f-\x9f]", "")
+    return F.regexp_replace(F.when(plain.contains("&"), out).otherwise(plain), r"[\x00-\x1f\x7f-\x9f]", "")
 
 
 @F.pandas_udf(T.StringType())
@@ -117,32 +117,50 @@ def keywords(response: Column) -> Column:
     return F.struct(F.coalesce(parsed.high_level_keywords, none).alias("high"), F.coalesce(parsed.low_level_keywords, none).alias("low"))
 
 
-@F.pandas_udf(T.StringType())
-def first_json(c: pd.Series) -> pd.Series:
-    """The first balanced {...}, line breaks removed; null if there is none (a scan with a counter, in Arrow batches)."""
+def first_json(c: Column) -> Column:
+    """The first balanced {...} without its line breaks; null if there is none or if it isn't JSON. Folded in the JVM, a piece between braces at a time."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"), F.lit(False).alias("done"))
+
+    def step(a: Column, x: Column) -> Column:
+        depth = a.depth + F.when(x == "{", 1).when((x == "}") & (a.depth > 0), -1).otherwise(0)
+        inside = (a.depth > 0) | (depth > 0)
+        new = F.struct(depth.alias("depth"), F.when(inside, F.concat(a.text, x)).otherwise(a.text).alias("text"), (inside & (depth == 0)).alias("done"))
+        return F.when(a.done, a).otherwise(new)
+
+    found = F.aggregate(F.regexp_extract_all(c, F.lit(r"[^{}]+|[{}]"), F.lit(0)), start, step, lambda a: F.when(a.done, F.replace(a.text, F.lit("\n"), F.lit(""))))
+    return F.when(F.try_parse_json(found).isNotNull(), found)
 
-    def one(s: str | None) -> str | None:
-        depth, start = 0, -1
-        for i, ch in enumerate(s or ""):
-            if ch == "{":
-                if not depth:
-                    start = i
-                depth += 1
-            elif ch == "}" and depth:
-                depth -= 1
-                if not depth:
-                    return s[start : i + 1].replace("\n", "")
-        return None
 
-    return c.map(one)
+#: Fixed value: a key, quoted or not, and an object without inner ones, a quoted text, or all up to a comma or a closing brace.
+LOOSE_PAIR = r'("?\w+"?)\s*:\s*(\{[^}]*\}|".*?"|[^,}]+)'
 
 
 def loose_values(c: Column) -> Column:
-    """map(key, text) of all `key: value` pairs, quoted or bare, as they stand; later ones win."""
-    pair = r"\"?(\w+)\"?\s*:\s*(\"[^\"]*\"|[^\s,{}\[\]]+)"
-    both = F.arrays_zip(F.regexp_extract_all(c, F.lit(pair), F.lit(1)).alias("k"), F.regexp_extract_all(c, F.lit(pair), F.lit(2)).alias("v"))
+    """map(key, text) of all `key: value` pairs of a broken JSON text; later ones win. Objects stay as they stand: apply it to them again."""
+    pair = F.lit("(?s)" + LOOSE_PAIR)
+    both = F.arrays_zip(F.regexp_extract_all(c, pair, F.lit(1)).alias("k"), F.regexp_extract_all(c, pair, F.lit(2)).alias("v"))
+    both = F.transform(both, lambda x: F.struct(F.btrim(x.k, F.lit('"')).alias("k"), strip(x.v).alias("v")))
     last = F.filter(both, lambda x, i: ~F.exists(F.slice(both, i + 2, F.greatest(F.size(both) - i - 1, F.lit(0))), lambda y: y.k == x.k))
-    return F.map_from_arrays(F.transform(last, lambda x: x.k), F.transform(last, lambda x: F.regexp_replace(x.v, '^"|"$', "")))
+    return F.map_from_arrays(F.transform(last, lambda x: x.k), F.transform(last, lambda x: F.when(x.v.startswith("{"), x.v).otherwise(F.btrim(x.v, F.lit('"')))))
+
+
+def response_json(c: Column) -> Column:
+    """A model's answer as JSON text: its first object, else the loose pairs as an object of texts; null if neither is found."""
+    pairs = loose_values(c)
+    return F.coalesce(first_json(c), F.when(F.size(pairs) > 0, F.to_json(pairs)))
+
+
+def clean_response(response: Column, system: Column, query: Column) -> Column:
+    """An answer without the prompt, the query and role words that a model has repeated; answers no longer than the prompt stay as they are."""
+    out = response
+    for part in (system, F.lit("user"), F.lit("model"), query, F.lit("<system>"), F.lit("</system>")):
+        out = F.when(part == "", out).otherwise(F.replace(out, part, F.lit("")))
+    return F.when(F.length(response) > F.length(system), strip(out)).otherwise(response)
+
+
+def keyword_question(prompt: Column, query: Column, high: Column, low: Column) -> Column:
+    """A question that carries its keywords (arrays), as a query with separate keyword extraction puts it."""
+    return F.concat(prompt, F.lit("\n\n### Keywords:\nHigh-level: "), F.array_join(high, ", "), F.lit("\nLow-level: "), F.array_join(low, ", "), F.lit("\n\n### Query:\n"), query)
 
 
 def scalar(c: Column) -> Column:
@@ -191,14 +209,19 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(n > 0, F.size(F.array_intersect(x, y)) / n).otherwise(0.0)
 
 
+def in_turn(texts: Column) -> Column:
+    """An array of texts as user and assistant messages in turn."""
+    return F.transform(texts, lambda x, i: F.struct(F.when(i % 2 == 0, "user").otherwise("assistant").alias("role"), x.alias("content")))
+
+
 def messages(*texts: Column) -> Column:
     """Texts in turn as user and assistant messages."""
-    return F.transform(F.array(*texts), lambda x, i: F.struct(F.when(i % 2 == 0, "user").otherwise("assistant").alias("role"), x.alias("content")))
+    return in_turn(F.array(*texts))
 
 
 #: Language codes and names.
 LANGUAGES = {
-    "en": "English", "fr": "French", "de": "German", "es": "Spanish", "vi": "Vietnamese", "zh-cn": "Chinese", "zh-tw": "Chinese", "ja": "Japanese", "ko": "Korean",
+    "en": "English", "fr": "French", "de": "German", "es": "Spanish", "vi": "Vietnamese", "zh": "Chinese", "zh-cn": "Chinese", "zh-tw": "Chinese", "ja": "Japanese", "ko": "Korean",
     "ru": "Russian", "ar": "Arabic", "hi": "Hindi", "it": "Italian", "pt": "Portuguese", "nl": "Dutch", "th": "Thai",
 }
 

@@ -11,10 +11,11 @@ from ..functions.text import COMPLETION_DELIMITER, RECORD_DELIMITER, TUPLE_DELIM
 def records(answers: DataFrame, answer: str = "answer") -> DataFrame:
     """One row for each parenthesised record of an answer: answers' columns but the text, ord, attrs ARRAY."""
     parts = split_markers(F.col(answer), RECORD_DELIMITER, COMPLETION_DELIMITER)
+    # Split inside the exploded array: what is exploded is computed once, whatever filters follow.
+    attrs = F.transform(parts, lambda r: split_markers(F.regexp_extract(r, r"\(([^\n]*)\)", 1), TUPLE_DELIMITER))
     keep = [c for c in answers.columns if c != answer]
-    out = answers.select(*keep, F.posexplode(parts).alias("ord", "_r"))
-    body = F.regexp_extract("_r", r"\(([^\n]*)\)", 1)
-    return out.where(body != "").select(*keep, F.col("ord").cast("long").alias("ord"), split_markers(body, TUPLE_DELIMITER).alias("attrs"))
+    out = answers.select(*keep, F.posexplode(attrs).alias("ord", "attrs"))
+    return out.where(F.size("attrs") > 0).withColumn("ord", F.col("ord").cast("long"))
 
 
 def entities(recs: DataFrame, chunk: str = "chunk_id") -> DataFrame:

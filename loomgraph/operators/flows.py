@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import content_id, doc_id, strip
+from ..functions.text import FIELD_SEP, content_id, doc_id, quoted, strip
 from . import cache, community, extract, merge, metrics, tables
 from ..scratch import materialize
 
@@ -54,6 +54,39 @@ def extract_graph(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.unionByName(merge.missing_endpoints(nodes, edges)), edges
 
 
+def _sets(new: DataFrame, old: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """The fields' values by key, new ones and those that old rows hold joined, as sets joined again."""
+    each = lambda t, f, v: t.select(*keys, F.lit(f).alias("_f"), v.alias("_v"))
+    rows = None
+    for f in fields:
+        part = each(new, f, F.col(f)).unionByName(each(old, f, F.explode(F.split(F.col(f), quoted(FIELD_SEP)))))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = rows.where(F.col("_v") != "").distinct()
+    return rows.groupBy(*keys).agg(*(merge.joined(F.collect_set(F.when(F.col("_f") == f, F.col("_v")))).alias(f) for f in fields))
+
+
+def extract_into(answers: DataFrame, nodes: DataFrame, edges: DataFrame, tokens: Column | None = None, summarise: Column | None = None, least: int = 500) -> tuple[DataFrame, DataFrame]:
+    """The graph with an extraction's answers (chunk_id, answer) merged into it.
+
+    Types are voted on by all new records and one vote of the stored node, which loses ties; descriptions and sources are united, weights
+    added; endpoints that neither side describes become nodes. With `summarise`, descriptions of `least` tokens or more go through it.
+    """
+    recs = extract.records(answers)
+    found, links = extract.entities(recs), extract.undirected(extract.relations(recs))
+    votes = found.select("entity_name", "entity_type", F.lit(0).alias("stored"), "source_id", "ord")
+    votes = votes.unionByName(nodes.select("entity_name", "entity_type", F.lit(1).alias("stored"), F.lit("").alias("source_id"), F.lit(0).cast("long").alias("ord")))
+    kind = merge.mode_first_seen(votes, "entity_name", "entity_type", ["stored", "source_id", "ord"])
+    n = kind.join(_sets(found, nodes, ["entity_name"], ["description", "source_id"]), "entity_name", "left")
+    old = extract.undirected(edges)
+    pair = ["src_id", "tgt_id"]
+    weight = links.select(*pair, "weight").unionByName(old.select(*pair, "weight")).groupBy(*pair).agg(F.sum("weight").alias("weight"))
+    e = weight.join(_sets(links, old, pair, ["description", "keywords", "source_id"]), pair, "left")
+    n = n.unionByName(merge.missing_endpoints(n, e))
+    if summarise is not None:
+        n, e = (merge.summarised(t, tokens, summarise, least) for t in (n, e))
+    return n, e
+
+
 def custom_chunks(text: str, pieces: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """A document given with its chunks (ord, content): its row, and those of its chunks that aren't stored yet."""
     spark = pieces.sparkSession

@@ -144,6 +144,11 @@ def without_sources(rows: DataFrame, chunk_ids: Column) -> DataFrame:
     return out.where(F.size("source_ids") > 0)
 
 
+def drop_sources(mentions: DataFrame, chunk_ids: DataFrame) -> DataFrame:
+    """mentions (entity_name, chunk) of all chunks but those of chunk_ids (id): rows, so neither side is gathered."""
+    return mentions.join(chunk_ids.select(F.col("id").alias("chunk")), "chunk", "left_anti")
+
+
 def residual(rows: DataFrame, chunk_ids: DataFrame) -> DataFrame:
     """Rows that still name one of the chunks (id): none after a full delete."""
     return rows.withColumn("id", F.explode("source_ids")).join(chunk_ids.select("id"), "id", "left_semi").drop("id").distinct()

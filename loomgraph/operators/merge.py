@@ -31,14 +31,14 @@ def nodes(records: DataFrame, order: list[str]) -> DataFrame:
     return kind.join(rest, "entity_name")
 
 
-def edges(records: DataFrame) -> DataFrame:
-    """One row for each undirected pair: weights summed, sets of descriptions, keywords and sources joined, empty ones left out.
+def edges(records: DataFrame, directed: bool = False) -> DataFrame:
+    """One row for each undirected pair (directed: for each ordered one): weights summed, sets of descriptions, keywords and sources joined, empty ones left out.
 
     records: src_id, tgt_id, weight, description, keywords, source_id, and `order` if there is one (the smallest stays).
     """
     some = lambda c: joined(F.collect_set(F.nullif(F.col(c), F.lit("")))).alias(c)
     more = [F.min("order").alias("order")] if "order" in records.columns else []
-    return undirected(records).groupBy("src_id", "tgt_id").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("weight"), some("description"), some("keywords"), some("source_id"), *more)
+    return (records if directed else undirected(records)).groupBy("src_id", "tgt_id").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("weight"), some("description"), some("keywords"), some("source_id"), *more)
 
 
 def missing_endpoints(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:

@@ -19,6 +19,11 @@ def missing_keys(keys: DataFrame, table: DataFrame, key: str = "id") -> DataFram
     return keys.join(table.select(key), key, "left_anti")
 
 
+def all_keys(table: DataFrame, key: str = "id") -> DataFrame:
+    """The keys that a table holds, each once."""
+    return table.select(key).distinct()
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "id", mode: str = "last") -> DataFrame:
     """old with new rows: mode first keeps what is there, mode last replaces it. Both need unique keys."""
     if mode == "first":
@@ -94,3 +99,10 @@ def nodes_with_text(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
     each = nodes.select("entity_name", F.explode_outer("source_ids").alias("id"))
     both = each.join(chunks.select("id", "content"), "id", "left")
     return both.groupBy("entity_name").agg(F.expr("listagg(content, '\n') within group (order by id)").alias("content"))
+
+
+def edges_with_text(edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Edges (src_id, tgt_id, source_ids ARRAY, created and more) with the texts of their chunks in chunk order, newest edge first; chunks: id, content."""
+    each = edges.select("src_id", "tgt_id", F.explode_outer("source_ids").alias("id"))
+    text = each.join(chunks.select("id", "content"), "id", "left").groupBy("src_id", "tgt_id").agg(F.expr("listagg(content, '\n') within group (order by id)").alias("content"))
+    return edges.join(text, ["src_id", "tgt_id"], "left").orderBy(F.desc("created"), "src_id", "tgt_id")

@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine
 
 
-def top_k(vectors: DataFrame, query: Column, k: int, threshold: float | None = None, key: str = "id", vector: str = "vector") -> DataFrame:
-    """The k nearest rows by cosine, ties to the smaller key, with score and ord. One pass; each task keeps k rows."""
+def nearest(vectors: DataFrame, query: Column, threshold: float | None = None, vector: str = "vector", strict: bool = False) -> DataFrame:
+    """All rows with a cosine at the threshold or above (strict: above it), with score: a filter, without an order."""
     scored = vectors.withColumn("score", cosine(F.col(vector), query))
-    ok = scored.where(F.col("score").isNotNull() if threshold is None else F.col("score") >= threshold)
-    best = ok.orderBy(F.desc("score"), key).limit(k)
+    if threshold is None:
+        return scored.where(F.col("score").isNotNull())
+    return scored.where(F.col("score") > threshold if strict else F.col("score") >= threshold)
+
+
+def top_k(vectors: DataFrame, query: Column, k: int, threshold: float | None = None, key: str = "id", vector: str = "vector", strict: bool = False) -> DataFrame:
+    """The k nearest rows by cosine, ties to the smaller key, with score and ord. One pass; each task keeps k rows."""
+    best = nearest(vectors, query, threshold, vector, strict).orderBy(F.desc("score"), key).limit(k)
     return best.withColumn("ord", (F.row_number().over(Window.orderBy(F.desc("score"), key)) - 1).cast("long"))
 
 
@@ -30,7 +36,7 @@ def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, threshold: float
     schema = f"query_id {kinds[0]}, {key} {kinds[1]}, score double"
     unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
-    def nearest(ids: list, q: np.ndarray, b: pd.DataFrame) -> pd.DataFrame:
+    def near_rows(ids: list, q: np.ndarray, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(key, kind="stable")
         s = unit(np.array(b[vector].tolist(), np.float64)) @ q.T
         out = [pd.DataFrame({"query_id": [], key: [], "score": []})]
@@ -48,7 +54,7 @@ def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, threshold: float
         def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in rows:
                 if len(b) and ids:
-                    yield nearest(ids, q, b)
+                    yield near_rows(ids, q, b)
 
         found = vectors.select(key, vector).mapInPandas(run, schema)
     else:
@@ -59,7 +65,7 @@ def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, threshold: float
         def match(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
             if not len(x) or not len(y):
                 return pd.DataFrame({"query_id": [], key: [], "score": []})
-            return nearest(x["query_id"].tolist(), unit(np.array(x[vector].tolist(), np.float64)), y)
+            return near_rows(x["query_id"].tolist(), unit(np.array(x[vector].tolist(), np.float64)), y)
 
         found = x.groupBy("_a", "_b").cogroup(y.groupBy("_a", "_b")).applyInPandas(match, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import cache, community, extract, graph, merge, metrics, retrieve, tables, vectors
+from ..scratch import materialize
 from .catalog_text import WORDS, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +31,26 @@ def _query(sql: str | None = None):
     return register
 
 
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _written(name: str):
+    """A graph table that is written to the shared folder once a session and read by all queries; the tables below `d` don't change meanwhile."""
+
+    def wrap(make):
+        def get(spark, d):
+            key = (spark.sparkContext.applicationId, d, name)
+            if key not in _WRITTEN:
+                _WRITTEN[key] = materialize(make(spark, d))
+            path = _WRITTEN[key]
+            return spark.read.schema(path.schema).parquet(path._loomgraph_path)
+
+        return get
+
+    return wrap
+
+
+@_written("records")
 def records(spark, d) -> DataFrame:
     n, m = table(spark, d, "embeddings").count(), table(spark, d, "documents").count()
     e = lambda c: F.concat(F.lit("E"), F.pmod(c, F.lit(n)).cast("string"))
@@ -40,10 +61,12 @@ def records(spark, d) -> DataFrame:
     )
 
 
+@_written("edges")
 def edges(spark, d) -> DataFrame:
     return merge.edges(records(spark, d))
 
 
+@_written("mentions")
 def mentions(spark, d) -> DataFrame:
     """(entity_name, chunk)"""
     return records(spark, d).select(F.explode(F.array("src_id", "tgt_id")).alias("entity_name"), F.col("source_id").alias("chunk")).distinct()
@@ -161,9 +184,14 @@ def kv_get_by_ids_ordered(spark, d):
     return tables.get_by_ids(table(spark, d, "customer"), ids, "c_custkey", ["c_name"])
 
 
-@_query("SELECT DISTINCT user_id * 3 AS c_custkey FROM events WHERE user_id * 3 NOT IN (SELECT c_custkey FROM customer)")
+@_query("SELECT DISTINCT user_id * 1000 AS c_custkey FROM events WHERE user_id * 1000 NOT IN (SELECT c_custkey FROM customer)")
 def kv_missing_keys(spark, d):
-    return tables.missing_keys(table(spark, d, "events").select((F.col("user_id") * 3).alias("c_custkey")).distinct(), table(spark, d, "customer"), "c_custkey")
+    return tables.missing_keys(table(spark, d, "events").select((F.col("user_id") * 1000).alias("c_custkey")).distinct(), table(spark, d, "customer"), "c_custkey")
+
+
+@_query("SELECT DISTINCT o_custkey FROM orders")
+def kv_all_keys(spark, d):
+    return tables.all_keys(table(spark, d, "orders"), "o_custkey")
 
 
 @_query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
@@ -270,10 +298,8 @@ def delete_entity(spark, d):
 
 @_query(f"WITH {EDGES} SELECT entity_name, count(*) AS left_sources FROM mentions WHERE chunk NOT IN (SELECT 'C' || doc_id FROM documents WHERE source = 'src0') GROUP BY entity_name")
 def delete_doc_sources(spark, d):
-    m = mentions(spark, d).groupBy("entity_name").agg(F.collect_set("chunk").alias("source_ids"))
     gone = table(spark, d, "documents").where("source = 'src0'").select(F.concat(F.lit("C"), F.col("doc_id").cast("string")).alias("id"))
-    ids = gone.agg(F.collect_list("id").alias("_ids"))
-    return graph.without_sources(m.join(F.broadcast(ids)), F.col("_ids")).select("entity_name", F.size("source_ids").cast("long").alias("left_sources"))
+    return graph.drop_sources(mentions(spark, d), gone).groupBy("entity_name").agg(F.count("*").alias("left_sources"))
 
 
 @_query(f"WITH {EDGES} SELECT count(DISTINCT entity_name) AS residual FROM mentions WHERE chunk IN (SELECT 'C' || doc_id FROM documents WHERE source = 'src0')")
@@ -301,13 +327,20 @@ def vec_topk(spark, d):
 @_query(f"SELECT a.vec_id, round({COS}, 6) AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {COS} >= 0.2")
 def vec_topk_threshold(spark, d):
     t = table(spark, d, "embeddings")
-    return vectors.top_k(t, query_vector(spark, d), t.count(), 0.2, "vec_id", "embedding").select("vec_id", F.round("score", 6).alias("score"))
+    return vectors.nearest(t, query_vector(spark, d), 0.2, "embedding").select("vec_id", F.round("score", 6).alias("score"))
+
+
+@_query(f"SELECT vec_id, ord FROM (SELECT vec_id, CAST(row_number() OVER (ORDER BY score DESC, vec_id) - 1 AS BIGINT) AS ord FROM (SELECT a.vec_id, {COS} AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) WHERE vec_id <> 0) WHERE ord < 5")
+def vec_topk_strict(spark, d):
+    """The 5 nearest others above a strict threshold."""
+    t = table(spark, d, "embeddings").where("vec_id <> 0")
+    return vectors.top_k(t, query_vector(spark, d), 5, -1.0, "vec_id", "embedding", strict=True).select("vec_id", "ord")
 
 
-@_query(f"WITH s AS (SELECT q.vec_id AS query_id, a.vec_id, {COS} AS score FROM embeddings a, embeddings q WHERE q.vec_id < 8) SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s WHERE score >= 0.2) WHERE r <= 10")
+@_query(f"WITH s AS (SELECT q.vec_id AS query_id, a.vec_id, {COS} AS score FROM embeddings a, embeddings q WHERE q.vec_id % 100 = 0) SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s WHERE score >= 0.2) WHERE r <= 10")
 def vec_topk_many(spark, d):
     t = table(spark, d, "embeddings")
-    q = t.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), "embedding")
+    q = t.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return vectors.top_k_many(t, q, 10, 0.2, "vec_id", "embedding").select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
@@ -334,10 +367,10 @@ def vec_topk_lsh(spark, d):
     return vectors.nearest_by_hash(t, t.where("vec_id = 0").first()["embedding"], 10, "vec_id", "embedding")
 
 
-@_query("SELECT 'E' || vec_id AS entity_name, substr(sha256('E' || vec_id), 1, 8) AS head, '4' AS version FROM embeddings")
+@_query("""SELECT entity_name, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid
+FROM (SELECT 'E' || vec_id AS entity_name, sha256('E' || vec_id) AS h FROM embeddings)""")
 def vec_stable_uuid(spark, d):
-    u = nodes(spark, d).select("entity_name", vectors.stable_uuid(F.col("entity_name")).alias("u"))
-    return u.select("entity_name", F.substring("u", 1, 8).alias("head"), F.substring("u", 15, 1).alias("version"))
+    return nodes(spark, d).select("entity_name", vectors.stable_uuid(F.col("entity_name")).alias("uuid"))
 
 
 # Retrieval ---------------------------------------------------------------------------------------------------------------------------
@@ -443,10 +476,10 @@ def mix_context(spark, d):
     return retrieve.joined_text(_naive(spark, d, 10)).select(F.md5("context").alias("context"))
 
 
-@_query(f"WITH s AS (SELECT q.vec_id AS query_id, a.vec_id, {COS} AS score FROM embeddings a, embeddings q WHERE q.vec_id < 8), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s WHERE score >= 0.2) SELECT 'E' || vec_id AS entity_name, round(sum(score), 5) AS score FROM k WHERE r <= 50 GROUP BY vec_id ORDER BY sum(score) DESC, entity_name LIMIT 20")
+@_query(f"WITH s AS (SELECT q.vec_id AS query_id, a.vec_id, {COS} AS score FROM embeddings a, embeddings q WHERE q.vec_id % 100 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s WHERE score >= 0.2) SELECT 'E' || vec_id AS entity_name, round(sum(score), 5) AS score FROM k WHERE r <= 50 GROUP BY vec_id ORDER BY sum(score) DESC, entity_name LIMIT 20")
 def keyword_sum_topk(spark, d):
     t = table(spark, d, "embeddings")
-    q = t.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), "embedding")
+    q = t.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     found = vectors.top_k_many(t, q, 50, 0.2, "vec_id", "embedding").withColumn("entity_name", F.concat(F.lit("E"), F.col("vec_id").cast("string")))
     return retrieve.by_keyword_sum(found, 20).withColumn("score", F.round("score", 5))
 
@@ -525,7 +558,7 @@ def community_describe(spark, d):
 
 
 @_query()
-def louvain_communities(spark, d):
+def propagated_communities(spark, d):
     v, e = places(spark, d)
     return community.detect(v, e.withColumn("weight", F.lit(1.0)))
 

@@ -68,10 +68,10 @@ def doc_status_counts(spark, d):
     return tables.status_counts(_status(spark, d))
 
 
-@_query(f"""SELECT {STATUS_SQL} AS status, count(*) AS n, string_agg(d.doc_id::VARCHAR, ',' ORDER BY d.doc_id) AS ids FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1""")
+@_query(f"""SELECT {STATUS_SQL} AS status, d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def docs_by_status_group(spark, d):
-    ids = F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string"))
-    return _status(spark, d).groupBy("status").agg(F.count("*").alias("n"), F.array_join(ids, ",").alias("ids"))
+    """Documents by status, as rows: a status may hold most of a table."""
+    return _status(spark, d).select("status", "doc_id").repartition("status", "doc_id").sortWithinPartitions("status", "doc_id")
 
 
 @_query(r"SELECT doc_id, CAST(trunc((length(text) - length(r)) * 1.5 + length(r) * 0.25) AS INTEGER) AS tokens FROM (SELECT doc_id, text, regexp_replace(text, '[\x{4e00}-\x{9fff}]', '', 'g') AS r FROM documents)")
@@ -187,17 +187,54 @@ def json_body_extract(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object(X.repaired_json(said), "$.k").cast("long").alias("k"))
 
 
-@_query("SELECT event_id, '{\"k\": ' || json_extract_string(props, '$.k') || '}' AS first_object FROM events")
+@_query("SELECT event_id, CASE WHEN event_id % 3 < 2 THEN '{\"a\": {\"k\": ' || json_extract_string(props, '$.k') || '}}' END AS first_object FROM events")
 def json_first_object(spark, d):
-    said = F.concat(F.lit("a } "), "props", F.lit(" {x"))
+    """Objects with an inner one and a line break; a third of them aren't JSON."""
+    k = F.get_json_object("props", "$.k")
+    said = F.when(F.col("event_id") % 3 == 2, F.concat(F.lit("a } {k "), k, F.lit("} "), "props")).otherwise(F.concat(F.lit('a } {"a": \n{"k": '), k, F.lit("}} {x"), "props"))
     return table(spark, d, "events").select("event_id", X.first_json(said).alias("first_object"))
 
 
-@_query("SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS kind FROM events")
+@_query("SELECT event_id, json_extract_string(props, '$.k') AS k, event_type || ' of user ' || user_id AS kind, '{\"u\": ' || user_id || ', w: two words}' AS inner_object, user_id::VARCHAR AS u, 'two words' AS w FROM events")
 def json_loose_values(spark, d):
-    said = F.concat(F.lit("{kind: "), "event_type", F.lit(", "), F.substring("props", 2, 100))
-    v = X.loose_values(said)
-    return table(spark, d, "events").select("event_id", v["k"].alias("k"), v["kind"].alias("kind"))
+    """Bare values with spaces, repeated keys and an inner object."""
+    u = F.col("user_id").cast("string")
+    said = F.concat(F.lit("{kind: x, inner: {\"u\": "), u, F.lit(", w: two words}, kind: "), "event_type", F.lit(" of user "), u, F.lit(", \"k\" : \""), F.get_json_object("props", "$.k"), F.lit("\"}"))
+    t = table(spark, d, "events").select("event_id", X.loose_values(said).alias("v")).withColumn("i", X.loose_values(F.col("v")["inner"]))
+    return t.select("event_id", F.col("v")["k"].alias("k"), F.col("v")["kind"].alias("kind"), F.col("v")["inner"].alias("inner_object"), F.col("i")["u"].alias("u"), F.col("i")["w"].alias("w"))
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{\"k\": ' || json_extract_string(props, '$.k') || '}' ELSE '{\"answer\":\"' || event_type || ' it is\"}' END AS answer FROM events")
+def json_response(spark, d):
+    """The first object where there is one, else the loose pairs."""
+    said = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("So: {\"k\": "), F.get_json_object("props", "$.k"), F.lit("}."))).otherwise(F.concat(F.lit("{answer: "), "event_type", F.lit(" it is}")))
+    return table(spark, d, "events").select("event_id", X.response_json(said).alias("answer"))
+
+
+@_query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'null' WHEN 1 THEN 'boolean' WHEN 2 THEN 'int' WHEN 3 THEN 'float' ELSE 'text' END AS kind, CASE event_id % 6 WHEN 2 THEN user_id::DOUBLE WHEN 3 THEN user_id + 0.5::DOUBLE END AS number FROM events")
+def json_scalars(spark, d):
+    k, u = F.col("event_id") % 6, F.col("user_id").cast("string")
+    bare = F.when(k == 0, F.lit(" null ")).when(k == 1, F.lit("true")).when(k == 2, u).when(k == 3, F.concat(u, F.lit(".5"))).when(k == 4, F.concat(F.lit('"'), u, F.lit('"'))).otherwise(F.lit("1.2.3"))
+    return table(spark, d, "events").select("event_id", X.scalar(bare).alias("s")).select("event_id", "s.kind", "s.number")
+
+
+@_query("SELECT n_nationkey, n_name || ' é\"' AS name FROM nation")
+def json_unicode_escapes(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", X.unicode_escapes(F.concat("n_name", F.lit(' \\u00e9"'))).alias("name"))
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority || ' is due' ELSE 'hm' END AS answer FROM orders")
+def response_cleanup(spark, d):
+    system, query = F.lit("You answer."), F.col("o_orderpriority")
+    said = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("<system>You answer.</system>user "), F.lit("model "), F.substring("o_orderpriority", 1, 1), F.substring("o_orderpriority", 2, 99), F.lit(" is due"))).otherwise(F.lit("hm"))
+    said = F.concat(said, F.lit(""))
+    return table(spark, d, "orders").select("o_orderkey", X.clean_response(said, system, F.concat(query, F.lit("?"))).alias("answer"))
+
+
+@_query("SELECT o_orderkey, md5('Answer.' || chr(10) || chr(10) || '### Keywords:' || chr(10) || 'High-level: ' || o_orderpriority || chr(10) || 'Low-level: ' || o_orderstatus || ', ' || o_custkey || chr(10) || chr(10) || '### Query:' || chr(10) || 'q' || o_orderkey) AS question FROM orders")
+def keyword_question(spark, d):
+    q = X.keyword_question(F.lit("Answer."), F.concat(F.lit("q"), F.col("o_orderkey").cast("string")), F.array("o_orderpriority"), F.array("o_orderstatus", F.col("o_custkey").cast("string")))
+    return table(spark, d, "orders").select("o_orderkey", F.md5(q).alias("question"))
 
 
 @_query("SELECT n_nationkey, 'x' || lower(hex(encode(n_name))) AS label, n_name AS name FROM nation")
@@ -262,11 +299,12 @@ def language_vote(spark, d):
     return table(spark, d, "documents").select("doc_id", X.language_name(X.by_stop_words(F.col("text"), STOPS)).alias("language"))
 
 
-@_query("SELECT conv_id, CAST(list_count(list_filter(m, lambda x: x = 'user')) AS BIGINT) AS n_user FROM (SELECT conv_id, list(CASE WHEN turn % 2 = 0 THEN 'user' ELSE 'assistant' END) AS m FROM conversations WHERE turn < 2 GROUP BY conv_id HAVING count(*) = 2)")
+@_query("SELECT conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN turn % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, md5(coalesce(text, '')) AS content FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn FROM conversations)")
 def alternate_messages(spark, d):
-    c = table(spark, d, "conversations").where("turn < 2").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t")).where(F.size("t") == 2)
-    m = X.messages(F.col("t")[0].text, F.col("t")[1].text)
-    return c.select("conv_id", F.size(F.filter(m, lambda x: x.role == "user")).cast("long").alias("n_user"))
+    """Each conversation's texts in order, as user and assistant in turn."""
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
+    m = X.in_turn(F.transform("t", lambda x: x.text))
+    return c.select("conv_id", F.posexplode(m).alias("turn", "m")).select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", F.md5("m.content").alias("content"))
 
 
 @_query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")

@@ -25,18 +25,32 @@ def scan(spark: SparkSession, folder: str, known: DataFrame | None = None) -> Da
 
 
 def extract_text(files: DataFrame, readers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """path and text. Plain text is decoded as UTF-8 in the JVM; other formats go through `readers` by suffix, in Python."""
+    """path, text and error. Plain text is decoded as UTF-8 in the JVM; other formats go through `readers` by suffix, in Python.
+
+    A file of a format without a reader, or one that its reader can't read, has a null text and an error: no file is left out.
+    """
     suffix = F.regexp_extract(F.lower("path"), r"\.([a-z]+)$", 1)
-    plain = files.where(suffix.isin("txt", "md")).select("path", F.decode("content", "UTF-8").alias("text"))
+    readers = readers or {}
+    none = F.lit(None).cast("string")
+    plain = files.where(suffix.isin("txt", "md")).select("path", F.decode("content", "UTF-8").alias("text"), none.alias("error"))
+    unread = files.where(~suffix.isin("txt", "md", *readers)).select("path", none.alias("text"), F.concat(F.lit("no reader for ."), suffix).alias("error"))
+    out = plain.unionByName(unread)
     if not readers:
-        return plain
+        return out
+
+    def read(suffix: str, content: bytes) -> tuple[str | None, str | None]:
+        try:
+            return readers[suffix](content), None
+        except Exception as e:  # a reader's own errors are part of the result
+            return None, f"{type(e).__name__}: {e}"
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in rows:
-            yield pd.DataFrame({"path": b["path"], "text": [readers[s](bytes(c)) for s, c in zip(b["suffix"], b["content"], strict=True)]})
+            made = [read(s, bytes(c)) for s, c in zip(b["suffix"], b["content"], strict=True)]
+            yield pd.DataFrame({"path": b["path"], "text": [t for t, _ in made], "error": [e for _, e in made]})
 
     other = files.withColumn("suffix", suffix).where(F.col("suffix").isin(*readers)).select("path", "suffix", "content")
-    return plain.unionByName(other.mapInPandas(run, "path string, text string"))
+    return out.unionByName(other.mapInPandas(run, "path string, text string, error string"))
 
 
 def page_text(html: Column) -> Column:
@@ -49,7 +63,7 @@ def page_text(html: Column) -> Column:
 
 
 def read_keyed_json(spark: SparkSession, path: str, value: T.StructType) -> DataFrame:
-    """A file {id: {...}, ...} as rows (id and the value's fields)."""
+    """A file {id: {...}, ...} as rows (id and the value's fields): one object is one row of text, so it has to fit a task."""
     whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", T.MapType(T.StringType(), value))).alias("id", "v")).select("id", "v.*")
 
@@ -59,6 +73,11 @@ def write_keyed_json(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").json(path)
 
 
+def read_keyed_lines(spark: SparkSession, path: str, value: T.StructType) -> DataFrame:
+    """What write_keyed_json has written: id and the value's fields."""
+    return spark.read.schema(T.StructType([T.StructField("id", T.StringType()), *value.fields])).json(path)
+
+
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a GraphML file: data keys d0.. in the order of GRAPH_KEYS, names without quotes, a missing weight is 0."""
     data = "array<struct<_key:string,_VALUE:string>>"
@@ -80,9 +99,22 @@ def graph_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(e)
 
 
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A GraphML document in parts: the text files below path, in the order of their names, are one document."""
+    keys = "".join(f'<key id="d{i}" for="{kind}" attr.name="{name}" attr.type="{"double" if name == "weight" else "string"}"/>' for i, (kind, name) in enumerate((k, c) for k, names in GRAPH_KEYS.items() for c in names))
+    head = f'<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">{keys}<graph edgedefault="undirected">'
+    ends = nodes.sparkSession.createDataFrame([(0, head), (2, "</graph></graphml>")], "_o int, value string")
+    lines = graph_lines(nodes, edges).select((F.lit(1)).alias("_o"), "value")
+    # Node elements sort before edge elements only by their place, so the place is part of the order.
+    place = F.when(F.col("value").startswith("<edge"), 1).otherwise(0)
+    ends.unionByName(lines).orderBy("_o", place, "value").select("value").write.mode("overwrite").text(path)
+
+
 def append_pairs(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Stored translation pairs with new ones added, each key combination once, the stored one first."""
-    return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
+    rest = [c for c in new.columns if c not in keys]
+    one = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*") if rest else new.distinct()  # of equal keys the smallest row
+    return old.unionByName(one.join(old.select(*keys), keys, "left_anti"))
 
 
 def write_matches(pairs: DataFrame, path: str, batch: str) -> None:

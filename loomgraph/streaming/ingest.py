@@ -61,3 +61,9 @@ def windowed_counts(events: DataFrame, late: str, length: str, slide: str | None
     """Events of each type in time windows, late ones dropped by a watermark; the same plan on a table or a stream."""
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
     return events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+
+
+def sessions(events: DataFrame, late: str, gap: str) -> DataFrame:
+    """Events of each user in sessions that end after a pause of `gap`; the same plan on a table or a stream."""
+    w = F.session_window("ts", gap)
+    return events.withWatermark("ts", late).groupBy(w.alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("session_start"), "user_id", "n")

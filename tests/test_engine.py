@@ -71,6 +71,14 @@ def test_folders_and_json(spark, tmp_path):
     found = files.scan(spark, str(tmp_path / "d"))
     assert [r.text for r in files.extract_text(found).collect()] == ["hello"]
     assert files.scan(spark, str(tmp_path / "d"), found.select("path")).count() == 0
+    (tmp_path / "d" / "c.docx").write_text("x")
+    (tmp_path / "d" / "e.pdf").write_text("y")
+
+    def broken(content):
+        raise ValueError("torn")
+
+    read = {r.path.rsplit("/", 1)[1]: (r.text, r.error) for r in files.extract_text(files.scan(spark, str(tmp_path / "d")), {"pdf": broken}).collect()}
+    assert read == {"a.TXT": ("hello", None), "c.docx": (None, "no reader for .docx"), "e.pdf": (None, "ValueError: torn")}
     (tmp_path / "kv.json").write_text('{"k1": {"v": 1}, "k2": {"v": 2}}')
     from pyspark.sql import types as T
 

@@ -102,3 +102,19 @@ def test_separators(spark):
     t = spark.createDataFrame([(1, "a b c. d e. f g h i."), (2, None)], "k int, text string")
     got = chunk.by_separators(t, "k", size=5, overlap=1).orderBy("chunk_order_index").collect()
     assert [r.content for r in got] == ["a b c. d e.", "e. f g h i."]
+
+
+@pytest.mark.parametrize(("t", "want"), [('x } {"a": {"b": 1}\n} {', '{"a": {"b": 1}}'), ("{not json}", None), ("{", None), ("", None), (None, None), ('{"a": 1} {"b": 2}', '{"a": 1}')])
+def test_first_json(spark, t, want):
+    assert one(spark, X.first_json(F.col("t")), t=t) == want
+
+
+def test_loose_values(spark):
+    got = one(spark, X.loose_values(F.col("t")), t='{answer: hello world, "n": 3, o: {a: 1, b: 2}, n: 4}')
+    assert got == {"answer": "hello world", "n": "4", "o": "{a: 1, b: 2}"}
+    assert one(spark, X.response_json(F.col("t")), t="nothing") is None
+
+
+def test_clean_response(spark):
+    assert one(spark, X.clean_response(F.col("t"), F.lit("Be short."), F.lit("why?")), t="<system>Be short.</system>user why? Because.") == "Because."
+    assert one(spark, X.clean_response(F.col("t"), F.lit("Be short."), F.lit("why?")), t="user") == "user"
