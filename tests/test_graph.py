@@ -123,3 +123,24 @@ def test_many_queries_in_blocks_and_ties_to_the_smaller_key(spark):
     want = {(i, j) for i in range(1, 6) for j in (1, 2, 3)} | {(100, 100 + j) for j in range(3)}
     for most in (4096, 2):
         assert {(r.query_id, r.id) for r in top_k_many(t, q, 3, most=most).collect()} == want
+
+
+def test_modular_communities(spark):
+    """Two groups of two cliques with weaker links between: the modularity of the levels, and what no level may break."""
+    rows = [(f"n{c}{i}", f"n{c}{j}", 2.0) for c in range(4) for i in range(4) for j in range(i + 1, 4)]
+    rows += [(f"n{c}{i}", f"n{c + 1}{i}", 1.0) for c in (0, 2) for i in range(3)] + [("n10", "n20", 0.5), ("n00", "n00", 9.0), ("n00", "gone", 9.0)]
+    edges = spark.createDataFrame(rows, "src_id string, tgt_id string, weight double")
+    nodes = spark.createDataFrame([(f"n{c}{i}",) for c in range(4) for i in range(4)] + [("alone",), ("alone",), (None,)], "entity_name string")
+    got = community.modular(nodes, edges, largest=5).toPandas()
+    by = {k: sorted(g.entity_name) for k, g in got.groupby(["level", "cluster"])}
+    assert by[0, "alone"] == ["alone"] and sorted(got[got.level == 0].entity_name) == sorted({f"n{c}{i}" for c in range(4) for i in range(4)} | {"alone"})
+    last = {frozenset(g) for k, g in by.items() if len(g) <= 5}
+    assert last == {frozenset(f"n{c}{i}" for i in range(4)) for c in range(4)} | {frozenset(["alone"])}
+    for (level, cluster), g in by.items():  # within one cluster of the level above
+        assert not level or any(set(g) < set(up) for (above, _), up in by.items() if above == level - 1)
+    inner = edges.where("tgt_id <> 'gone' AND src_id <> tgt_id")
+    mine = spark.createDataFrame(got[got.level == 0])
+    one = mine.select("entity_name", F.lit(0).alias("level"), F.lit("x").alias("cluster"))
+    q = [community.modularity(inner, c).first()["modularity"] for c in (mine, one)]
+    assert q[0] > 0.5 and abs(q[1]) < 1e-9
+    assert community.modular(nodes.limit(0), edges).count() == 0
