@@ -563,6 +563,12 @@ def propagated_communities(spark, d):
     return community.detect(v, e.withColumn("weight", F.lit(1.0)))
 
 
+@_query()
+def modular_communities(spark, d):
+    """Clusters of the whole graph by modularity, those of over 100 nodes divided again."""
+    return community.modular(nodes(spark, d).select("entity_name"), edges(spark, d), largest=100)
+
+
 # Cache, languages, metrics -----------------------------------------------------------------------------------------------------------
 
 
