@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import doc_id, strip, summary
 from ..operators.chunk import by_tokens, with_ids
+from ..scratch import discard, materialize
 
-STATUS = "id string, content_summary string, content_length int, status string, chunks_count long"
+STATUS = "id string, content_summary string, content_length int, status string, chunks_count long, error string"
+ANSWERS = "full_doc_id string, chunk_id string, answer string"
 
 
 def enqueue(docs: DataFrame, known: DataFrame | None = None, text: str = "text") -> DataFrame:
@@ -31,30 +36,88 @@ def to_resume(status: DataFrame) -> DataFrame:
     return status.where(F.col("status").isin("pending", "processing", "failed"))
 
 
-def ingest_stream(spark: SparkSession, stream: DataFrame, folder: str, size: int = 200, overlap: int = 20, text: str = "text"):
-    """Start a query that appends each micro-batch's new documents and chunks to Parquet tables below `folder`.
-
-    A batch writes its own subfolder, so a batch that is run again after a failure replaces what it had written: status and
-    chunk tables are exactly-once without a lock.
+def answered(chunks: DataFrame, ask: Callable[[str], str]) -> DataFrame:
+    """(full_doc_id, chunk_id, answer, error) of a model for chunks (id, full_doc_id, content); an error of one chunk stops no other."""
+
+    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in rows:
+            answers, errors = [], []
+            for text in b["content"]:
+                try:
+                    answers.append(ask(text))
+                    errors.append(None)
+                except Exception as e:  # whatever a model raises is the document's error, kept in its status
+                    answers.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pd.DataFrame({"full_doc_id": b["full_doc_id"], "chunk_id": b["id"], "answer": answers, "error": errors})
+
+    return chunks.select("id", "full_doc_id", "content").mapInPandas(run, ANSWERS + ", error string")
+
+
+def _ingest(pending: DataFrame, folder: str, number: int, size: int, overlap: int, ask: Callable[[str], str] | None) -> None:
+    """Write one batch's documents, chunks, answers and status. A document of which a chunk fails leaves only its text and its status."""
+    batch = f"batch={number}"
+    pending.write.mode("overwrite").parquet(f"{folder}/docs/{batch}")
+    pending = pending.sparkSession.read.schema(pending.schema).parquet(f"{folder}/docs/{batch}")
+    chunks, status = process(pending, size, overlap)
+    if ask is None:
+        status = status.withColumn("error", F.lit(None).cast("string"))
+    else:
+        said = materialize(answered(chunks, ask))  # the model is asked once
+        failed = said.where(F.col("error").isNotNull()).groupBy(F.col("full_doc_id").alias("id")).agg(F.min("error").alias("error"))
+        status = status.join(failed, "id", "left").withColumn("status", F.when(F.col("error").isNull(), F.col("status")).otherwise("failed"))
+        bad = failed.select(F.col("id").alias("full_doc_id"))
+        chunks = chunks.join(bad, "full_doc_id", "left_anti")
+        said.join(bad, "full_doc_id", "left_anti").drop("error").write.mode("overwrite").parquet(f"{folder}/answers/{batch}")
+    chunks.write.mode("overwrite").parquet(f"{folder}/chunks/{batch}")
+    status.write.mode("overwrite").parquet(f"{folder}/status/{batch}")
+    if ask is not None:
+        discard(said)
+
+
+def latest_status(rows: DataFrame) -> DataFrame:
+    """One status row for each document of several runs: a processed one if there is any."""
+    done = (F.col("status") == "processed").cast("int")
+    best = F.max_by(F.struct("content_summary", "content_length", "status", "chunks_count", "error"), F.struct(done, F.col("status"), F.col("error"))).alias("r")
+    return rows.groupBy("id").agg(best).select("id", "r.*")
+
+
+def ingest_stream(spark: SparkSession, stream: DataFrame, folder: str, size: int = 200, overlap: int = 20, text: str = "text", ask: Callable[[str], str] | None = None):
+    """Start a query that appends each micro-batch's new documents and chunks, and a model's answers to them, to Parquet tables below `folder`.
+
+    A batch writes its own subfolder, so a batch that is run again after a failure replaces what it had written: all
+    tables are exactly-once without a lock. A document of which a chunk fails is `failed` with its error, has no chunks and answers, and
+    is taken again when it arrives again or by `retry_failed`.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        done = _read(spark, f"{folder}/status", STATUS, number)
-        pending = enqueue(rows, done, text)
-        chunks, status = process(pending, size, overlap)
-        chunks.write.mode("overwrite").parquet(f"{folder}/chunks/batch={number}")
-        status.write.mode("overwrite").parquet(f"{folder}/status/batch={number}")
+        done = _read(spark, f"{folder}/status", STATUS, number).where("status = 'processed'")
+        _ingest(enqueue(rows, done, text), folder, number, size, overlap, ask)
 
     return stream.writeStream.option("checkpointLocation", f"{folder}/progress").foreachBatch(batch)
 
 
-def _read(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame:
-    """A batch table as it was before a batch; empty if nothing was written."""
+def retry_failed(spark: SparkSession, folder: str, ask: Callable[[str], str], size: int = 200, overlap: int = 20) -> int:
+    """Take the failed documents of a stream again, while it isn't running; returns how many there were. Batches of retries count down from -1."""
+    status = _read(spark, f"{folder}/status", STATUS)
+    failed = latest_status(status.drop("batch")).where("status = 'failed'").select("id")
+    docs = _read(spark, f"{folder}/docs", "id string, content string, content_summary string, content_length int, status string")
+    todo = docs.drop("batch").join(failed, "id", "left_semi").dropDuplicates(["id"])
+    n = todo.count()
+    if n:
+        lowest = status.agg(F.min("batch")).first()[0]
+        _ingest(todo, folder, min(lowest, 0) - 1, size, overlap, ask)
+    return n
+
+
+def _read(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """A batch table as it was before a batch, or all of it with `batch`; empty if nothing was written."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(f"{schema}, batch int").parquet(path).where(F.col("batch") < before).drop("batch")
+        return spark.createDataFrame([], schema if before is not None else f"{schema}, batch int")
+    rows = spark.read.schema(f"{schema}, batch int").parquet(path)
+    return rows if before is None else rows.where(F.col("batch") < before).drop("batch")
 
 
 def windowed_counts(events: DataFrame, late: str, length: str, slide: str | None = None) -> DataFrame:

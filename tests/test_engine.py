@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators.vectors import embed, hashed_words
 from loomgraph.plans.engine import Engine, Graph, Params
 from loomgraph.sources import files
-from loomgraph.streaming.ingest import enqueue, ingest_stream, process
+from loomgraph.streaming.ingest import enqueue, ingest_stream, latest_status, process, retry_failed
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +98,22 @@ def test_embed_checks_the_model(spark):
     t = spark.createDataFrame([("a",), ("b",)], "content string")
     with pytest.raises(Exception, match="vector for each text"):
         embed(t, lambda x: np.zeros((0, 2))).collect()
+
+
+def test_failed_documents_are_finished_by_a_retry(spark, tmp_path):
+    def model(text):
+        if "bad" in text:
+            raise ValueError("no answer")
+        return text.upper()
+
+    spark.createDataFrame([("a b c",), ("d bad e",), (" a b c ",), (None,)], "text string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("text string").parquet(f"{tmp_path}/in")
+    out = f"{tmp_path}/out"
+    ingest_stream(spark, stream, out, 2, 1, ask=model).trigger(availableNow=True).start().awaitTermination()
+    read = lambda t: spark.read.parquet(f"{out}/{t}").drop("batch")
+    assert sorted((r.status, r.error) for r in read("status").collect()) == [("failed", "ValueError: no answer"), ("processed", None)]
+    assert {r.answer for r in read("answers").collect()} == {"A B", "B C", "C"}
+    assert retry_failed(spark, out, model, 2, 1) == 1 and retry_failed(spark, out, str.upper, 2, 1) == 1
+    assert [r.status for r in latest_status(read("status")).collect()] == ["processed"] * 2
+    assert sorted(r.answer for r in read("answers").collect()) == ["A B", "B C", "BAD E", "C", "D BAD", "E"]
+    assert read("chunks").count() == 6 and retry_failed(spark, out, model, 2, 1) == 0
