@@ -89,6 +89,25 @@ def chat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import ranked
+
+    return ranked(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    out = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import figures, repeated_from
+
+    return figures(spark.read.parquet(f"{sf_dir}/documents.parquet"), rewrite=repeated_from)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_hmm_scoring": op2_hmm_scoring,
@@ -100,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_bpe": op9_bpe,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_importance": op11_importance,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_periodic_runs": op13_periodic_runs,
     "chat_segments": chat_segments,
 }
 
@@ -150,4 +172,45 @@ CHAT_SQL = _VIEWS + """
 SELECT conv_id, participant, CAST(start_char // 1048576 AS INTEGER) AS part, string_agg(segment, '' ORDER BY seq) AS rendered,
 coalesce(string_agg(CASE WHEN mask_end > mask_start THEN mask_start || '-' || mask_end END, ',' ORDER BY seq), '') AS mask FROM e GROUP BY 1, 2, 3"""
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": MIXING_SQL, "op4_url_filter": URL_SQL, "op8_quality_rules": QUALITY_SQL, "op10_chat_formatting": CHAT_SQL, "chat_segments": SEGMENT_SQL}
+#: For op11: CRC-32 over the distinct words' bytes by a table made of its rule.
+IMPORTANCE_SQL = r"""WITH tab AS (SELECT list(list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+low AS (SELECT 0 AS kind, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents UNION ALL SELECT 1, item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+w AS (SELECT kind, id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM low),
+b AS (SELECT word, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::UBIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255)::INT + 1])), 4294967295::UBIGINT) % 10000 AS bucket FROM (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM w)), tab),
+f AS (SELECT kind, id, bucket, count(*) AS n FROM w JOIN b USING (word) GROUP BY 1, 2, 3),
+c AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE kind = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE kind = 1), 0)::DOUBLE AS t FROM f GROUP BY 1),
+a AS (SELECT sum(s) + 10000 AS all_s, sum(t) + 10000 AS all_t FROM c), g AS (SELECT bucket, floor(1000 * ln((t + 1) * all_s / ((s + 1) * all_t)))::BIGINT AS gain FROM c, a),
+d AS (SELECT id, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS weight FROM f JOIN g USING (bucket) WHERE kind = 0 GROUP BY 1),
+x AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM documents LEFT JOIN d ON id = doc_id),
+k AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS r FROM x)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= (SELECT 10 * count(r) // 100 FROM k) THEN r END AS rank FROM k"""
+
+
+
+def _secret_sql() -> str:
+    """For op12: the patterns' matches by the pieces between them, and every window of the long strings by its distinct characters' counts."""
+    from . import secrets
+
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    kinds = [("assign", secrets.ASSIGN, 2), ("access", secrets.ACCESS, 0), ("hex", secrets.HEX, 0), *((c.kind, f"{c.pattern}{{{secrets.WINDOW},}}", 0) for c in secrets.CLASSES)]
+    found = " UNION ALL ".join(
+        f"SELECT i, {r} AS rank, {quote(k)} AS kind, regexp_extract_all(text, {quote(p)}, 0) AS m, regexp_extract_all(text, {quote(p)}, {g}) AS v, string_split_regex(text, {quote(p)}) AS gaps FROM d" for r, (k, p, g) in enumerate(kinds)
+    )
+    least = " ".join(f"WHEN {quote(k)} THEN {n}" for k, n in secrets.LEAST.items())
+    most = " ".join(f"WHEN {quote(c.kind)} THEN {c.most}" for c in secrets.CLASSES)
+    fold = ", ".join(quote(c.kind) for c in secrets.CLASSES if c.fold)
+    span = "kind || ':' || s || ':' || e"
+    count = lambda k: f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}"
+    return f"""WITH d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS text FROM documents), f AS ({found}),
+j AS (SELECT *, unnest(range(1, len(m) + 1)) AS j FROM f WHERE len(m) > 0),
+p AS (SELECT i, rank, kind, v[j] AS v, CAST(list_sum(list_transform(gaps[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:j - 1], lambda x: length(x))), 0) AS BIGINT) AS s, length(m[j]) AS n FROM j),
+c AS (SELECT *, row_number() OVER () AS c, CASE WHEN kind IN ({fold}) THEN lower(v) ELSE v END AS w FROM p WHERE rank > 2 AND NOT ({" OR ".join(f"regexp_matches(v, {quote(a)})" for a in secrets.ALLOWED)})),
+x AS (SELECT *, substr(w, b + 1, {secrets.WINDOW}) AS y FROM (SELECT *, unnest(range(0, length(w) - {secrets.WINDOW - 1})) AS b FROM c)),
+h AS (SELECT *, b - lag(b) OVER (PARTITION BY c ORDER BY b) AS gap FROM x WHERE list_sum(list_transform(list_distinct(string_split(y, '')), lambda z: {secrets.costs()}[length(y) - length(replace(y, z, '')) + 1])) <= CASE kind {most} END),
+r AS (SELECT *, count(CASE WHEN gap > {secrets.WINDOW} THEN 1 END) OVER (PARTITION BY c ORDER BY b) AS r FROM h),
+o AS (SELECT i, rank, kind, s, s + n AS e FROM p WHERE length(v) >= CASE kind {least} END UNION ALL SELECT i, rank, kind, s + min(b), s + max(b) + {secrets.WINDOW} FROM r GROUP BY i, rank, kind, c, s, r),
+a AS (SELECT i, {count("assign")}, {count("access")}, {count("hex")}, string_agg({span}, ',' ORDER BY s, rank) FILTER (WHERE rank < 3) AS base, string_agg({span}, ',' ORDER BY s, rank) AS spans FROM o GROUP BY i)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (i)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op12_secret_scan": _secret_sql(), "op11_importance": IMPORTANCE_SQL, "op3_mixing": MIXING_SQL, "op4_url_filter": URL_SQL, "op8_quality_rules": QUALITY_SQL, "op10_chat_formatting": CHAT_SQL, "chat_segments": SEGMENT_SQL}
