@@ -24,15 +24,27 @@ def scan(spark: SparkSession, folder: str, known: DataFrame | None = None) -> Da
     return files if known is None else files.join(known.select("path"), "path", "left_anti")
 
 
+#: Columns of a binary file, as a stream has to name them.
+FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
+def arriving(spark: SparkSession, folder: str, at_once: int = 100) -> DataFrame:
+    """A stream of the supported files below a folder, old ones and those that are added while it runs, at most `at_once` a micro-batch; each comes once, by its path."""
+    files = spark.readStream.format("binaryFile").schema(FILE).option("recursiveFileLookup", True).option("maxFilesPerTrigger", at_once).load(folder)
+    return files.where(supported(F.col("path")))
+
+
 def extract_text(files: DataFrame, readers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """path, text and error. Plain text is decoded as UTF-8 in the JVM; other formats go through `readers` by suffix, in Python.
+    """path, text and error. Plain text is decoded as UTF-8 in the JVM, and one that isn't UTF-8 has an error; other formats go through `readers` by suffix, in Python.
 
     A file of a format without a reader, or one that its reader can't read, has a null text and an error: no file is left out.
     """
     suffix = F.regexp_extract(F.lower("path"), r"\.([a-z]+)$", 1)
     readers = readers or {}
     none = F.lit(None).cast("string")
-    plain = files.where(suffix.isin("txt", "md")).select("path", F.decode("content", "UTF-8").alias("text"), none.alias("error"))
+    said = F.col("content").cast("string")
+    valid = F.is_valid_utf8(said)
+    plain = files.where(suffix.isin("txt", "md")).select("path", F.when(valid, said).alias("text"), F.when(~valid, F.lit("not UTF-8")).alias("error"))
     unread = files.where(~suffix.isin("txt", "md", *readers)).select("path", none.alias("text"), F.concat(F.lit("no reader for ."), suffix).alias("error"))
     out = plain.unionByName(unread)
     if not readers:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import doc_id, strip, summary
 from ..operators.chunk import by_tokens, with_ids
 from ..scratch import discard, materialize
+from ..sources.files import arriving, extract_text
 
 STATUS = "id string, content_summary string, content_length int, status string, chunks_count long, error string"
 ANSWERS = "full_doc_id string, chunk_id string, answer string"
@@ -54,8 +55,8 @@ def answered(chunks: DataFrame, ask: Callable[[str], str]) -> DataFrame:
     return chunks.select("id", "full_doc_id", "content").mapInPandas(run, ANSWERS + ", error string")
 
 
-def _ingest(pending: DataFrame, folder: str, number: int, size: int, overlap: int, ask: Callable[[str], str] | None) -> None:
-    """Write one batch's documents, chunks, answers and status. A document of which a chunk fails leaves only its text and its status."""
+def _ingest(pending: DataFrame, folder: str, number: int, size: int, overlap: int, ask: Callable[[str], str] | None, also: DataFrame | None = None) -> None:
+    """Write one batch's documents, chunks, answers and status, that of `also` with it. A document of which a chunk fails leaves only its text and its status."""
     batch = f"batch={number}"
     pending.write.mode("overwrite").parquet(f"{folder}/docs/{batch}")
     pending = pending.sparkSession.read.schema(pending.schema).parquet(f"{folder}/docs/{batch}")
@@ -70,7 +71,7 @@ def _ingest(pending: DataFrame, folder: str, number: int, size: int, overlap: in
         chunks = chunks.join(bad, "full_doc_id", "left_anti")
         said.join(bad, "full_doc_id", "left_anti").drop("error").write.mode("overwrite").parquet(f"{folder}/answers/{batch}")
     chunks.write.mode("overwrite").parquet(f"{folder}/chunks/{batch}")
-    status.write.mode("overwrite").parquet(f"{folder}/status/{batch}")
+    (status if also is None else status.unionByName(also)).write.mode("overwrite").parquet(f"{folder}/status/{batch}")
     if ask is not None:
         discard(said)
 
@@ -97,6 +98,32 @@ def ingest_stream(spark: SparkSession, stream: DataFrame, folder: str, size: int
     return stream.writeStream.option("checkpointLocation", f"{folder}/progress").foreachBatch(batch)
 
 
+FILES = "path string, modified timestamp, id string, error string"
+
+
+def scan_stream(spark: SparkSession, folder: str, out: str, readers: dict[str, Callable[[bytes], str]] | None = None, at_once: int = 100, size: int = 200, overlap: int = 20, ask: Callable[[str], str] | None = None):
+    """A query, to be started, that takes in the supported files of a folder, those that come while it runs too, as `ingest_stream` takes texts.
+
+    It knows the files that it has taken over a restart, and takes at most `at_once` in a micro-batch. `out`/files says for each file which document it is
+    (id), or why it is none: a file that can't be read, or holds no text, is `failed` in the status table too, under an id made of its path; no other file waits for it.
+    """
+
+    def batch(files: DataFrame, number: int) -> None:
+        read = materialize(extract_text(files.select("path", "content"), readers))  # each file is read once
+        said = strip(F.col("text"))
+        error = F.when(F.col("error").isNotNull(), F.col("error")).when(F.coalesce(said, F.lit("")) == "", F.lit("no text"))
+        found = read.select("path", said.alias("text"), error.alias("error")).join(files.select("path", F.col("modificationTime").alias("modified")), "path")
+        found.select("path", "modified", F.when(F.col("error").isNull(), doc_id(F.col("text"))).alias("id"), "error").write.mode("overwrite").parquet(f"{out}/files/batch={number}")
+        failed = found.where(F.col("error").isNotNull()).select(
+            doc_id(F.col("path")).alias("id"), summary(F.col("path")).alias("content_summary"), F.lit(0).alias("content_length"), F.lit("failed").alias("status"), F.lit(0).cast("long").alias("chunks_count"), "error",
+        )
+        done = _read(spark, f"{out}/status", STATUS, number).where("status = 'processed'")
+        _ingest(enqueue(found.where(F.col("error").isNull()), done), out, number, size, overlap, ask, failed)
+        discard(read)
+
+    return arriving(spark, folder, at_once).writeStream.option("checkpointLocation", f"{out}/progress").foreachBatch(batch)
+
+
 def retry_failed(spark: SparkSession, folder: str, ask: Callable[[str], str], size: int = 200, overlap: int = 20) -> int:
     """Take the failed documents of a stream again, while it isn't running; returns how many there were. Batches of retries count down from -1."""
     status = _read(spark, f"{folder}/status", STATUS)
