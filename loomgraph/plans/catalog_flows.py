@@ -12,7 +12,8 @@ from ..functions import text as X
 from ..operators import cache, community, extract, flows, graph, merge, metrics, retrieve, tables, vectors
 from ..scratch import materialize, scratch
 from ..sources import files
-from ..streaming.ingest import sessions, windowed_counts
+from ..streaming import graph as stream_graph
+from ..streaming.ingest import scan_stream, sessions, windowed_counts
 from .catalog_graph import CL, COS, EDGES, GLOBAL, ENDS, NAIVE, REC, _naive, best, chunks, edges, given_clusters, global_kept, mentions, nodes, predictions, records
 from .catalog_text import ANSWER_SQL, answers, table
 from .engine import Engine
@@ -135,6 +136,26 @@ def _into(spark, d):
     return flows.extract_into(answers(spark, d), old, links)
 
 
+def _streamed(spark, d):
+    """The answers of all order lines, as four files that come one after another, merged by the stream; numbers of lines that come twice count twice."""
+    folder = scratch(spark)
+    answers(spark, d).repartition(4, "chunk_id").write.parquet(f"{folder}/answers")
+    stream = spark.readStream.schema("chunk_id string, answer string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/answers")
+    stream_graph.merge_stream(stream, folder, once=False).trigger(availableNow=True).start().awaitTermination()
+    return stream_graph.read_graph(spark, folder)
+
+
+@_query(f"""WITH {EXTRACTED}, k AS (SELECT entity_name, entity_type, count(*) AS n, min(source_id || '/' || ord) AS first FROM f GROUP BY 1, 2), t AS (SELECT entity_name, arg_min(entity_type, lpad((1000000000 - n)::VARCHAR, 12, '0') || first) AS entity_type FROM k GROUP BY 1)
+SELECT entity_name, t.entity_type, string_agg(DISTINCT description, '<SEP>' ORDER BY description) AS description, md5(string_agg(DISTINCT source_id, '<SEP>' ORDER BY source_id)) AS sources FROM f JOIN t USING (entity_name) GROUP BY 1, 2""")
+def stream_graph_nodes(spark, d):
+    return _streamed(spark, d)[0].select("entity_name", "entity_type", "description", F.md5("source_id").alias("sources"))
+
+
+@_query(f"""WITH {EXTRACTED} SELECT least(p, s) AS src_id, greatest(p, s) AS tgt_id, sum(l_linenumber::DOUBLE) AS weight, '"supplies"' AS description, '"trade"' AS keywords, md5(string_agg(DISTINCT source_id, '<SEP>' ORDER BY source_id)) AS sources FROM a GROUP BY 1, 2""")
+def stream_graph_edges(spark, d):
+    return _streamed(spark, d)[1].select("src_id", "tgt_id", "weight", "description", "keywords", F.md5("source_id").alias("sources"))
+
+
 @_query("SELECT doc_id, CASE WHEN n < 500 THEN md5(text) ELSE md5(substr(text, 1, 100)) END AS description FROM (SELECT doc_id, text, length(text) - length(replace(text, ' ', '')) AS n FROM documents)")
 def summarised_descriptions(spark, d):
     t = table(spark, d, "documents").select("doc_id", F.col("text").alias("description"))
@@ -314,6 +335,18 @@ def folder_scan(spark, d):
     return text.select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
 
 
+@_query("SELECT c_name AS line FROM customer")
+def folder_stream(spark, d):
+    """Text files of a folder as a stream in small batches, broken off and started again after more files have come; the lines of its documents."""
+    path = scratch(spark)
+    t = table(spark, d, "customer").select("c_name", (F.col("c_custkey") % 2 == 0).alias("late"))
+    for late in (False, True):
+        t.where(F.col("late") == late).select("c_name").repartition(3, "c_name").write.text(f"{path}/in/{late}")
+        scan_stream(spark, f"{path}/in", f"{path}/out", at_once=2).trigger(availableNow=True).start().awaitTermination()
+    docs = spark.read.parquet(f"{path}/out/docs")
+    return docs.select(F.explode(F.split("content", "\n")).alias("line"))
+
+
 @_query("SELECT o_custkey AS src, max(o_orderkey) AS tgt FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
 def matches_latest(spark, d):
     """Matches of two batches in the store: those of one language pair and the last batch."""
