@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,6 +22,11 @@ SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, rang
 FLOAT = r"^[-+]?[0-9]*\.?[0-9]+$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def quoted(marker: str) -> str:
     """A regular expression that matches the marker itself."""
     return "\\Q" + marker + "\\E"
@@ -136,12 +141,20 @@ LOOSE_PAIR = r'("?\w+"?)\s*:\s*(\{[^}]*\}|".*?"|[^,}]+)'
 
 
 def loose_values(c: Column) -> Column:
-    """map(key, text) of all `key: value` pairs of a broken JSON text; later ones win. Objects stay as they stand: apply it to them again."""
+    """map(key, text) of all `key: value` pairs of a broken JSON text; later ones win. Objects stay as they stand: apply it to them again.
+
+    Pairs with equal keys are sorted next to each other, so the work grows with the text and not with the pairs' pairs.
+    """
     pair = F.lit("(?s)" + LOOSE_PAIR)
     both = F.arrays_zip(F.regexp_extract_all(c, pair, F.lit(1)).alias("k"), F.regexp_extract_all(c, pair, F.lit(2)).alias("v"))
-    both = F.transform(both, lambda x: F.struct(F.btrim(x.k, F.lit('"')).alias("k"), strip(x.v).alias("v")))
-    last = F.filter(both, lambda x, i: ~F.exists(F.slice(both, i + 2, F.greatest(F.size(both) - i - 1, F.lit(0))), lambda y: y.k == x.k))
-    return F.map_from_arrays(F.transform(last, lambda x: x.k), F.transform(last, lambda x: F.when(x.v.startswith("{"), x.v).otherwise(F.btrim(x.v, F.lit('"')))))
+    key = lambda x, i: F.struct(F.btrim(x.k, F.lit('"')).alias("k"), i.alias("i"), strip(x.v).alias("v"))
+    text = lambda x: F.when(x.v.startswith("{"), x.v).otherwise(F.btrim(x.v, F.lit('"')))
+
+    def last(x: Column) -> Column:
+        kept = F.filter(x, lambda y, j: ~F.coalesce(F.get(x, j + 1).k == y.k, F.lit(False)))
+        return F.map_from_entries(F.transform(F.array_sort(kept, lambda a, b: (a.i - b.i).cast("int")), lambda y: F.struct(y.k.alias("k"), text(y).alias("v"))))
+
+    return let(F.array_sort(F.transform(both, key)), last)
 
 
 def response_json(c: Column) -> Column:
@@ -174,8 +187,19 @@ def scalar(c: Column) -> Column:
 
 
 def unicode_escapes(c: Column) -> Column:
-    r"""\uXXXX escapes as characters."""
-    return F.coalesce(F.from_json(F.concat(F.lit('["'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"]')), "array<string>")[0], c)
+    r"""\uXXXX escapes as characters, two halves of a pair as the one that they stand for; all else, other escapes too, as it is. A half without its other one is U+FFFD."""
+    escape = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}"
+    number = lambda x, at: F.conv(F.substring(x, at, 4), 16, 10).cast("int")
+    utf8 = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+
+    def character(x: Column) -> Column:
+        one = number(x, 3)
+        pair = 0x10000 + (one - 0xD800) * 0x400 + number(x, 9) - 0xDC00
+        return F.when(F.length(x) > 6, utf8(pair)).when(one.between(0xD800, 0xDFFF), F.lit("\ufffd")).otherwise(utf8(one))
+
+    gaps = F.split(c, escape, -1)
+    found = F.transform(F.regexp_extract_all(c, F.lit(escape), F.lit(0)), character)
+    return F.when(c.contains("\\u"), F.array_join(F.zip_with(gaps, found, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")).otherwise(c)
 
 
 def mode_of(query: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, dequantize
+from ..functions.vectors import dequantize
+from .similar import best_above
 from .vectors import best_matches
 
 
@@ -19,10 +20,11 @@ def semantic(requests: DataFrame, cache: DataFrame, threshold: float = 0.95) ->
 
     requests: request_id, mode, cache_type, vector; cache: mode, cache_type, args_hash, answer, codes, low, high (quantised vectors).
     """
-    c = cache.select("mode", "cache_type", "args_hash", "answer", dequantize(F.col("codes"), F.col("low"), F.col("high")).alias("_v"))
-    near = requests.join(c, ["mode", "cache_type"]).withColumn("score", cosine(F.col("vector"), F.col("_v"))).where(F.col("score") > threshold)
-    w = Window.partitionBy("request_id").orderBy(F.desc("score"), "args_hash")
-    return near.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("request_id", "args_hash", "answer", "score")
+    by = ["mode", "cache_type"]
+    held = cache.select(*by, F.col("args_hash").alias("key"), dequantize(F.col("codes"), F.col("low"), F.col("high")).alias("vector"))
+    near = best_above(requests.select(*by, F.col("request_id").alias("key"), "vector"), held, threshold, by, strict=True)
+    near = near.select(*by, F.col("src").alias("request_id"), F.col("tgt").alias("args_hash"), "score")
+    return near.join(cache.select(*by, "args_hash", "answer"), [*by, "args_hash"]).select("request_id", "args_hash", "answer", "score")
 
 
 def lookup(requests: DataFrame, cache: DataFrame, threshold: float = 0.95) -> DataFrame:

@@ -48,13 +48,25 @@ def status_counts(status: DataFrame) -> DataFrame:
     return every.join(n, "status", "left").orderBy("_o").select("status", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+#: Parts that each look for the end of a budget on their own.
+PARTS = 64
+
+
 def within_budget(rows: DataFrame, order: list[Column], tokens: Column, budget: int, by: list[str] | None = None) -> DataFrame:
     """Rows before the first whose running token sum exceeds the budget (none for a budget of 0 or less).
 
-    Token counts aren't negative, so the running sums that fit are a prefix.
+    Token counts aren't negative, so the running sums that fit are a prefix. Without `by`, rows are dealt by hash to PARTS parts
+    first: a row after the first one beyond the budget among the rows of its own part is beyond it among all, so the one task that orders what is left
+    gets a budget's worth of rows and one more from each part at most, however many there were (but for rows of no tokens).
     """
+    if budget <= 0:
+        return rows.where(F.lit(False))
+    if not by:
+        plain = [c for c, kind in rows.dtypes if not any(x in kind for x in ("map<", "variant"))]
+        part = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("_part", F.pmod(F.xxhash64(*plain), F.lit(PARTS))).withColumn("_sum", F.sum(tokens).over(part) - tokens).where(F.col("_sum") <= budget).drop("_part", "_sum")
     w = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_sum", F.sum(tokens).over(w)).where((F.col("_sum") <= budget) & F.lit(budget > 0)).drop("_sum")
+    return rows.withColumn("_sum", F.sum(tokens).over(w)).where(F.col("_sum") <= budget).drop("_sum")
 
 
 def pack(rows: DataFrame, by: str, order: str, tokens: str, budget: int) -> DataFrame:
@@ -101,6 +113,12 @@ def nodes_with_text(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
     return both.groupBy("entity_name").agg(F.expr("listagg(content, '\n') within group (order by id)").alias("content"))
 
 
+def edge_texts(edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Edges (src_id, tgt_id, source_ids ARRAY and more) with a row for each of their chunks: id and content, so that an edge of many chunks is many rows; chunks: id, content."""
+    rest = [c for c in edges.columns if c != "source_ids"]
+    return edges.select(*rest, F.explode("source_ids").alias("id")).join(chunks.select("id", "content"), "id").select(*rest, "id", "content")
+
+
 def edges_with_text(edges: DataFrame, chunks: DataFrame) -> DataFrame:
     """Edges (src_id, tgt_id, source_ids ARRAY, created and more) with the texts of their chunks in chunk order, newest edge first; chunks: id, content."""
     each = edges.select("src_id", "tgt_id", F.explode_outer("source_ids").alias("id"))

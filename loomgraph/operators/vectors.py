@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from . import similar
 
 
 def nearest(vectors: DataFrame, query: Column, threshold: float | None = None, vector: str = "vector", strict: bool = False) -> DataFrame:
@@ -117,33 +118,12 @@ def hashed_words(texts: list[str], size: int = 64) -> np.ndarray:
     return out
 
 
-def best_matches(source: DataFrame, target: DataFrame, threshold: float, rows: int = 2048) -> DataFrame:
+def best_matches(source: DataFrame, target: DataFrame, threshold: float, rows: int = similar.ROWS) -> DataFrame:
     """(src, tgt, score): for each source vector its most similar target at the threshold or above, ties to the smaller target.
 
-    source, target: key, vector. Targets are dealt to blocks; each block is compared with blocks of sources as matrices, and a
-    source's best of each block meet at the end, so no task holds a side whole.
+    source, target: key, vector. What can't reach the threshold by its angles to pivots isn't compared; no task holds a side whole.
     """
-    n_s, n_t = max(1, -(-source.count() // rows)), max(1, -(-target.count() // rows))
-    s = source.select(F.col("key").alias("key"), F.col("vector").alias("vector"), F.pmod(F.xxhash64("key"), F.lit(n_s)).cast("int").alias("a")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_t - 1))))
-    t = target.select(F.col("key").alias("key"), F.col("vector").alias("vector"), F.pmod(F.xxhash64("key"), F.lit(n_t)).cast("int").alias("b")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n_s - 1))))
-    kinds = source.schema["key"].dataType.simpleString(), target.schema["key"].dataType.simpleString()
-
-    def match(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"src": [], "tgt": [], "score": []})
-        if not len(x) or not len(y):
-            return none
-        y = y.sort_values("key", kind="stable")
-        m, n = (np.array(v["vector"].tolist(), np.float64) for v in (x, y))
-        unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        sim = unit(m) @ unit(n).T
-        best = sim.argmax(axis=1)
-        score = sim[np.arange(len(x)), best]
-        ok = score >= threshold
-        return pd.DataFrame({"src": x["key"].to_numpy()[ok], "tgt": y["key"].to_numpy()[best[ok]], "score": score[ok]})
-
-    found = s.groupBy("a", "b").cogroup(t.groupBy("a", "b")).applyInPandas(match, f"src {kinds[0]}, tgt {kinds[1]}, score double")
-    w = Window.partitionBy("src").orderBy(F.desc("score"), "tgt")
-    return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return similar.best_above(source, target, threshold, rows=rows)
 
 
 def of_pair(pairs: DataFrame, vectors: DataFrame) -> DataFrame:

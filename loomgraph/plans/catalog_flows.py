@@ -14,7 +14,7 @@ from ..scratch import materialize, scratch
 from ..sources import files
 from ..streaming import graph as stream_graph
 from ..streaming.ingest import scan_stream, sessions, windowed_counts
-from .catalog_graph import CL, COS, EDGES, GLOBAL, ENDS, NAIVE, REC, _naive, best, chunks, edges, given_clusters, global_kept, mentions, nodes, predictions, records
+from .catalog_graph import CL, COS, EDGES, GLOBAL, ENDS, NAIVE, REC, _naive, best, chunks, edges, given_clusters, global_kept, mentions, nodes, predictions, records, sharing
 from .catalog_text import ANSWER_SQL, answers, table
 from .engine import Engine
 
@@ -24,7 +24,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 def _query(sql: str | None = None):
     def register(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = sharing(f)
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
@@ -76,14 +76,16 @@ def merge_edges_directed(spark, d):
 
 
 @_query(f"""WITH {EDGES}, t AS (SELECT least(src_id, tgt_id) AS src_id, greatest(src_id, tgt_id) AS tgt_id, max(l_orderkey) AS created FROM rec GROUP BY 1, 2),
-u AS (SELECT DISTINCT least(src_id, tgt_id) AS src_id, greatest(src_id, tgt_id) AS tgt_id, source_id FROM rec), x AS (SELECT src_id, tgt_id, md5(string_agg(lang, chr(10) ORDER BY source_id)) AS content FROM u JOIN documents ON source_id = 'C' || doc_id GROUP BY 1, 2)
-SELECT src_id, tgt_id, created, content FROM t JOIN x USING (src_id, tgt_id)""")
+u AS (SELECT DISTINCT least(src_id, tgt_id) AS src_id, greatest(src_id, tgt_id) AS tgt_id, source_id FROM rec), x AS (SELECT src_id, tgt_id, count(*) AS chunks, md5(string_agg(md5(text), chr(10) ORDER BY source_id)) AS content, CAST(sum(length(text)) AS BIGINT) AS size FROM u JOIN documents ON source_id = 'C' || doc_id GROUP BY 1, 2)
+SELECT src_id, tgt_id, created, chunks, content, size FROM t JOIN x USING (src_id, tgt_id)""")
 def all_edges_with_text(spark, d):
-    """With the chunks' languages for their texts, as the SQL joins hubs' whole texts in one row otherwise."""
+    """The whole texts of each edge's chunks, a row each as they are kept; digests of the texts in chunk order and their length, as one row of a hub's joined texts has no bound."""
     r = extract.undirected(records(spark, d))
     e = r.groupBy("src_id", "tgt_id").agg(F.max("l_orderkey").alias("created"), F.collect_set("source_id").alias("source_ids"))
-    c = table(spark, d, "documents").select(F.concat(F.lit("C"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("content"))
-    return tables.edges_with_text(e, c).select("src_id", "tgt_id", "created", F.md5("content").alias("content"))
+    c = table(spark, d, "documents").select(F.concat(F.lit("C"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("content"))
+    rows = tables.edge_texts(e, c).select("src_id", "tgt_id", "created", "id", F.md5("content").alias("digest"), F.length("content").alias("size"))
+    digests = F.transform(F.array_sort(F.collect_list(F.struct("id", "digest"))), lambda x: x.digest)
+    return rows.groupBy("src_id", "tgt_id", "created").agg(F.count("*").alias("chunks"), F.md5(F.array_join(digests, "\n")).alias("content"), F.sum("size").cast("bigint").alias("size"))
 
 
 @_query(f"WITH {EDGES}, {PAIRS} SELECT p.src_id, p.tgt_id, round(a.embedding[1]::DOUBLE, 6) AS first FROM p LEFT JOIN edges USING (src_id, tgt_id) LEFT JOIN embeddings a ON 'E' || a.vec_id = edges.src_id")

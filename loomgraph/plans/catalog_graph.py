@@ -7,6 +7,8 @@ of its part and of its part and supplier, with the order line's figures, and a d
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +23,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+_SHARED: ContextVar[dict[tuple[str, str], DataFrame] | None] = ContextVar("tables that a query has written", default=None)
+
+
+def sharing(f):
+    """A query of which each call writes the graph tables that it reads several times once, for itself alone."""
+
+    @wraps(f)
+    def run(spark, d):
+        token = _SHARED.set({})
+        try:
+            return f(spark, d)
+        finally:
+            _SHARED.reset(token)
+
+    return run
+
+
 def _query(sql: str | None = None):
     def register(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = sharing(f)
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
@@ -31,26 +50,24 @@ def _query(sql: str | None = None):
     return register
 
 
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
-
-
 def _written(name: str):
-    """A graph table that is written to the shared folder once a session and read by all queries; the tables below `d` don't change meanwhile."""
+    """A graph table that a query writes to the shared folder when it first needs it."""
 
     def wrap(make):
+        @wraps(make)
         def get(spark, d):
-            key = (spark.sparkContext.applicationId, d, name)
-            if key not in _WRITTEN:
-                _WRITTEN[key] = materialize(make(spark, d))
-            path = _WRITTEN[key]
-            return spark.read.schema(path.schema).parquet(path._loomgraph_path)
+            made = _SHARED.get()
+            if made is None:
+                return make(spark, d)
+            if (d, name) not in made:
+                made[d, name] = materialize(make(spark, d))
+            return spark.read.schema(made[d, name].schema).parquet(made[d, name]._loomgraph_path)
 
         return get
 
     return wrap
 
 
-@_written("records")
 def records(spark, d) -> DataFrame:
     n, m = table(spark, d, "embeddings").count(), table(spark, d, "documents").count()
     e = lambda c: F.concat(F.lit("E"), F.pmod(c, F.lit(n)).cast("string"))

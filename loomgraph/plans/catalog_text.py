@@ -218,6 +218,13 @@ def json_scalars(spark, d):
     return table(spark, d, "events").select("event_id", X.scalar(bare).alias("s")).select("event_id", "s.kind", "s.number")
 
 
+@_query(r"""SELECT event_id, 'say "' || event_type || '"' || chr(10) || chr(9) || 'é \new \"' || chr(128512) || user_id || 'A' AS said FROM events""")
+def json_unicode_texts(spark, d):
+    """Escapes in texts with line breaks, tabs, quotes, other escapes and a pair of halves."""
+    said = F.concat(F.lit('say \\u0022'), "event_type", F.lit('"\n\t\\u00e9 \\new \\"\\ud83d\\uDE00'), F.col("user_id").cast("string"), F.lit("\\u0041"))
+    return table(spark, d, "events").select("event_id", X.unicode_escapes(said).alias("said"))
+
+
 @_query("SELECT n_nationkey, n_name || ' é\"' AS name FROM nation")
 def json_unicode_escapes(spark, d):
     return table(spark, d, "nation").select("n_nationkey", X.unicode_escapes(F.concat("n_name", F.lit(' \\u00e9"'))).alias("name"))

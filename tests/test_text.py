@@ -118,3 +118,16 @@ def test_loose_values(spark):
 def test_clean_response(spark):
     assert one(spark, X.clean_response(F.col("t"), F.lit("Be short."), F.lit("why?")), t="<system>Be short.</system>user why? Because.") == "Because."
     assert one(spark, X.clean_response(F.col("t"), F.lit("Be short."), F.lit("why?")), t="user") == "user"
+
+
+def test_escapes_alone_are_changed(spark):
+    cases = {"a\n\\u0041": "a\nA", 'say "x" \\u0041\t': 'say "x" A\t', "dir\\new \\u0041": "dir\\new A", "\\ud83d\\ude00\\ud83d!": "😀\ufffd!", "\\u12 \\": "\\u12 \\", "": ""}
+    t = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, None)], "a string, b string").withColumn("c", X.unicode_escapes(F.col("a")))
+    assert [r.c for r in t.collect()] == [r.b for r in t.collect()]
+
+
+def test_many_loose_pairs(spark):
+    text = "{" + ", ".join(f"k{i % 5000}: v{i}" for i in range(10_000)) + "}"
+    got = spark.createDataFrame([(text,), ("{b: 1, a: {x: 1}, b: \"2\"}",), ("",), (None,)], "t string").select(X.loose_values(F.col("t")).alias("m")).collect()
+    assert got[0].m == {f"k{i}": f"v{i + 5000}" for i in range(5000)}
+    assert [r.m for r in got[1:]] == [{"a": "{x: 1}", "b": "2"}, {}, None]
