@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_id, quoted, strip, words
+from ..functions.text import content_id, let, quoted, strip, words
 
 #: Where texts are cut, the first that fits counts.
 SEPARATORS = (
@@ -53,54 +50,49 @@ def with_previous(chunks: DataFrame, doc: str, overlap: int, size: int) -> DataF
     return chunks.withColumns({"content": F.array_join(joined, " "), "tokens": F.size(joined).cast("long")})
 
 
-def merge_splits(pieces: list[list[str]], size: int) -> list[list[str]]:
-    """Neighbouring pieces joined as long as they fit."""
-    out: list[list[str]] = []
-    for p in pieces:
-        if out and len(out[-1]) + len(p) <= size:
-            out[-1] = out[-1] + p
-        else:
-            out.append(list(p))
-    return out
+def _cut_after(separators: tuple[str, ...]) -> str:
+    """A pattern of the places after separators. A single space belongs to the word after it, so as a separator it counts where another one stands before it."""
+    return "|".join(f"(?<={quoted(m if m != ' ' else '  ')})" for m in separators)
+
+
+def _chunk_starts(sizes: Column, size: int) -> Column:
+    """Where chunks start, in words, when pieces of these sizes are joined as long as they fit: a fold over numbers that grows an array by one for each chunk alone."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("starts"))
+
+    def step(a: Column, n: Column) -> Column:
+        new = (F.size(a.starts) == 0) | (a.held + n > size)
+        return F.struct((a["at"] + n).alias("at"), F.when(new, n).otherwise(a.held + n).alias("held"), F.when(new, F.concat(a.starts, F.array(a["at"]))).otherwise(a.starts).alias("starts"))
+
+    return F.aggregate(sizes, start, step, lambda a: a.starts)
 
 
 def by_separators(docs: DataFrame, key: str, text: str = "text", size: int = 1200, overlap: int = 100, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
-    """Chunks of whole sentences: texts are cut after separators, pieces joined up to the size, and led by the last words of the one before.
+    """(key, chunk_order_index, tokens, content): texts are cut after separators, pieces joined as long as they fit, and led by the last words of the chunk before, cut to the size.
 
-    A text that makes a single oversized chunk is cut to windows, of which those within the overlap are dropped. Joining depends on what
-    came before, so each text is folded in Python, in Arrow batches.
+    What the lead pushes over the size is dropped, and so are windows within the overlap where a text that makes a single oversized
+    chunk is cut to windows (those have no lead); a piece that is larger than the size stays whole as a first chunk. Null and blank texts make no chunks.
     """
-    marks = sorted(separators, key=len, reverse=True)
-
-    def pieces(t: str) -> list[list[str]]:
-        out, start, i = [], 0, 0
-        while i < len(t):
-            m = next((m for m in marks if t.startswith(m, i)), None)
-            if m and m.strip():
-                out.append(t[start : i + len(m)].split())
-                start = i = i + len(m)
-            elif m and "\n" in m:
-                out.append(t[start:i].split())
-                start = i = i + len(m)
-            else:
-                i += 1
-        out.append(t[start:].split())
-        return [p for p in out if p]
-
-    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in rows:
-            out = []
-            for k, t in zip(b[key], b[text], strict=True):
-                chunks = merge_splits(pieces(t or ""), size)
-                if len(chunks) == 1 and len(chunks[0]) > size:
-                    step = size - overlap
-                    chunks = [c for c in (chunks[0][i : i + size] for i in range(0, len(chunks[0]), step)) if len(c) > overlap]
-                led = [(chunks[i - 1][-overlap:] if i and overlap else []) + c for i, c in enumerate(chunks)]
-                out += [(k, i, len(c[:size]), " ".join(c[:size])) for i, c in enumerate(led)]
-            yield pd.DataFrame(out, columns=[key, "chunk_order_index", "tokens", "content"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, chunk_order_index int, tokens long, content string")
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap has to be smaller than the size")
+
+    def led(x: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(x.starts, i + 1), F.size(x.words))
+            before = F.greatest(F.coalesce(F.get(x.starts, F.greatest(i - 1, F.lit(0))), F.lit(0)), s - overlap)
+            lead = F.when(i > 0, F.slice(x.words, before + 1, s - before)).otherwise(F.slice(x.words, F.lit(1), F.lit(0)))
+            whole = F.concat(lead, F.slice(x.words, s + 1, end - s))
+            return F.when((i > 0) & (F.size(whole) > size), F.slice(whole, F.lit(1), F.lit(size))).otherwise(whole) if overlap else whole
+
+        return F.transform(x.starts, one)
+
+    def chunks(x: Column) -> Column:
+        alone = (F.size(x.starts) == 1) & (F.size(x.words) > size)
+        return F.when(alone, F.filter(windows(x.words, size, overlap), lambda w: F.size(w) > overlap)).otherwise(led(x))
+
+    pieces = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), _cut_after(separators), -1), words), lambda w: F.size(w) > 0)
+    both = let(pieces, lambda p: F.struct(F.flatten(p).alias("words"), _chunk_starts(F.transform(p, lambda w: F.size(w)), size).alias("starts")))
+    out = docs.select(F.col(key), F.posexplode(let(both, chunks)).alias("chunk_order_index", "_w"))
+    return out.select(key, "chunk_order_index", F.size("_w").cast("long").alias("tokens"), F.array_join("_w", " ").alias("content"))
 
 
 def with_ids(chunks: DataFrame, doc_order: str) -> DataFrame:

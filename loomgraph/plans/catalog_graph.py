@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import cache, community, extract, graph, merge, metrics, retrieve, tables, vectors
-from ..scratch import materialize
+from ..operators import cache, community, extract, graph, merge, metrics, retrieve, smallworld, tables, vectors
+from ..scratch import materialize, scratch
 from .catalog_text import WORDS, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -384,6 +384,15 @@ def vec_topk_lsh(spark, d):
     return vectors.nearest_by_hash(t, t.where("vec_id = 0").first()["embedding"], 10, "vec_id", "embedding")
 
 
+@_query()
+def vec_topk_small_world(spark, d):
+    """The 10 nearest of every hundredth vector, by an index that is built and stored first."""
+    t, path = table(spark, d, "embeddings"), scratch(spark)
+    smallworld.build(t, path, "vec_id", "embedding")
+    q = t.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return smallworld.nearest(spark, path, q, 10).select("query_id", F.col("key").alias("vec_id"), F.round("score", 6).alias("score"), "ord")
+
+
 @_query("""SELECT entity_name, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid
 FROM (SELECT 'E' || vec_id AS entity_name, sha256('E' || vec_id) AS h FROM embeddings)""")
 def vec_stable_uuid(spark, d):

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from loomgraph.operators import similar, tables
+from loomgraph.operators import similar, smallworld, tables, vectors
 from pyspark.sql import functions as F
 
 
@@ -58,3 +58,36 @@ def test_budget_over_many_rows(spark):
     got = tables.within_budget(t, [F.col("o")], F.col("tokens"), 500)
     assert got.columns == t.columns and sorted(r.o for r in got.collect()) == want
     assert tables.within_budget(t, [F.col("o")], F.col("tokens"), 0).count() == 0
+
+
+@pytest.mark.parametrize("spread", [0.3, 5.0])
+def test_small_world_recall(spark, tmp_path, spread):
+    v = clustered(900, 5, spread, 24)
+    rows = [(i, [float(y) for y in x]) for i, x in enumerate(v)]
+    t = spark.createDataFrame([*rows, (2000, None), (2001, [0.0] * 24)], "id long, vector array<double>")
+    path = str(tmp_path / "index")
+    smallworld.build(t.where("id < 600 OR id >= 2000"), path, shard=250)
+    smallworld.build(t.where("id >= 600"), path, shard=250)  # more vectors later
+    q = t.where("id % 10 = 0").select(F.col("id").alias("query_id"), "vector")
+    found = smallworld.nearest(spark, path, q, 8, width=64, block=40).collect()
+    want = {}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for i in range(0, 900, 10):
+        want[i] = {int(x) for x in np.argsort(-(unit @ unit[i]), kind="stable")[:8]}
+    got = {}
+    for r in found:
+        assert abs(r.score - float(unit[r.key] @ unit[r.query_id])) < 1e-9
+        got.setdefault(r.query_id, set()).add(r.key)
+    assert set(got) == set(want) and all(len(x) == 8 for x in got.values())
+    assert sum(len(got[i] & want[i]) for i in want) >= 0.95 * 8 * len(want)
+
+
+def test_recall_of_random_projections(spark):
+    v = clustered(500, 6, 5.0, 24)
+    t = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "id long, vector array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hits = 0
+    for i in (0, 77, 300):
+        near = {r.id for r in vectors.nearest_by_hash(t, v[i].tolist(), 10).collect()}
+        hits += len(near & {int(x) for x in np.argsort(-(unit @ unit[i]), kind="stable")[:10]})
+    assert hits >= 0.9 * 30

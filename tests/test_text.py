@@ -131,3 +131,38 @@ def test_many_loose_pairs(spark):
     got = spark.createDataFrame([(text,), ("{b: 1, a: {x: 1}, b: \"2\"}",), ("",), (None,)], "t string").select(X.loose_values(F.col("t")).alias("m")).collect()
     assert got[0].m == {f"k{i}": f"v{i + 5000}" for i in range(5000)}
     assert [r.m for r in got[1:]] == [{"a": "{x: 1}", "b": "2"}, {}, None]
+
+
+def separated(text, size, overlap):
+    """Chunks by separators, word by word."""
+    cuts = "\n。．.！!？?\t\u3000\u200b"
+    pieces, now = [], ""
+    for i, c in enumerate(text or ""):
+        now += c
+        if c in cuts or c == " " and text[i - 1 : i] == " ":
+            pieces.append(now.split())
+            now = ""
+    merged = []
+    for p in filter(None, [*pieces, now.split()]):
+        if merged and len(merged[-1]) + len(p) <= size:
+            merged[-1] = merged[-1] + p
+        else:
+            merged.append(p)
+    if len(merged) == 1 and len(merged[0]) > size:
+        w = merged[0]
+        return [x for x in (w[i : i + size] for i in range(0, len(w), size - overlap)) if len(x) > overlap]
+    return [((merged[i - 1][-overlap:] + m)[: max(size, 0)] if i and overlap else m) for i, m in enumerate(merged)]
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(5, 1), (8, 3), (4, 0), (50, 10)])
+def test_separators_against_brute_force(spark, size, overlap):
+    import random
+
+    r = random.Random(size)
+    texts = ["".join(r.choice(["ab", "c", " ", " ", "  ", ".", "! ", "\n", "\n\n", "\t", "。", "x y z "]) for _ in range(r.randrange(120))) for _ in range(60)]
+    texts += [None, "", "  ", "a " * 40, "a b c d e f g h.", "one. " * 400]
+    t = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {}
+    for x in chunk.by_separators(t, "k", "t", size, overlap).orderBy("k", "chunk_order_index").collect():
+        got.setdefault(x.k, []).append(x.content)
+    assert got == {k: v for k, v in ((i, [" ".join(c) for c in separated(x, size, overlap)]) for i, x in enumerate(texts)) if v}
