@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_id, let, quoted, strip, words
+from ..functions.tokens import Tokenizer, pieces
 
 #: Where texts are cut, the first that fits counts.
 SEPARATORS = (
@@ -22,11 +23,12 @@ def windows(tokens: Column, size: int, overlap: int) -> Column:
     return F.when(n > 0, F.transform(starts, lambda s: F.slice(tokens, s + 1, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
 
 
-def by_tokens(docs: DataFrame, text: str = "text", size: int = 1200, overlap: int = 100) -> DataFrame:
-    """docs' columns but the text, and chunk_order_index, tokens, content."""
-    cut = docs.withColumn("_t", words(F.coalesce(text, F.lit("")))).drop(text)
+def by_tokens(docs: DataFrame, text: str = "text", size: int = 1200, overlap: int = 100, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """docs' columns but the text, and chunk_order_index, tokens, content. A tokenizer's tokens give the text back as it stands, stripped; words are joined by a space."""
+    cut = docs.withColumn("_t", pieces(F.col(text), tokenizer) if tokenizer else words(F.coalesce(text, F.lit("")))).drop(text)
     out = cut.select(*(c for c in cut.columns if c != "_t"), F.posexplode(windows(F.col("_t"), size, overlap)).alias("chunk_order_index", "_w"))
-    return out.withColumns({"tokens": F.size("_w").cast("long"), "content": F.array_join("_w", " ")}).drop("_w")
+    content = strip(F.array_join("_w", "")) if tokenizer else F.array_join("_w", " ")
+    return out.withColumns({"tokens": F.size("_w").cast("long"), "content": content}).drop("_w")
 
 
 def by_character(docs: DataFrame, separator: str, text: str = "text", size: int | None = None, overlap: int = 0) -> DataFrame:

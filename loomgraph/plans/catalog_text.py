@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.tokens import counted, fixed
 from ..operators import cache, chunk, extract, tables
 from ..scratch import materialize, scratch
 from ..sources.files import page_text
@@ -140,6 +141,19 @@ def chunk_ids_last_wins(spark, d):
     return chunk.with_ids(c, "doc_id").select("id", "doc_id", "chunk_order_index")
 
 
+@_query(f"""SELECT doc_id, CAST(i AS INTEGER) AS chunk_order_index, CAST(least(50, ceil((length(t) - i * 180) / 4.0)) AS BIGINT) AS tokens, md5(trim(substr(t, i * 180 + 1, 200), chr(9) || chr(10) || chr(13) || ' ')) AS content
+FROM (SELECT doc_id, coalesce(text, '') AS t, unnest(range(0, CAST(ceil(ceil(length(coalesce(text, '')) / 4.0) / 45) AS BIGINT))) AS i FROM documents)""")
+def chunk_window_tokens(spark, d):
+    """Windows of 50 tokens of four characters each, of which the next window starts 45 on."""
+    c = chunk.by_tokens(table(spark, d, "documents").select("doc_id", "text"), "text", 50, 5, fixed(4))
+    return c.select("doc_id", "chunk_order_index", "tokens", F.md5("content").alias("content"))
+
+
+@_query("SELECT doc_id, CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS tokens FROM documents")
+def token_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", counted(F.col("text"), fixed(4)).alias("tokens"))
+
+
 @_query()
 def chunk_by_separators(spark, d):
     return chunk.by_separators(table(spark, d, "documents").select("doc_id", "text"), "doc_id", size=200, overlap=20)

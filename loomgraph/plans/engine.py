@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import MODES, csv_row, n_words
@@ -55,8 +55,9 @@ class Graph:
 class Engine:
     """Plans a query's context; nothing runs before the result is read."""
 
-    def __init__(self, graph: Graph, embed: Callable[[list[str]], np.ndarray]):
-        self.graph, self.embed = graph, embed
+    def __init__(self, graph: Graph, embed: Callable[[list[str]], np.ndarray], count: Callable[[Column], Column] = n_words):
+        """count: a text's tokens, as budgets count them (`functions.tokens.counted` for a tokenizer); chunks bring their own numbers."""
+        self.graph, self.embed, self.count = graph, embed, count
 
     def _vector(self, text: str):
         return F.array(*(F.lit(float(x)) for x in self.embed([text])[0]))
@@ -70,8 +71,8 @@ class Engine:
         chunks = retrieve.chunks_of_entities(best, sources, g.edges).join(g.chunks, F.col("chunk") == F.col("id"))
         relations = retrieve.relations_of_entities(best, g.edges)
         return {
-            "entities": within_budget(found, [F.col("ord")], n_words(F.col("description")), p.entity_tokens),
-            "relations": within_budget(relations, [F.desc("rank"), F.desc("weight"), F.col("ord"), F.col("src_id"), F.col("tgt_id")], n_words(F.col("description")), p.relation_tokens),
+            "entities": within_budget(found, [F.col("ord")], self.count(F.col("description")), p.entity_tokens),
+            "relations": within_budget(relations, [F.desc("rank"), F.desc("weight"), F.col("ord"), F.col("src_id"), F.col("tgt_id")], self.count(F.col("description")), p.relation_tokens),
             "sources": within_budget(chunks, [F.col("ord"), F.desc("relations"), F.col("id")], F.col("tokens"), p.text_tokens),
         }
 
@@ -80,11 +81,11 @@ class Engine:
         g = self.graph
         v = g.relation_vectors.withColumn("pair", F.concat_ws("\0", "src_id", "tgt_id"))
         best = top_k(v, self._vector(keywords), p.top_k, p.threshold, "pair").select("src_id", "tgt_id", "ord")
-        relations = retrieve.global_relations(best, g.edges, n_words(F.col("description")), p.relation_tokens)
+        relations = retrieve.global_relations(best, g.edges, self.count(F.col("description")), p.relation_tokens)
         entities = retrieve.entities_of_relations(relations, g.nodes, g.edges)
         chunks = retrieve.chunks_of_relations(relations, g.chunks)
         return {
-            "entities": within_budget(entities, [F.col("ord")], n_words(F.col("description")), p.entity_tokens),
+            "entities": within_budget(entities, [F.col("ord")], self.count(F.col("description")), p.entity_tokens),
             "relations": relations,
             "sources": within_budget(chunks, [F.col("ord"), F.col("id")], F.col("tokens"), p.text_tokens),
         }
@@ -92,9 +93,11 @@ class Engine:
     def hybrid(self, low: str, high: str, p: Params) -> dict[str, DataFrame]:
         """Both lists, high-level rows first, equal rows once."""
         a, b = self.global_(high, p), self.local(low, p)
-        key = {"entities": ["entity_name", "entity_type", "description", "rank"], "relations": ["src_id", "tgt_id", "description", "keywords", "weight", "rank"], "sources": ["id", "content"]}
-        order = lambda t: t.withColumn("ord", F.col("pos")) if "pos" in t.columns else t
-        return {k: retrieve.combined(order(a[k]), b[k], c).withColumnRenamed("id", "number" if k != "sources" else "id") if k != "sources" else retrieve.combined(order(a[k]).withColumnRenamed("id", "chunk_id"), b[k].withColumnRenamed("id", "chunk_id"), ["chunk_id", "content"]) for k, c in key.items()}
+        placed = {k: t.withColumn("ord", F.col("pos")) if "pos" in t.columns else t for k, t in a.items()}
+        entities = retrieve.combined(placed["entities"], b["entities"], ["entity_name", "entity_type", "description", "rank"]).withColumnRenamed("id", "number")
+        relations = retrieve.combined(placed["relations"], b["relations"], ["src_id", "tgt_id", "description", "keywords", "weight", "rank"]).withColumnRenamed("id", "number")
+        high_chunks, low_chunks = (t.withColumnRenamed("id", "chunk_id") for t in (placed["sources"], b["sources"]))
+        return {"entities": entities, "relations": relations, "sources": retrieve.combined(high_chunks, low_chunks, ["chunk_id", "content"])}
 
     def naive(self, text: str, p: Params, k: int | None = None) -> DataFrame:
         g = self.graph

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
+from loomgraph.functions import tokens
 from loomgraph.functions import vectors as V
 from loomgraph.operators import chunk, extract, tables
 
@@ -166,3 +167,20 @@ def test_separators_against_brute_force(spark, size, overlap):
     for x in chunk.by_separators(t, "k", "t", size, overlap).orderBy("k", "chunk_order_index").collect():
         got.setdefault(x.k, []).append(x.content)
     assert got == {k: v for k, v in ((i, [" ".join(c) for c in separated(x, size, overlap)]) for i, x in enumerate(texts)) if v}
+
+
+VOCABULARY = "/opt/tokenizers"
+
+
+def test_tokens_give_the_text_back(spark):
+    import os
+
+    files = [f"{VOCABULARY}/{f}" for f in sorted(os.listdir(VOCABULARY)) if f.endswith(".json")] if os.path.isdir(VOCABULARY) else []
+    texts = ["It's a naïve 日本語 text,  with   gaps.\n\n😀😀 end ", "", None, "  ", "x" * 300, "a\u200bb\x00c"]
+    t = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for tokenizer in [tokens.fixed(3), *map(tokens.vocabulary, files[:2])]:
+        got = t.select("k", tokens.pieces(F.col("t"), tokenizer).alias("p"), tokens.counted(F.col("t"), tokenizer).alias("n")).collect()
+        assert {r.k: "".join(r.p) for r in got} == {k: x or "" for k, x in enumerate(texts)}
+        assert all(len(r.p) == r.n for r in got)
+        cut = chunk.by_tokens(t, "t", 7, 2, tokenizer).orderBy("k", "chunk_order_index").collect()
+        assert all(r.tokens <= 7 and r.content in texts[r.k] for r in cut)
