@@ -164,12 +164,70 @@ def indexed_clusters(nodes: DataFrame, ids: str = "community_ids") -> DataFrame:
     return nodes.withColumn("clusters", F.transform(ids, lambda c, i: F.struct(i.alias("level"), c.alias("cluster"))))
 
 
-def walks(edges: DataFrame, starts: DataFrame, length: int, per_node: int, seed: int = 3) -> DataFrame:
-    """(walk, node ARRAY): random walks as sentences for a word-vector model; each step draws one neighbour by a seeded hash."""
-    near = both_ways(edges.select("src_id", "tgt_id"))
-    w = starts.select(F.concat_ws("/", F.col("entity_name"), F.col("k").cast("string")).alias("walk"), F.array("entity_name").alias("path")) if "k" in starts.columns else starts.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(per_node)))).select(F.concat_ws("/", "entity_name", F.col("k").cast("string")).alias("walk"), F.array("entity_name").alias("path"))
-    for i in range(length - 1):
-        draw = Window.partitionBy("walk").orderBy(F.xxhash64("walk", "neighbour", F.lit(seed + i)))
-        nxt = w.withColumn("node", F.element_at("path", -1)).join(near, "node").withColumn("_n", F.row_number().over(draw)).where("_n = 1")
-        w = materialize(nxt.select("walk", F.concat("path", F.array("neighbour")).alias("path")))
-    return w
+def _adjacency(edges: DataFrame) -> DataFrame:
+    """(node, i, neighbour, weight, degree, most): each node's neighbours numbered from 0, with its degree and its largest weight. Numbers are given by ranges, so a hub's neighbours are spread."""
+    near = both_ways(edges.select("src_id", "tgt_id", F.coalesce("weight", F.lit(1.0)).cast("double").alias("weight"))).where("weight > 0 AND node <> neighbour")
+    near = near.groupBy("node", "neighbour").agg(F.sum("weight").alias("weight"))
+    part = materialize(near.repartitionByRange("node", "neighbour").withColumn("_range", F.spark_partition_id()))
+    size = part.groupBy("node", "_range").agg(F.count("*").alias("n"), F.max("weight").alias("most"))
+    w = Window.partitionBy("node")
+    before = size.select("node", "_range", (F.sum("n").over(w.orderBy("_range")) - F.col("n")).alias("before"), F.sum("n").over(w).alias("degree"), F.max("most").over(w).alias("most"))
+    own = F.row_number().over(Window.partitionBy("node", "_range").orderBy("neighbour")) - 1
+    out = materialize(part.join(before, ["node", "_range"]).select("node", (F.col("before") + own).alias("i"), "neighbour", "weight", "degree", "most"))
+    discard(part)
+    return out
+
+
+def _draw(*of: Column | str) -> Column:
+    """A number from 0 up to 1, the same whenever it is drawn again."""
+    return F.pmod(F.xxhash64(*of), F.lit(1 << 52)) / float(1 << 52)
+
+
+def walks(edges: DataFrame, starts: DataFrame, length: int, per_node: int, seed: int = 3, back: float = 1.0, out: float = 1.0, tries: int = 4) -> DataFrame:
+    """(walk, path ARRAY): second-order random walks as sentences for a word-vector model, `per_node` from each start (entity_name).
+
+    After a step from t to v, a neighbour x of v is taken in proportion to its edge's weight, over `back` if it is t, over `out` if it
+    isn't t's neighbour. A candidate is one numbered neighbour, taken or refused by a draw, so a step costs a few rows a walk
+    whatever the degrees; walks of which all `tries` candidates are refused draw again. A walk at a node without neighbours ends. edges: src_id, tgt_id and a weight (null: 1).
+    """
+    near = _adjacency(edges if "weight" in edges.columns else edges.withColumn("weight", F.lit(1.0)))
+    ends = near.where("i = 0").select("node", "degree", "most")
+    pairs = near.select(F.col("node").alias("last"), F.col("neighbour").alias("_to"), F.lit(True).alias("known"))
+    top = max(1.0, 1 / back, 1 / out)
+    each = starts.select("entity_name").distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(per_node))))
+    w = materialize(each.select(F.concat_ws("/", "entity_name", F.col("k").cast("string")).alias("walk"), F.array("entity_name").alias("path"), F.lit(False).alias("done")))
+    for step in range(length - 1):
+        todo, moved, turn = w.where("NOT done"), None, 0
+        while True:
+            asked = todo.select("walk", F.element_at("path", -1).alias("node"), F.get(F.reverse("path"), F.lit(1)).alias("last")).join(ends, "node")
+            draws = asked.withColumn("t", F.explode(F.sequence(F.lit(turn * tries), F.lit(turn * tries + tries - 1))))
+            draws = draws.withColumn("i", F.floor(_draw("walk", "t", F.lit(seed), F.lit(2 * step)) * F.col("degree")).cast("long"))
+            found = draws.join(near.select("node", "i", "neighbour", "weight"), ["node", "i"]).withColumn("_to", F.col("neighbour"))
+            if back != 1 or out != 1:
+                found = found.join(pairs, ["last", "_to"], "left")
+                share = F.when(F.col("last").isNull(), top).when(F.col("last") == F.col("_to"), 1 / back).when(F.col("known"), 1.0).otherwise(1 / out)
+            else:
+                share = F.lit(top)
+            taken = found.where(_draw("walk", "t", F.lit(seed), F.lit(2 * step + 1)) < share / top * F.col("weight") / F.col("most"))
+            new = materialize(taken.groupBy("walk").agg(F.min_by("_to", "t").alias("to")))
+            moved = new if moved is None else materialize(moved.unionByName(new))
+            left = todo.join(ends.select(F.col("node").alias("_end")), F.element_at("path", -1) == F.col("_end"), "left_semi").join(moved, "walk", "left_anti")
+            if not left.limit(1).count():
+                break
+            todo, turn = left, turn + 1
+        stepped = w.join(moved, "walk", "left")
+        ended = F.col("done") | F.col("to").isNull()
+        after = materialize(stepped.select("walk", F.when(ended, F.col("path")).otherwise(F.concat("path", F.array("to"))).alias("path"), ended.alias("done")))
+        discard(w, moved)
+        w = after
+    discard(near)
+    return w.select("walk", "path")
+
+
+def node_vectors(paths: DataFrame, size: int = 64, window: int = 5, seed: int = 3, rounds: int = 1) -> DataFrame:
+    """(entity_name, vector) by word vectors over walks (path). Spark ML trains on all walks; its model, a vector for each node, passes through the driver, so this is for as many nodes as the driver can hold."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=0, seed=seed, maxIter=rounds, inputCol="path", outputCol="_v").fit(paths)
+    return model.getVectors().select(F.col("word").alias("entity_name"), vector_to_array("vector").alias("vector"))

@@ -144,3 +144,28 @@ def test_modular_communities(spark):
     q = [community.modularity(inner, c).first()["modularity"] for c in (mine, one)]
     assert q[0] > 0.5 and abs(q[1]) < 1e-9
     assert community.modular(nodes.limit(0), edges).count() == 0
+
+
+def test_second_order_walks(spark):
+    """Shares of the steps after a step from t to v, against the weights that they should follow."""
+    links = [("a", "b", 1.0), ("b", "c", 2.0), ("a", "c", 1.0), ("b", "d", 1.0), ("d", "e", None), ("x", "y", 1.0)]
+    edges = frame(spark, links, "src_id string, tgt_id string, weight double")
+    starts = frame(spark, [("a",), ("lone",)], "entity_name string")
+    back, out = 4.0, 0.5
+    got = [r.path for r in graph.walks(edges, starts, 3, 6000, back=back, out=out).collect()]
+    assert sorted(p for p in got if p[0] == "lone") == [["lone"]] * 6000
+    near = {}
+    for s, t, w in links:
+        near.setdefault(s, {})[t] = near.setdefault(t, {})[s] = w or 1.0
+    paths = [p for p in got if p[0] == "a"]
+    assert len(paths) == 6000 and all(len(p) == 3 and p[1] in near[p[0]] and p[2] in near[p[1]] for p in paths)
+    for v in near["a"]:
+        after = [p[2] for p in paths if p[1] == v]
+        assert abs(len(after) / len(paths) - near["a"][v] / sum(near["a"].values())) < 0.03
+        share = {x: w / back if x == "a" else w if x in near["a"] else w / out for x, w in near[v].items()}
+        for x, w in share.items():
+            assert abs(after.count(x) / len(after) - w / sum(share.values())) < 0.03
+    paths = graph.walks(edges, frame(spark, [(x,) for x in "abcdexy"], "entity_name string"), 4, 2)
+    assert paths.count() == 14
+    vectors = graph.node_vectors(paths, size=4).collect()
+    assert {r.entity_name for r in vectors} == set("abcdexy") and all(len(r.vector) == 4 for r in vectors)
