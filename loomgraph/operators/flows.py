@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import FIELD_SEP, content_id, doc_id, quoted, strip
+from ..functions.text import FIELD_SEP, content_id, doc_id, n_words, quoted, strip
 from . import cache, community, extract, merge, metrics, tables
 from ..scratch import materialize
 
@@ -105,14 +105,22 @@ def in_batches(rows: DataFrame, size: int, key: str = "id") -> DataFrame:
     return rows.withColumn("batch", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
 
 
-def report_levels(clusters: DataFrame, nodes: DataFrame, edges: DataFrame, write: Callable[[DataFrame], DataFrame], budget: int) -> DataFrame:
+def report_levels(clusters: DataFrame, nodes: DataFrame, edges: DataFrame, write: Callable[[DataFrame], DataFrame], budget: int, occurrence: DataFrame | None = None, count: Callable[[Column], Column] = n_words, force: bool = False) -> DataFrame:
     """(level, cluster, report) for all communities, deepest level first: `write` gets one level's description rows and returns its reports.
 
-    Levels depend on each other, so the loop over them is the driver's; each level's communities are written side by side.
+    With `occurrence` (level, cluster, occurrence), a community that doesn't fit the budget is described by the reports of its sub-communities, which
+    the deeper levels have left, as far as they go; `count` gives a report's tokens. Levels depend on each other, so the
+    loop over them is the driver's; each level's communities are written side by side.
     """
     out = None
+    subs = None if occurrence is None else materialize(community.sub_clusters(clusters, any_deeper=True))
     for level in sorted((r["level"] for r in clusters.select("level").distinct().collect()), reverse=True):
-        rows = community.describe(clusters.where(F.col("level") == level), nodes, edges, budget)
+        at = F.col("level") == level
+        if out is None or subs is None:
+            rows = community.describe(clusters.where(at), nodes, edges, budget)
+        else:
+            known = out.join(occurrence, ["level", "cluster"]).withColumn("tokens", count(F.col("report")))
+            rows = community.describe_with_subs(clusters.where(F.col("level") >= level), nodes, edges, subs.where(at), known, budget, force, [level])
         made = materialize(write(rows))
         out = made if out is None else out.unionByName(made)
     return out

@@ -583,6 +583,23 @@ def community_describe(spark, d):
     return community.describe(c, n, e.select("src_id", "tgt_id", "rank", "tokens", "description"), 100).select("level", "cluster", "kind", "ord", "name", "rank")
 
 
+@_query(f"""WITH {EDGES}, {CL}, k AS (SELECT cluster, count(*) AS n FROM cl WHERE level = 1 GROUP BY 1), sb AS (SELECT DISTINCT a.cluster, b.cluster AS sub, n FROM cl a JOIN cl b ON a.entity_name = b.entity_name AND a.level = 0 AND b.level = 1 JOIN k ON k.cluster = b.cluster),
+kept AS (SELECT cluster, sub, n FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, sub) AS r FROM sb) WHERE r = 1), covers AS (SELECT kept.cluster, entity_name FROM kept JOIN cl ON cl.level = 1 AND cl.cluster = kept.sub),
+ln AS (SELECT cluster, 'node' AS kind, entity_name AS name, entity_name AS a, entity_name AS b, degree AS rank, 3 AS tokens FROM cl JOIN deg ON node = entity_name WHERE level = 0 UNION ALL
+SELECT DISTINCT cluster, 'edge', least(x.node, neighbour) || ' -> ' || greatest(x.node, neighbour), least(x.node, neighbour), greatest(x.node, neighbour), s.degree + t.degree, 5 FROM both_ways x JOIN cl ON x.node = entity_name AND level = 0 JOIN deg s ON s.node = x.node JOIN deg t ON t.node = neighbour),
+f AS (SELECT ln.*, EXISTS (SELECT 1 FROM covers c WHERE c.cluster = ln.cluster AND (c.entity_name = a OR c.entity_name = b)) AS covered FROM ln),
+r AS (SELECT *, sum(tokens) OVER w AS s, row_number() OVER w - 1 AS ord FROM f WINDOW w AS (PARTITION BY cluster, kind ORDER BY covered, rank DESC, name))
+SELECT 0 AS level, cluster, kind, ord, name, rank::DOUBLE AS rank FROM r WHERE s <= 20 UNION ALL SELECT 0, cluster, 'report', 0, sub, n::DOUBLE FROM kept""")
+def community_describe_subs(spark, d):
+    """Communities that don't fit: the report of the largest sub-community that fits, then what it doesn't cover."""
+    e = graph.edge_degrees(edges(spark, d)).withColumn("tokens", F.lit(5))
+    n = graph.degrees(e).select(F.col("node").alias("entity_name"), "degree", F.lit(3).alias("tokens"), F.lit("").alias("description"))
+    c = given_clusters(spark, d)
+    r = c.where("level = 1").groupBy("level", "cluster").agg(F.count("*").cast("double").alias("occurrence")).select("*", F.lit(60).cast("long").alias("tokens"), F.lit("r").alias("report"))
+    rows = community.describe_with_subs(c, n, e.select("src_id", "tgt_id", "rank", "tokens", "description"), community.sub_clusters(c), r, 100, levels=[0])
+    return rows.select("level", "cluster", "kind", "ord", "name", "rank")
+
+
 @_query()
 def propagated_communities(spark, d):
     v, e = places(spark, d)

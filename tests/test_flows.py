@@ -65,3 +65,26 @@ def test_evaluation(spark):
 def test_points(spark):
     p = spark.createDataFrame([("a", 5, 3), ("b", 9, 3), ("c", 0, 1), ("d", 1, 9)], "answer string, score int, tokens int")
     assert {r.answer for r in flows.map_reduce_points(p, 6).collect()} == {"a", "b"}
+
+
+def test_reports_stand_in_for_what_does_not_fit(spark):
+    """A community of four nodes of which three fit: its sub-community's report comes first, then what it leaves out."""
+    seen = {}
+
+    def write(rows):
+        for r in rows.orderBy("kind", "ord").collect():
+            seen.setdefault((r.level, r.cluster), []).append((r.kind, r.name))
+        return rows.groupBy("level", "cluster").agg(F.lit("two words").alias("report"))
+
+    c = spark.createDataFrame([(x, 0, "x") for x in "abcd"] + [(x, 1, "p") for x in "ab"] + [("e", 0, "y")], "entity_name string, level int, cluster string")
+    n = spark.createDataFrame([(x, "d", k, 3) for k, x in enumerate("edcba")], "entity_name string, description string, degree long, tokens int")
+    e = spark.createDataFrame([("a", "b", "d", 9, 1), ("b", "c", "d", 8, 1), ("c", "d", "d", 7, 1)], "src_id string, tgt_id string, description string, rank long, tokens int")
+    o = spark.createDataFrame([(1, "p", 1.0)], "level int, cluster string, occurrence double")
+    flows.report_levels(c, n, e, write, 22, o)
+    assert seen[0, "y"] == [("node", "e")]
+    assert seen[1, "p"] == [("edge", "a -> b"), ("edge", "b -> c"), ("node", "a"), ("node", "b")]
+    # 22 - 2 tokens of the report: 10 for nodes, three of them; those that the report doesn't cover first
+    assert seen[0, "x"] == [("edge", "c -> d"), ("edge", "a -> b"), ("edge", "b -> c"), ("node", "c"), ("node", "d"), ("node", "a"), ("report", "p")]
+    seen.clear()
+    flows.report_levels(c, n, e, write, 22)
+    assert seen[0, "x"][-3:] == [("node", "a"), ("node", "b"), ("node", "c")]
