@@ -122,6 +122,14 @@ def keywords(response: Column) -> Column:
     return F.struct(F.coalesce(parsed.high_level_keywords, none).alias("high"), F.coalesce(parsed.low_level_keywords, none).alias("low"))
 
 
+def flat_keywords(c: Column) -> Column:
+    """A JSON list of keywords as an array; lists in it are taken apart (null or no list: empty)."""
+    listed = "array<string>"
+    items = F.coalesce(F.from_json(c, listed), F.array().cast(listed))
+    inner = F.transform(items, lambda x: F.when(x.startswith("["), F.coalesce(F.from_json(x, listed), F.array(x))).otherwise(F.array(x)))
+    return F.filter(F.flatten(inner), lambda x: x.isNotNull())
+
+
 def first_json(c: Column) -> Column:
     """The first balanced {...} without its line breaks; null if there is none or if it isn't JSON. Folded in the JVM, a piece between braces at a time."""
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"), F.lit(False).alias("done"))

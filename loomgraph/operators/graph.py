@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,15 +64,15 @@ def labels(nodes: DataFrame) -> DataFrame:
     return nodes.select("entity_name").distinct().orderBy("entity_name")
 
 
-def within_hops(start: DataFrame, edges: DataFrame, hops: int, directed: bool = False) -> DataFrame:
-    """(node, depth) of all nodes within `hops` edges of the start nodes (entity_name), each with its least depth.
+def within_hops(start: DataFrame, edges: DataFrame, hops: int | None = None, directed: bool = False) -> DataFrame:
+    """(node, depth) of all nodes within `hops` edges (without: of all that can be reached) of the start nodes (entity_name), each with its least depth.
 
     Each round joins the frontier alone and drops what was seen, so cycles end; rounds are written to the shared folder.
     """
     step = (edges.select(F.col("src_id").alias("node"), F.col("tgt_id").alias("neighbour")) if directed else both_ways(edges.select("src_id", "tgt_id"))).distinct()
     seen = start.select(F.col("entity_name").alias("node"), F.lit(0).alias("depth")).distinct()
     frontier = seen.select("node")
-    for depth in range(1, hops + 1):
+    for depth in count(1) if hops is None else range(1, hops + 1):
         found = frontier.join(step, "node").select(F.col("neighbour").alias("node")).distinct()
         frontier = materialize(found.join(seen, "node", "left_anti"))
         if not frontier.limit(1).count():
@@ -159,6 +161,20 @@ def entity_info(names: DataFrame, nodes: DataFrame, vectors: DataFrame | None =
     return out if vectors is None else out.join(vectors, "entity_name", "left")
 
 
+def relation_info(pairs: DataFrame, edges: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """pairs (src_id, tgt_id), in either order, with the edge's attributes and, from vectors (src_id, tgt_id and more), its vector row; null where there is none."""
+    asked = canonical(pairs.select("src_id", "tgt_id")).distinct()
+    out = asked.join(canonical(edges), ["src_id", "tgt_id"], "left")
+    return out if vectors is None else out.join(canonical(vectors), ["src_id", "tgt_id"], "left")
+
+
+def delete_everywhere(names: DataFrame, nodes: DataFrame, edges: DataFrame, entity_vectors: DataFrame, relation_vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Graph and vector tables without the named entities (entity_name) and all relations that end in one. entity_vectors: entity_name and more; relation_vectors: src_id, tgt_id and more."""
+    n, e = delete_nodes(names, nodes, edges)
+    v, r = delete_nodes(names, entity_vectors, relation_vectors)
+    return n, e, v, r
+
+
 def indexed_clusters(nodes: DataFrame, ids: str = "community_ids") -> DataFrame:
     """clusters ARRAY<STRUCT<level, cluster>> from a list of cluster ids by level."""
     return nodes.withColumn("clusters", F.transform(ids, lambda c, i: F.struct(i.alias("level"), c.alias("cluster"))))

@@ -74,6 +74,13 @@ def merge_attributes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     return o.join(n, on, "full_outer").select(*map(pick, keys), *map(pick, cols))
 
 
+def upsert_edges(nodes_: DataFrame, edges_: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (src_id, tgt_id and more) with new ones, by pair in either order; ends that are no nodes yet become nodes with a name alone."""
+    merged = merge_attributes(undirected(edges_), undirected(new), ["src_id", "tgt_id"])
+    ends = new.select(F.explode(F.array("src_id", "tgt_id")).alias("entity_name")).distinct().join(nodes_.select("entity_name"), "entity_name", "left_anti")
+    return nodes_.unionByName(ends, allowMissingColumns=True), merged
+
+
 def custom_graph(chunks: DataFrame, entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Chunks, nodes and edges of a supplied graph: source names become chunk ids, names are quoted and upper-cased, gaps get defaults.
 

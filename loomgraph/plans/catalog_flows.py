@@ -108,6 +108,47 @@ def subgraph_edges(spark, d):
     return graph.subgraph(nodes(spark, d), edges(spark, d), "E1", 1)[1].select("src_id", "tgt_id", "weight")
 
 
+@_query(f"WITH RECURSIVE {EDGES}, w(node) AS (SELECT 'E1' UNION SELECT neighbour FROM w JOIN both_ways USING (node)) SELECT node FROM w")
+def reachable_nodes(spark, d):
+    """All that can be reached from one entity, without a bound on the way."""
+    return graph.within_hops(nodes(spark, d).where("entity_name = 'E1'").select("entity_name"), edges(spark, d)).select("node")
+
+
+UPSERTED = "nw AS (SELECT 'X' || (vec_id % 7) AS x, 'E' || vec_id AS e FROM embeddings)"
+
+
+@_query(f"""WITH {EDGES}, {UPSERTED} SELECT 'E' || vec_id AS entity_name, label::VARCHAR AS entity_type FROM embeddings UNION ALL SELECT DISTINCT x, NULL FROM nw""")
+def upsert_edge_endpoints(spark, d):
+    """The nodes after edges to entities that weren't there."""
+    n = nodes(spark, d).select("entity_name", "entity_type")
+    new = table(spark, d, "embeddings").select(F.concat(F.lit("X"), (F.col("vec_id") % 7).cast("string")).alias("src_id"), named(F.col("vec_id")).alias("tgt_id"), F.lit(1.0).alias("weight"))
+    return merge.upsert_edges(n, edges(spark, d).select("src_id", "tgt_id", "weight"), new)[0]
+
+
+@_query(f"""WITH {EDGES}, g AS (SELECT 'E' || vec_id AS entity_name FROM embeddings WHERE label = 1), l AS (SELECT src_id, tgt_id FROM edges WHERE src_id NOT IN (SELECT * FROM g) AND tgt_id NOT IN (SELECT * FROM g))
+SELECT 'node' AS store, 'E' || vec_id AS a, '' AS b FROM embeddings WHERE label <> 1 UNION ALL SELECT 'edge', src_id, tgt_id FROM l UNION ALL SELECT 'entity vector', 'E' || vec_id, '' FROM embeddings WHERE label <> 1 UNION ALL SELECT 'relation vector', src_id, tgt_id FROM l""")
+def delete_three_stores(spark, d):
+    """What graph and vector tables hold after entities have gone from all of them."""
+    n, e = nodes(spark, d), edges(spark, d)
+    gone = n.where("entity_type = '1'").select("entity_name")
+    left = graph.delete_everywhere(gone, n, e, n.select("entity_name", "vector"), e.select("src_id", "tgt_id"))
+    row = lambda t, store, a, b: t.select(F.lit(store).alias("store"), F.col(a).alias("a"), b.alias("b"))
+    out = row(left[0], "node", "entity_name", F.lit("")).unionByName(row(left[1], "edge", "src_id", F.col("tgt_id")))
+    return out.unionByName(row(left[2], "entity vector", "entity_name", F.lit(""))).unionByName(row(left[3], "relation vector", "src_id", F.col("tgt_id")))
+
+
+@_query(f"WITH {EDGES}, {PAIRS} SELECT src_id, tgt_id, weight, description FROM p LEFT JOIN edges USING (src_id, tgt_id)")
+def relation_info(spark, d):
+    return graph.relation_info(neighbours(spark, d), edges(spark, d).select("src_id", "tgt_id", "weight", "description")).select("src_id", "tgt_id", "weight", "description")
+
+
+@_query("SELECT event_id, event_type || ',' || json_extract_string(props, '$.k') || ',' || user_id AS keywords FROM events")
+def keyword_flatten(spark, d):
+    """Lists of keywords with lists in them."""
+    said = F.concat(F.lit('["'), "event_type", F.lit('", ["'), F.get_json_object("props", "$.k"), F.lit('", "'), F.col("user_id").cast("string"), F.lit('"]]'))
+    return table(spark, d, "events").select("event_id", F.array_join(X.flat_keywords(said), ",").alias("keywords"))
+
+
 # Extraction --------------------------------------------------------------------------------------------------------------------------
 
 EXTRACTED = f"""a AS (SELECT l_orderkey || '-' || l_linenumber AS source_id, '"P' || l_partkey || '"' AS p, '"S' || l_suppkey || '"' AS s, '"' || l_returnflag || '"' AS pt, '"' || l_linestatus || '"' AS st, '"part ' || l_partkey || '"' AS pd, '"supplier ' || l_suppkey || '"' AS sd, l_linenumber FROM lineitem),

@@ -145,3 +145,17 @@ def read_matches(spark: SparkSession, path: str, languages: tuple[str, str] | No
 def retrieved_rows(chosen: DataFrame) -> DataFrame:
     """(query, ord, id, content): what a run chose for each query, ready to be appended to a table of runs."""
     return chosen.select("query", "ord", "id", "content")
+
+
+def store_chosen(chosen: DataFrame, path: str) -> None:
+    """Keep the chunks (query, ord, id, content) that queries have chosen; those stored for the same queries before are replaced, others stay."""
+    rows = retrieved_rows(chosen).withColumn("part", F.md5("query"))
+    rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
+def read_chosen(spark: SparkSession, path: str, query: str | None = None) -> DataFrame:
+    """Stored chunks (query, ord, id, content) of one query, of which only its own folder is read, or of all."""
+    rows = spark.read.parquet(path)
+    if query is not None:
+        rows = rows.where((F.col("part") == F.md5(F.lit(query))) & (F.col("query") == query))
+    return rows.drop("part")

@@ -117,3 +117,13 @@ def test_failed_documents_are_finished_by_a_retry(spark, tmp_path):
     assert [r.status for r in latest_status(read("status")).collect()] == ["processed"] * 2
     assert sorted(r.answer for r in read("answers").collect()) == ["A B", "B C", "BAD E", "C", "D BAD", "E"]
     assert read("chunks").count() == 6 and retry_failed(spark, out, model, 2, 1) == 0
+
+
+def test_chosen_chunks_are_kept_by_query(spark, tmp_path):
+    path = str(tmp_path / "chosen")
+    rows = lambda *r: spark.createDataFrame(list(r), "query string, ord int, id string, content string")
+    files.store_chosen(rows(("who?", 0, "c1", "a"), ("who?", 1, "c2", "b"), ("where/é=?", 0, "c1", "a")), path)
+    files.store_chosen(rows(("who?", 0, "c3", "x")), path)
+    assert [tuple(r) for r in files.read_chosen(spark, path, "who?").collect()] == [("who?", 0, "c3", "x")]
+    assert {(r.query, r.id) for r in files.read_chosen(spark, path).collect()} == {("who?", "c3"), ("where/é=?", "c1")}
+    assert files.read_chosen(spark, path, "none").count() == 0
