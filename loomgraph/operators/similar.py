@@ -47,17 +47,19 @@ def _angles(rows: DataFrame, pivots: np.ndarray, by: list[str]) -> DataFrame:
     return rows.mapInPandas(run, schema)
 
 
-def best_above(source: DataFrame, target: DataFrame, threshold: float, by: list[str] | None = None, strict: bool = False, pivots: int = PIVOTS, rows: int = ROWS, compared: list[float] | None = None) -> DataFrame:
+def best_above(source: DataFrame, target: DataFrame, threshold: float, by: list[str] | None = None, strict: bool = False, pivots: int | None = None, rows: int = ROWS, compared: list[float] | None = None) -> DataFrame:
     """(by, src, tgt, score): each source vector's most similar target of its group at the threshold or above (strict: above it), ties to the smaller target.
 
     source, target: key, vector and the columns `by`; groups are equal in all of them, and a null one belongs to none. Equal vectors of a
     group are compared once. `compared` gets the share of all pairs of different vectors that the bound left to be compared. The
-    pivots are the targets with the smallest hashes; any choice gives the same result. No task holds more than about `rows` rows of a side.
+    pivots are the targets with the smallest hashes, one for each `rows` of them up to PIVOTS, so that sources that no bound keeps from any cell aren't copied more
+    often than there are blocks of targets; any choice gives the same result. No task holds more than about `rows` rows of a side.
     """
     by = by or []
     known = lambda t: t.dropna(subset=by) if by else t
     s = materialize(_classes(known(source.select(*by, "key", "vector")), by))
-    t = _classes(known(target.select(*by, "key", "vector")), by)
+    t = materialize(_classes(known(target.select(*by, "key", "vector")), by))
+    pivots = pivots or max(1, min(PIVOTS, t.count() // rows))
     first = [r["vector"] for r in t.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(pivots).collect()]
     kinds = source.schema["key"].dataType.simpleString(), target.schema["key"].dataType.simpleString()
     groups = "".join(f"{c} {target.schema[c].dataType.simpleString()}, " for c in by)
