@@ -10,12 +10,12 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators import cache, community, extract, flows, graph, merge, metrics, retrieve, tables, vectors
-from ..scratch import materialize, scratch
+from ..scratch import scratch
 from ..sources import files
 from ..streaming import graph as stream_graph
 from ..streaming.ingest import scan_stream, sessions, windowed_counts
-from .catalog_graph import CL, COS, EDGES, GLOBAL, ENDS, NAIVE, REC, _naive, best, chunks, edges, given_clusters, global_kept, mentions, nodes, predictions, records, sharing
-from .catalog_text import ANSWER_SQL, answers, table
+from .catalog_graph import CL, COS, EDGES, GLOBAL, ENDS, NAIVE, REC, _naive, best, edges, given_clusters, global_kept, nodes, predictions, records, sharing
+from .catalog_text import answers, table
 from .engine import Engine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
