@@ -52,10 +52,11 @@ def args_hash(*args: Column, cache_type: str | None = None) -> Column:
 
 
 def clean(c: Column) -> Column:
-    """Stripped, the five basic HTML entities resolved, control characters dropped."""
+    """Stripped, the basic HTML entities resolved (in capitals too, as names are upper-cased first), control characters dropped."""
     plain = out = strip(c)
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&LT;", "<"), ("&GT;", ">"), ("&QUOT;", '"'), ("&#X27;", "'"), ("&nbsp;", " ")):
         out = F.replace(out, F.lit(name), F.lit(char))
+    out = F.regexp_replace(out, "&(amp|AMP);", "&")
     return F.regexp_replace(F.when(plain.contains("&"), out).otherwise(plain), r"[\x00-\x1f\x7f-\x9f]", "")
 
 

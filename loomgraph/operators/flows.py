@@ -72,7 +72,12 @@ def extract_into(answers: DataFrame, nodes: DataFrame, edges: DataFrame, tokens:
     added; endpoints that neither side describes become nodes. With `summarise`, descriptions of `least` tokens or more go through it.
     """
     recs = extract.records(answers)
-    found, links = extract.entities(recs), extract.undirected(extract.relations(recs))
+    return merge_into(extract.entities(recs), extract.relations(recs), nodes, edges, tokens, summarise, least)
+
+
+def merge_into(found: DataFrame, links: DataFrame, nodes: DataFrame, edges: DataFrame, tokens: Column | None = None, summarise: Column | None = None, least: int = 500) -> tuple[DataFrame, DataFrame]:
+    """The graph with entity and relation records merged into it, by the rules of `extract_into`."""
+    links = extract.undirected(links)
     votes = found.select("entity_name", "entity_type", F.lit(0).alias("stored"), "source_id", "ord")
     votes = votes.unionByName(nodes.select("entity_name", "entity_type", F.lit(1).alias("stored"), F.lit("").alias("source_id"), F.lit(0).cast("long").alias("ord")))
     kind = merge.mode_first_seen(votes, "entity_name", "entity_type", ["stored", "source_id", "ord"])

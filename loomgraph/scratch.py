@@ -36,6 +36,15 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at a path; no rows where nothing is stored yet."""
+    context = spark.sparkContext
+    p = context._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(context._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete materialized tables that no later plan reads; other DataFrames are left alone."""
     for df in tables:
