@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..operators import cache, community, extract, flows, graph, merge, metrics, retrieve, tables, vectors
+from ..operators import cache, community, extract, flows, graph, merge, metrics, parallel, retrieve, tables, typed, vectors
 from ..scratch import scratch
 from ..sources import files
 from ..streaming import graph as stream_graph
 from ..streaming.ingest import scan_stream, sessions, windowed_counts
 from .catalog_graph import CL, COS, EDGES, GLOBAL, ENDS, NAIVE, REC, _naive, best, edges, given_clusters, global_kept, nodes, predictions, records, sharing
-from .catalog_text import answers, table
+from .catalog_text import WORDS, answers, table
 from .engine import Engine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -419,3 +419,138 @@ def event_windows_sliding(spark, d):
 SELECT min(ts) AS session_start, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def event_sessions(spark, d):
     return sessions(table(spark, d, "events"), "10 minutes", "6 hours")
+
+
+# Typed extraction --------------------------------------------------------------------------------------------------------------------
+
+LINES = "array<struct<q:int,p:long,s:long>>"
+
+
+def _order_chunks(spark, d) -> DataFrame:
+    """A chunk for each order: its lines in order as JSON."""
+    line = F.struct(F.col("l_linenumber").cast("int").alias("q"), F.col("l_partkey").cast("long").alias("p"), F.col("l_suppkey").cast("long").alias("s"))
+    t = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.array_sort(F.collect_list(line))).alias("content"))
+    return t.select(F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("id"), "content")
+
+
+def _typed_model() -> typed.Model:
+    """A stand-in: it finds the first line of an order, and all of them once it is told that some are missing.
+
+    By the first line's part it answers without JSON at first (every 7th), out of range for ever (every 11th), or doesn't refine (every 5th).
+    """
+    lines = lambda content: F.from_json(content, LINES)
+    part = lambda content: F.get_json_object(content, "$[0].p").cast("long")
+
+    def listed(of, weight=None):
+        score = lambda x: F.lit(weight) if weight else x["q"] / F.lit(10.0)
+        name = lambda head, c: F.concat(F.lit(head), c.cast("string"))
+        e = F.transform(of, lambda x: F.struct(name("p", x["p"]).alias("entity_name"), F.lit("part").alias("entity_type"), name("part ", x["p"]).alias("description"), score(x).alias("importance_score")))
+        r = F.transform(of, lambda x: F.struct(name("p", x["p"]).alias("src_id"), name("s", x["s"]).alias("tgt_id"), F.lit("supplied").alias("description"), score(x).alias("weight"), F.least(x["q"], F.lit(3)).alias("order")))
+        return F.concat(F.lit("Found:\n"), F.to_json(F.struct(e.alias("entities"), r.alias("relationships"))))
+
+    first = lambda c: F.slice(lines(c), 1, 1)
+    said = lambda c, attempt: F.when(part(c) % 11 == 0, listed(first(c), 2.0)).when((part(c) % 7 == 0) & (attempt == 0), "nothing {").otherwise(listed(first(c)))
+    missing = lambda c, current, attempt: F.concat(F.lit("missing "), (F.size(lines(c)) - F.size(F.from_json(current, typed.FOUND)["entities"])).cast("string"))
+    refined = lambda c, current, critique, attempt: F.when(part(c) % 5 == 0, "I can't").when(critique == "missing 0", F.concat(F.lit("As before: "), current)).otherwise(listed(lines(c)))
+    return typed.Model(said, missing, refined)
+
+
+def _typed_found(spark, d) -> DataFrame:
+    return typed.extracted(_order_chunks(spark, d), _typed_model(), scratch(spark), turns=1, retries=1)
+
+
+TYPED = """f AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r,
+first_value(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS p0 FROM lineitem), t AS (SELECT * FROM f WHERE p0 % 5 <> 0 OR (p0 % 11 <> 0 AND r = 1))"""
+
+
+@_query(f"""WITH {TYPED} SELECT 'P' || l_partkey AS entity_name, 'PART' AS entity_type, 'part ' || l_partkey AS description, md5(string_agg(DISTINCT 'O' || l_orderkey, '<SEP>' ORDER BY 'O' || l_orderkey)) AS sources FROM t GROUP BY l_partkey
+UNION ALL SELECT DISTINCT 'S' || l_suppkey, '"UNKNOWN"', 'supplied', '' FROM t""")
+def typed_refined_nodes(spark, d):
+    nodes_, _ = typed.graph_of(_typed_found(spark, d))
+    return nodes_.select("entity_name", "entity_type", "description", F.when(F.col("entity_type") == "PART", F.md5("source_id")).otherwise("").alias("sources"))
+
+
+@_query(f"""WITH {TYPED} SELECT 'P' || l_partkey AS src_id, 'S' || l_suppkey AS tgt_id, round(sum(l_linenumber / 10.0), 6) AS weight, CAST(min(least(l_linenumber, 3)) AS INTEGER) AS "order", 'supplied' AS description,
+md5(string_agg(DISTINCT 'O' || l_orderkey, '<SEP>' ORDER BY 'O' || l_orderkey)) AS sources FROM t GROUP BY l_partkey, l_suppkey""")
+def typed_refined_edges(spark, d):
+    _, edges_ = typed.graph_of(_typed_found(spark, d))
+    return edges_.select("src_id", "tgt_id", F.round("weight", 6).alias("weight"), "order", "description", F.md5("source_id").alias("sources"))
+
+
+@_query(f"WITH {TYPED} SELECT CAST(count(*) AS BIGINT) AS n_entities, string_agg('p' || l_partkey || '-s' || l_suppkey, ',' ORDER BY r) AS pairs FROM t GROUP BY l_orderkey")
+def training_dump(spark, d):
+    """Examples written as lines of JSON and read again: those of chunks with an entity and a relation."""
+    path = scratch(spark)
+    typed.write_examples(_order_chunks(spark, d), _typed_found(spark, d), path)
+    back = spark.read.schema(f"content string, entities array<{typed.ENTITY}>, relationships array<{typed.RELATIONSHIP}>").json(path)
+    return back.select(F.size("entities").cast("long").alias("n_entities"), F.array_join(F.transform("relationships", lambda x: F.concat(x["src_id"], F.lit("-"), x["tgt_id"])), ",").alias("pairs"))
+
+
+# Documents in two languages ----------------------------------------------------------------------------------------------------------
+
+
+def _parallel_model() -> parallel.Model:
+    """A stand-in: a chunk's first and last word are its entities and a relation; a translation's names end in -x, and of lists of three or more the last is overlooked."""
+
+    def answers_(chunks_):
+        w = X.words(F.col("content"))
+        name = lambda x: F.concat(F.lit("w"), F.regexp_replace(x, "[^A-Za-z0-9]", ""))
+        a, b = name(F.get(w, F.lit(0))), name(F.element_at(w, -1))
+        part = lambda kind, *fields: F.concat(F.lit(f'("{kind}"<|>"'), fields[0], *(x for f in fields[1:] for x in (F.lit('"<|>"'), f)))
+        e = lambda x, as_: F.concat(part("entity", x, F.lit("term"), F.lit(as_)), F.lit('")'))
+        r = F.concat(part("relationship", a, b, F.lit("span"), F.lit("k")), F.lit('"<|>2)'))
+        return chunks_.select(F.col("id").alias("chunk_id"), F.concat_ws("##", e(a, "first"), e(b, "last"), r).alias("answer"))
+
+    def matched(listing, text):
+        each = F.transform(F.split(listing, "\n"), lambda x: F.regexp_replace(x, r"^(\d+)\. (.*) \(Type: (.*)\): (.*)$", "$1. Entity: $2-x | Type: $3 | Description: $4"))
+        return F.array_join(F.slice(each, F.lit(1), F.when(F.size(each) > 2, F.size(each) - 1).otherwise(F.size(each))), "\n")
+
+    def related(listing, found, text):
+        return F.array_join(F.transform(F.split(listing, "\n"), lambda x: F.regexp_replace(x, r"^(\d+)\. (.*) → (.*): (.*)$", "$1. $2-x → $3-x | Description: $4 | Keywords: k")), "\n")
+
+    return parallel.Model(lambda t: F.concat(F.lit("T "), t), answers_, matched, related)
+
+
+def _parallel(spark, d) -> parallel.Inserted:
+    """All documents, two thirds of them with a translation, inserted into an empty graph."""
+    pairs = table(spark, d, "documents").select(F.col("text").alias("original"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("T "), X.strip(F.col("text")))).alias("translated"))
+    n = spark.createDataFrame([], "entity_name string, entity_type string, description string, source_id string")
+    e = spark.createDataFrame([], "src_id string, tgt_id string, weight double, description string, keywords string, source_id string")
+    return parallel.insert(pairs, _parallel_model(), n, e, ["term"], ("Old", "New"), 200, 20)
+
+
+PARALLEL = rf"""d AS (SELECT DISTINCT regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL), w AS (SELECT 'doc-' || md5(t) AS doc, {WORDS.format('t')} AS w FROM d),
+c AS (SELECT doc, s // 180 AS i, w[s + 1 : s + 200] AS c, 'chunk-' || md5(array_to_string(list_concat(['T'], w[1 : 199]), ' ')) AS other FROM (SELECT doc, w, unnest(range(0, len(w), 180)) AS s FROM w)),
+k AS (SELECT doc, i, other, 'chunk-' || md5(array_to_string(c, ' ')) AS id, 'W' || upper(regexp_replace(c[1], '[^A-Za-z0-9]', '', 'g')) AS a, 'W' || upper(regexp_replace(c[len(c)], '[^A-Za-z0-9]', '', 'g')) AS b FROM c),
+m AS (SELECT doc, i, other, id, a AS name, '"first"' AS said FROM k UNION ALL SELECT doc, i, other, id, b, '"last"' FROM k),
+n AS (SELECT name, string_agg(DISTINCT said, '<SEP>' ORDER BY said) AS description, string_agg(DISTINCT id, '<SEP>' ORDER BY id) AS sources FROM m GROUP BY name),
+o AS (SELECT doc, other, name, row_number() OVER (PARTITION BY doc ORDER BY min(i), name) - 1 AS ord, count(*) OVER (PARTITION BY doc) AS n, lag(name) OVER (PARTITION BY doc ORDER BY min(i), name) AS b FROM m GROUP BY doc, other, name),
+p AS (SELECT *, CASE WHEN n > 2 AND ord = n - 1 THEN b ELSE name END AS base, CASE WHEN n > 2 AND ord = n - 1 THEN b || '-X (COPY)' ELSE name || '-X' END AS found FROM o),
+e AS (SELECT least(a, b) AS a, greatest(a, b) AS b, 2.0 * count(DISTINCT id) AS weight, string_agg(DISTINCT id, '<SEP>' ORDER BY id) AS sources FROM k GROUP BY 1, 2),
+r AS (SELECT DISTINCT doc, other, least(a, b) AS a, greatest(a, b) AS b FROM k)"""
+
+
+@_query(f"WITH {PARALLEL} SELECT doc, CAST(ord AS BIGINT) AS ord, name AS original, base || CASE WHEN name <> base THEN '-x (Copy)' ELSE '-x' END AS translated FROM p")
+def parallel_documents(spark, d):
+    """Entities of each document and of its translation, by position."""
+    return _parallel(spark, d).entity_pairs.select("doc", "ord", F.col("original.name").alias("original"), F.col("translated.name").alias("translated"))
+
+
+@_query(f"""WITH {PARALLEL}, x AS (SELECT least('"' || a || '-X"', '"' || b || '-X"') AS a, greatest('"' || a || '-X"', '"' || b || '-X"') AS b, string_agg(DISTINCT other, '<SEP>' ORDER BY other) AS sources FROM r GROUP BY 1, 2),
+h AS (SELECT '"' || found || '"' AS name, any_value(description) AS description, string_agg(DISTINCT other, '<SEP>' ORDER BY other) AS sources FROM p JOIN n ON n.name = p.base GROUP BY found),
+l AS (SELECT name, min({{'a': a, 'b': b, 's': sources}}) AS e FROM (SELECT unnest([a, b]) AS name, a, b, sources FROM x) ANTI JOIN h USING (name) GROUP BY name)
+SELECT '"' || name || '"' AS entity_name, '"TERM"' AS entity_type, description, md5(sources) AS sources FROM n UNION ALL SELECT name, '"TERM"', description, md5(sources) FROM h UNION ALL SELECT name, '"UNKNOWN"', '"span"', md5(e.s) FROM l""")
+def parallel_nodes(spark, d):
+    """Nodes of both languages; an entity that a translation's list overlooks, but a relation names, has no type."""
+    return _parallel(spark, d).nodes.select("entity_name", "entity_type", "description", F.md5("source_id").alias("sources"))
+
+
+@_query(f"""WITH {PARALLEL} SELECT '"' || a || '"' AS src_id, '"' || b || '"' AS tgt_id, CAST(weight AS DOUBLE) AS weight, '"span"' AS description, md5(sources) AS sources FROM e
+UNION ALL SELECT least('"' || a || '-X"', '"' || b || '-X"'), greatest('"' || a || '-X"', '"' || b || '-X"'), CAST(count(*) AS DOUBLE), '"span"', md5(string_agg(DISTINCT other, '<SEP>' ORDER BY other)) FROM r GROUP BY a, b""")
+def parallel_edges(spark, d):
+    return _parallel(spark, d).edges.select("src_id", "tgt_id", "weight", "description", F.md5("source_id").alias("sources"))
+
+
+@_query(f"""WITH {PARALLEL} SELECT DISTINCT '"' || name || '"' AS src_id, '"' || found || '"' AS tgt_id, 'Old|New' AS languages FROM p""")
+def parallel_links(spark, d):
+    return _parallel(spark, d).links.select("src_id", "tgt_id", F.concat_ws("|", "original_language", "translated_language").alias("languages"))
