@@ -69,14 +69,19 @@ def _of_documents(rows: DataFrame, keys: list[str], chunks: DataFrame, record: C
     return each.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("_s")), lambda x: x["_r"]).cast(kind).alias(name))
 
 
-def _settle(docs: DataFrame, original: str, answer: Column, parse: Callable[[Column], Column], kind: str, more, listing, field: str, name: str) -> DataFrame:
-    """docs with `name`: the parsed answers, repaired to as many records as the original list has. Each answer is stored before it is read."""
+def _settle(docs: DataFrame, original: str, answer: Column, parse: Callable[[Column], Column], kind: str, more, listing, field: str, name: str, last: bool) -> DataFrame:
+    """docs with `name`: the parsed answers, repaired to as many records as the original list has. Each answer is stored before it is read.
+
+    After the last question the translation isn't stored with the answers.
+    """
     n = F.size(original)
     none = F.array().cast(kind)
-    found = materialize(docs.withColumn("_answer", F.when(n > 0, answer))).withColumn(name, F.coalesce(parse(F.col("_answer")).cast(kind), none)).drop("_answer")
+    done = lambda t: t.drop("translated") if last else t
+    said = docs.withColumn("_answer", F.when(n > 0, answer))
+    found = materialize(done(said) if more is None else said).withColumn(name, F.coalesce(parse(F.col("_answer")).cast(kind), none)).drop("_answer")
     if more is not None:
         extra = more(listing(F.col(original)), listing(F.col(name)), F.col("translated"))
-        asked = materialize(found.withColumn("_extra", F.when(F.size(name) != n, extra)))
+        asked = materialize(done(found.withColumn("_extra", F.when(F.size(name) != n, extra))))
         said = F.coalesce(parse(F.col("_extra")).cast(kind), none)
         found = asked.withColumn(name, F.when(F.size(name) < n, F.concat(F.col(name), said)).when(F.size(name) > n, said).otherwise(F.col(name))).drop("_extra")
     return found.withColumn(name, fitted(F.col(name), n, field))
@@ -104,11 +109,13 @@ def insert(
     docs = materialize(docs.withColumn("translated", translated).withColumn("translated_id", doc_id(F.col("translated"))))
 
     side = lambda i, text, language: docs.select(F.col(i).alias("full_doc_id"), F.lit(language).alias("language"), F.col(text).alias("text"))
-    texts = side("id", "original", source).unionByName(side("translated_id", "translated", target)).dropDuplicates(["full_doc_id", "language"])
-    cut = materialize(chunk.by_tokens(texts, "text", size, overlap).withColumn("id", content_id(F.col("content"), "chunk-")))
+    texts = side("id", "original", source).unionByName(side("translated_id", "translated", target))
+    # Whole chunks are cut again where they are read; only their ids and places are stored.
+    whole = chunk.by_tokens(texts, "text", size, overlap).withColumn("id", content_id(F.col("content"), "chunk-"))
+    cut = materialize(whole.drop("content"))
     own, other = cut.where(F.col("language") == source), cut.where(F.col("language") == target)
 
-    answers = materialize(model.extract(own.select("id", "content").dropDuplicates(["id"])))
+    answers = materialize(model.extract(whole.where(F.col("language") == source).select("id", "content").dropDuplicates(["id"])))
     nodes, edges = (materialize(t) for t in flows.extract_into(answers, nodes, edges))
     bare = lambda c: F.btrim(F.col(c), F.lit('"'))
     entity = F.struct(bare("entity_name").alias("name"), bare("entity_type").alias("type"), F.coalesce("description", F.lit("")).alias("description"))
@@ -116,15 +123,16 @@ def insert(
     mine = _of_documents(nodes, ["entity_name"], own, entity, "entities", ENTITIES)
     joins = _of_documents(edges, ["src_id", "tgt_id"], own, relation, "relations", RELATIONS)
     first = other.where("chunk_order_index = 0").select(F.col("full_doc_id").alias("translated_id"), F.col("id").alias("first_chunk")).distinct()
-    lists = docs.join(first, "translated_id").join(mine, "id", "left").join(joins, "id", "left")
+    lists = docs.select("id", "translated_id").join(first, "translated_id").drop("translated_id").join(mine, "id", "left").join(joins, "id", "left")
     lists = lists.withColumns({"entities": F.coalesce("entities", F.array().cast(ENTITIES)), "relations": F.coalesce("relations", F.array().cast(RELATIONS))})
+    lists = lists.join(docs.select("id", "translated"), "id")
 
     usual = F.array(*(F.lit(t.lower()) for t in types)).cast("array<string>")
     matched = lambda a: F.transform(extract.matched_entities(a), lambda x: x.withField("type", F.when(F.array_contains(usual, F.lower(x["type"])), x["type"]).otherwise(F.lit("UNKNOWN"))))
     asked = model.entities(entity_listing(F.col("entities")), F.col("translated"))
-    lists = _settle(lists, "entities", asked, matched, ENTITIES, model.more_entities, entity_listing, "name", "found_entities")
+    lists = _settle(lists, "entities", asked, matched, ENTITIES, model.more_entities, entity_listing, "name", "found_entities", False)
     asked = model.relations(relation_listing(F.col("relations")), entity_listing(F.col("found_entities")), F.col("translated"))
-    lists = materialize(_settle(lists, "relations", asked, extract.matched_relations, RELATIONS, model.more_relations, relation_listing, "description", "found_relations"))
+    lists = _settle(lists, "relations", asked, extract.matched_relations, RELATIONS, model.more_relations, relation_listing, "description", "found_relations", True)
 
     def paired(original: str, found: str) -> DataFrame:
         n = F.least(F.size(original), F.size(found))
@@ -143,8 +151,8 @@ def insert(
             "source_id": F.lit("cross_lingual"), "original_language": F.lit(source), "translated_language": F.lit(target),
         }
     )
-    counts = cut.groupBy("full_doc_id", "language").agg(F.count("*").alias("chunks_count"))
+    counts = cut.groupBy("full_doc_id", "language").agg(F.count_distinct("chunk_order_index").alias("chunks_count"))
     state = lambda i, text, language: docs.select(F.col(i).alias("id"), F.col("id").alias("original_id"), F.lit(language).alias("language"), F.col(text).alias("content"), summary(F.col(text)).alias("content_summary"), F.length(text).alias("content_length"), F.when(F.lit(language == source) | (F.size(F.split("translated", r"\S", 2)) > 1), "processed").otherwise("failed").alias("status"))
-    documents = state("id", "original", source).unionByName(state("translated_id", "translated", target))
+    documents = state("id", "original", source).unionByName(state("translated_id", "translated", target).dropDuplicates(["id"]))
     documents = documents.join(counts.withColumnRenamed("full_doc_id", "id"), ["id", "language"], "left").withColumn("chunks_count", F.coalesce("chunks_count", F.lit(0)).cast("long"))
-    return Inserted(documents, chunk.with_ids(cut, "full_doc_id"), nodes, edges, links, e.drop("first_chunk"), r.drop("first_chunk"))
+    return Inserted(documents, chunk.with_ids(whole, "full_doc_id"), nodes, edges, links, e.drop("first_chunk"), r.drop("first_chunk"))
