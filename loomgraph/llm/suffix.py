@@ -16,7 +16,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, extended, materialize
@@ -207,15 +207,31 @@ def _identity(text: Column) -> list[Column]:
     return [F.xxhash64(t).alias("th"), F.octet_length(t).cast("long").alias("len")]
 
 
-def _hot(rows: DataFrame, length: int, group: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows (h, hh, lo, ctx) with a key `g` whose groups are bounded, and (g, h, hh, lo, ctx, left, right) of what splitting has shown.
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(..., x0, x1, y0, y1): the other columns, and the lengths of the two common prefixes in place of the four."""
+    for b in batches:
+        names = b.schema.names[:-4]
+        x0, x1, y0, y1 = (c.to_pylist() for c in b.columns[-4:])
+        both = [[0 if a is None or z is None else _common(a, z) for a, z in zip(*p, strict=True)] for p in ((x0, x1), (y0, y1))]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-4], *(pa.array(v, pa.int32()) for v in both)], [*names, "x", "y"])
 
-    A group whose members share the bytes from -a to b around the anchor is split into those that share half of what is missing
-    to `length` bytes more on the left, and on the right: a repeat's occurrences stay together in one of the two. When nothing is
-    missing, all of a group's members repeat these bytes.
+
+def _backwards(c: Column) -> Column:
+    """The half bytes in reverse order: bytes that end alike begin alike, two for each byte."""
+    return F.reverse(F.hex(c)).cast("binary")
+
+
+def _hot(rows: DataFrame, length: int, group: int, deep: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (h, hh, lo, ctx) with a key `g` whose groups are bounded, and (g, h, hh, lo, ctx, left, right) of groups that repeat as a whole.
+
+    All members of a large group share some bytes: from -a to b around the anchor, the first and the last in order of both sides tell
+    how far. If these are `length` or more, they are a maximal repeat of the whole group. If not, the group is split into those that
+    share half of what is missing more on the left, and on the right: a repeat's occurrences stay together in one of the two.
+    deep: groups that repeat as a whole are split as well, by the next byte on the left and on the right, for the repeats inside them.
     """
     k = F.lit(0)
     todo = rows.withColumns({"_a": k, "_b": F.lit(length // 2), "g": F.xxhash64("h")})
+    shared = F.xxhash64("h", "_a", "_b", F.substring(F.col("ctx"), F.col("lo") - F.col("_a") + 1, F.col("_a") + F.col("_b")))
     ready, known = None, None
     while True:
         sizes = materialize(todo.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > 1))
@@ -226,18 +242,47 @@ def _hot(rows: DataFrame, length: int, group: int) -> tuple[DataFrame, DataFrame
         large = todo.join(big, "g", "left_semi")
         done = todo.join(big, "g", "left_anti").join(sizes.select("g"), "g", "left_semi")
         ready = done if ready is None else ready.unionByName(done)
+        before = _backwards(F.substring(F.col("ctx"), F.lit(1), F.col("lo") - F.col("_a")))
+        after = F.substring(F.col("ctx"), F.col("lo") + F.col("_b") + 1, F.length("ctx"))
+        ends = large.select("g", before.alias("x"), after.alias("y")).groupBy("g").agg(*(f(c).alias(c + n) for c in "xy" for f, n in ((F.min, "0"), (F.max, "1"))))
+        wider = materialize(ends.mapInArrow(_pairs, "g long, x int, y int"))
+        large = large.join(wider, "g").withColumns({"_a": F.col("_a") + F.floor(F.col("x") / 2).cast("int"), "_b": F.col("_b") + F.col("y")})
+        # Two ways of splitting may lead to one group.
+        large = materialize(large.drop("x", "y").withColumn("g", shared).dropDuplicates(["g", "h", "hh"]))
         whole = large.where(F.col("_a") + F.col("_b") >= length).select("g", "h", "hh", "lo", "ctx", F.col("_a").alias("left"), F.col("_b").alias("right"))
         known = whole if known is None else known.unionByName(whole)
-        more = F.ceil((length - F.col("_a") - F.col("_b")) / 2).cast("int")
-        split = large.where(F.col("_a") + F.col("_b") < length).withColumn("_s", F.explode(F.array(F.struct((F.col("_a") + more).alias("a"), F.col("_b").alias("b")), F.struct(F.col("_a").alias("a"), (F.col("_b") + more).alias("b")))))
+        more = F.greatest(F.ceil((length - F.col("_a") - F.col("_b")) / 2).cast("int"), F.lit(1))
+        split = large if deep else large.where(F.col("_a") + F.col("_b") < length)
+        split = split.withColumn("_s", F.explode(F.array(F.struct((F.col("_a") + more).alias("a"), F.col("_b").alias("b")), F.struct(F.col("_a").alias("a"), (F.col("_b") + more).alias("b")))))
         split = split.withColumns({"_a": F.col("_s.a"), "_b": F.col("_s.b")}).drop("_s").where((F.col("_a") <= F.col("lo")) & (F.col("_b") <= F.length("ctx") - F.col("lo")))
-        key = F.xxhash64("h", "_a", "_b", F.substring(F.col("ctx"), F.col("lo") - F.col("_a") + 1, F.col("_a") + F.col("_b")))
-        todo = materialize(split.withColumn("g", key))
+        todo = materialize(split.withColumn("g", shared))
+
+
+def _nearest(known: DataFrame, side: Column) -> DataFrame:
+    """(g, h, hh, best): the most bytes at the beginning of `side` that a row of a group has in common with another row of it.
+
+    Rows with equal sides are one leaf. Leaves are sorted by ranges, so that a large group is spread over tasks, and the neighbours
+    of a leaf share most with it; those of a range's first and last leaf come from the ends of the ranges, a row each.
+    """
+    own = known.select("g", "h", "hh", side.alias("s"))
+    leaves = own.groupBy("g", "s").agg(F.count("*").alias("n"))
+    leaves = materialize(leaves.repartitionByRange("g", "s").withColumn("_range", F.spark_partition_id()))
+    leaf = F.struct("g", "s")
+    ends = leaves.groupBy("_range").agg(F.min(leaf).alias("first"), F.max(leaf).alias("last"))
+    ranges = Window.orderBy("_range")
+    ends = ends.select("_range", F.lag("last").over(ranges).alias("before"), F.lead("first").over(ranges).alias("after"))
+    inside = Window.partitionBy("_range").orderBy("g", "s")
+    near = leaves.join(ends, "_range").select("g", "s", "n", F.coalesce(F.lag(leaf).over(inside), "before").alias("a"), F.coalesce(F.lead(leaf).over(inside), "after").alias("z"))
+    sides = [F.when(F.col(f"{c}.g") == F.col("g"), F.col(f"{c}.s")) for c in "az"]
+    near = near.select("g", "s", "n", F.col("s").alias("x0"), sides[0].alias("x1"), F.col("s").alias("y0"), sides[1].alias("y1"))
+    best = F.when(F.col("n") > 1, F.length("s")).otherwise(F.greatest("x", "y"))
+    best = materialize(near.mapInArrow(_pairs, "g long, s binary, n long, x int, y int").select("g", "s", best.alias("best")))
+    return own.join(best, ["g", "s"]).select("g", "h", "hh", "best")
 
 
 class _Found(NamedTuple):
     """What the anchors have shown: all repeated ones (th, len, pos, right, h, hh), their classes of equal contexts (h, hh, n, one),
-    and the contexts to compare, in bounded groups (g, h, hh, lo, ctx), with what is known of groups that no split makes small."""
+    and the contexts to compare, in bounded groups (g, h, hh, lo, ctx), with the large groups that repeat as a whole, if any."""
 
     anchors: DataFrame
     classes: DataFrame
@@ -245,7 +290,7 @@ class _Found(NamedTuple):
     known: DataFrame | None
 
 
-def _anchored(docs: DataFrame, text: str, length: int, group: int, words: int | None) -> _Found:
+def _anchored(docs: DataFrame, text: str, length: int, group: int, words: int | None, deep: bool = False) -> _Found:
     k = length // 2
     encoded = (lambda texts: [word_ids(t) for t in texts]) if words else (lambda texts: texts)
     least = words if words else length
@@ -294,7 +339,7 @@ def _anchored(docs: DataFrame, text: str, length: int, group: int, words: int |
     contexts = d.join(per_text, ["th", "len"]).select("text", "want").mapInArrow(cut, "h long, hh long, lo int, ctx binary")
     contexts = materialize(contexts.groupBy("h", "hh").agg(F.first("lo").alias("lo"), F.first("ctx").alias("ctx")))
     discard(mixed, wanted, per_text)
-    return _Found(found, classes, *_hot(contexts, length, group))
+    return _Found(found, classes, *_hot(contexts, length, group, deep))
 
 
 def _compared(rows: DataFrame, compare: Callable[[list[tuple[int, int, int, bytes]]], pa.RecordBatch], schema: str) -> DataFrame:
@@ -331,7 +376,12 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400, group: int =
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["h", "hh", "left", "right"])
 
     reach = _compared(got.rows, compare, "h long, hh long, left int, right int")
-    reach = reach.unionByName(got.known.select("h", "hh", "left", "right")) if got.known is not None else reach
+    if got.known is not None:
+        # A window that goes beyond what such a group shares on one side is within it on the other, so the sides are independent.
+        left = _nearest(got.known, _backwards(F.substring(F.col("ctx"), F.lit(1), F.col("lo"))))
+        right = _nearest(got.known, F.substring(F.col("ctx"), F.col("lo") + 1, F.length("ctx")))
+        reach = reach.unionByName(left.select("h", "hh", F.floor(F.col("best") / 2).cast("int").alias("left"), F.lit(None).cast("int").alias("right")))
+        reach = reach.unionByName(right.select("h", "hh", F.lit(None).cast("int").alias("left"), F.col("best").alias("right")))
     reach = materialize(reach.groupBy("h", "hh").agg(F.max("left").alias("left"), F.max("right").alias("right")))
     alone = got.classes.where("n = 1").join(reach, ["h", "hh"]).select("one.*", "left", "right")
     leaf = F.least(F.col("pos"), F.lit(length // 2)).cast("int")
@@ -350,7 +400,7 @@ def repeat_groups(docs: DataFrame, text: str = "text", length: int = 400, group:
     overlapping repeats, one for each of its anchors. Null and short texts have none; an occurrence in a repeated row counts once, and
     what only whole copies of one text repeat is not listed; no rows: none.
     """
-    got = _anchored(docs.dropDuplicates([text]), text, length, group, None)
+    got = _anchored(docs.dropDuplicates([text]), text, length, group, None, deep=True)
     of = "repeat long, h long, hh long, left int, right int"
 
     def compare(members: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -362,22 +412,10 @@ def repeat_groups(docs: DataFrame, text: str = "text", length: int = 400, group:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], [f.split()[0] for f in of.split(", ")])
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            g, *ends = (c.to_pylist() for c in b.columns)
-            more = [(_common(a, z) // 2, _common(c, d)) for a, z, c, d in zip(*ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), *(pa.array([m[i] for m in more], pa.int32()) for i in (0, 1))], ["g", "_left", "_right"])
-
     found = _compared(got.rows, compare, of)
     if got.known is not None:
-        # All members of a group that stays large repeat `length` bytes, and what the first and the last in order share beyond them.
-        before = F.reverse(F.hex(F.substring(F.col("ctx"), F.lit(1), F.col("lo") - F.col("left")))).cast("binary")
-        after = F.substring(F.col("ctx"), F.col("lo") + F.col("right") + 1, F.length("ctx"))
-        rest = got.known.select("g", before.alias("b"), after.alias("a")).groupBy("g").agg(F.min("b").alias("b0"), F.max("b").alias("b1"), F.min("a").alias("a0"), F.max("a").alias("a1"))
-        wider = materialize(rest.mapInArrow(extend, "g long, _left int, _right int"))
-        whole = got.known.join(wider, "g").withColumns({"left": F.col("left") + F.col("_left"), "right": F.col("right") + F.col("_right")})
         piece = F.substring(F.col("ctx"), F.col("lo") - F.col("left") + 1, F.col("left") + F.col("right"))
-        found = found.unionByName(whole.select(F.xxhash64("left", piece).alias("repeat"), "h", "hh", "left", "right"))
+        found = found.unionByName(got.known.select(F.xxhash64("left", piece).alias("repeat"), "h", "hh", "left", "right"))
     found = materialize(found.distinct())
     leaf = got.classes.where("n > 1").select(F.xxhash64("h", "hh").alias("repeat"), "h", "hh", F.lit(None).cast("int").alias("left"), F.lit(None).cast("int").alias("_right"))
     every = found.withColumnRenamed("right", "_right").unionByName(leaf).join(got.anchors, ["h", "hh"])

@@ -118,6 +118,21 @@ def test_suffix_groups_by_pairs():
         assert len(set(got)) == len(got) and set(got) == want
 
 
+def test_suffix_rows_of_a_passage_that_many_share(spark):
+    r = random.Random(8)
+    some = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage, half = some(150), some(45)
+    texts = [some(r.randint(0, 90)) + passage + some(r.randint(0, 90)) for _ in range(500)]
+    texts += ["-" * r.randint(0, 40) + passage[:75] + some(70) for _ in range(100)] + [some(70) + half + some(70) for _ in range(300)] + ["tail " + texts[i][-100:] for i in range(9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffix._anchored(docs, "text", 60, 50, None)
+    assert got.known.count() > 500
+    assert got.rows.count() + got.known.count() < 3 * got.classes.count()
+    want = Counter(zip(range(len(texts)), removed([t.encode() for t in texts], 60), strict=True))
+    out = suffix.remove(docs, length=60, group=50)
+    assert Counter((x.doc_id, (x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest())) for x in out.collect()) == want
+
+
 @pytest.mark.parametrize("group", [2_000, 2])
 def test_suffix_repeat_groups_hold_all_occurrences(spark, docs, group):
     some = spark.createDataFrame([("x" * 70 + c + "y" * 70,) for c in "abcd"] + [("z" + "x" * 70 + "a",)], "text string")
