@@ -133,6 +133,20 @@ def test_suffix_rows_of_a_passage_that_many_share(spark):
     assert Counter((x.doc_id, (x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest())) for x in out.collect()) == want
 
 
+@pytest.mark.parametrize("part", [1, 5])
+def test_suffix_group_that_is_reached_on_two_ways(spark, part):
+    r = random.Random(12)
+    some = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    texts = []
+    for _ in range(12):
+        left, right = some(60), some(90)
+        own = [some(40) + left[-16:] + right[:46] + some(40) for _ in range(part - 1)]
+        texts += [left + right, *own, *(some(40) + left[-n:] + right[: 59 - n] + some(40) for n in (15, 14) for _ in range(6))]
+    want = dict(enumerate(removed([t.encode() for t in texts], 60)))
+    out = suffix.remove(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=60, group=4)
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest()) for x in out.collect()} == want
+
+
 @pytest.mark.parametrize("group", [2_000, 2])
 def test_suffix_repeat_groups_hold_all_occurrences(spark, docs, group):
     some = spark.createDataFrame([("x" * 70 + c + "y" * 70,) for c in "abcd"] + [("z" + "x" * 70 + "a",)], "text string")
