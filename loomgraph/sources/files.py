@@ -90,21 +90,47 @@ def read_keyed_lines(spark: SparkSession, path: str, value: T.StructType) -> Dat
     return spark.read.schema(T.StructType([T.StructField("id", T.StringType()), *value.fields])).json(path)
 
 
+#: A line of what write_graph writes: an element, or the document's head or foot.
+GRAPH_LINE = r'<(node id="[^"<]*"|edge source="[^"<]*" target="[^"<]*")>(<data key="d\d+">[^<]*</data>)*</(node|edge)>|<\?xml [^<]*<graphml [^<]*(<key [^<]*)*<graph [^<]*|</graph></graphml>|'
+
+
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a GraphML file: data keys d0.. in the order of GRAPH_KEYS, names without quotes, a missing weight is 0."""
+    """Nodes and edges of GraphML: data keys d0.. in the order of GRAPH_KEYS, names without quotes, a missing weight is 0.
+
+    A document of any layout is read as a whole by one task for each file. The parts that write_graph leaves are no documents each, but have an element on
+    each line: where all lines are such, they are read line by line, side by side.
+    """
     data = "array<struct<_key:string,_VALUE:string>>"
     value = lambda k: F.get(F.filter("data", lambda d: d["_key"] == k), F.lit(0))["_VALUE"]
     bare = lambda c: F.regexp_replace(c, '^"|"$', "")
-    nodes = spark.read.format("xml").option("rowTag", "node").schema(f"_id string, data {data}").load(path)
-    edges = spark.read.format("xml").option("rowTag", "edge").schema(f"_source string, _target string, data {data}").load(path)
+    lines = spark.read.text(path)
+    by_line = lines.where(~F.col("value").rlike(f"^(?:{GRAPH_LINE})$")).isEmpty()
+
+    def rows(tag: str, columns: str) -> DataFrame:
+        schema = f"{columns}, data {data}"
+        if not by_line:
+            return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+        return lines.where(F.col("value").startswith(f"<{tag} ")).select(F.from_xml("value", schema, {"rowTag": tag}).alias("x")).select("x.*")
+
+    nodes, edges = rows("node", "_id string"), rows("edge", "_source string, _target string")
     n = nodes.select(bare("_id").alias("entity_name"), *(bare(value(f"d{i}")).alias(c) for i, c in enumerate(GRAPH_KEYS["node"])))
     e = edges.select(bare("_source").alias("src_id"), bare("_target").alias("tgt_id"), F.coalesce(value("d3").cast("double"), F.lit(0.0)).alias("weight"), *(bare(value(f"d{i + 3}")).alias(c) for i, c in enumerate(GRAPH_KEYS["edge"]) if c != "weight"))
     return n, e
 
 
+#: What can't stand in a line of GraphML as it is.
+ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\t", "&#9;"), ("\n", "&#10;"), ("\r", "&#13;"))
+
+
 def graph_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The elements of a GraphML file as text rows, to be written between its head and foot."""
-    esc = lambda c: F.replace(F.replace(F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    """The elements of a GraphML file as text rows, each one line, to be written between its head and foot."""
+
+    def esc(c: Column) -> Column:
+        out = c.cast("string")
+        for char, name in ESCAPES:
+            out = F.replace(out, F.lit(char), F.lit(name))
+        return out
+
     data = lambda cols, first: F.concat(*(F.concat(F.lit(f'<data key="d{i + first}">'), F.coalesce(esc(F.col(c)), F.lit("")), F.lit("</data>")) for i, c in enumerate(cols)))
     n = nodes.select(F.concat(F.lit('<node id="'), esc(F.col("entity_name")), F.lit('">'), data(GRAPH_KEYS["node"], 0), F.lit("</node>")).alias("value"))
     e = edges.select(F.concat(F.lit('<edge source="'), esc(F.col("src_id")), F.lit('" target="'), esc(F.col("tgt_id")), F.lit('">'), data(GRAPH_KEYS["edge"], 3), F.lit("</edge>")).alias("value"))
@@ -112,7 +138,7 @@ def graph_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """A GraphML document in parts: the text files below path, in the order of their names, are one document."""
+    """A GraphML document in parts: the text files below path, in the order of their names, are one document with an element a line."""
     keys = "".join(f'<key id="d{i}" for="{kind}" attr.name="{name}" attr.type="{"double" if name == "weight" else "string"}"/>' for i, (kind, name) in enumerate((k, c) for k, names in GRAPH_KEYS.items() for c in names))
     head = f'<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">{keys}<graph edgedefault="undirected">'
     ends = nodes.sparkSession.createDataFrame([(0, head), (2, "</graph></graphml>")], "_o int, value string")

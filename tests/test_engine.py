@@ -64,6 +64,26 @@ def test_graph_files(spark, tmp_path):
     assert edges.first().weight == 2.5
 
 
+def test_graph_files_in_parts(spark, tmp_path):
+    said = ['say "x" & <y>', "two\nlines\r\n\tand more", "plain"]
+    n = spark.createDataFrame([(f"N{i:03}", "T", said[i % 3], "c1") for i in range(200)], "entity_name string, entity_type string, description string, source_id string")
+    e = spark.createDataFrame([(f"N{i:03}", f"N{i + 1:03}", float(i), said[i % 3], "k", "c1") for i in range(199)], "src_id string, tgt_id string, weight double, description string, keywords string, source_id string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files.write_graph(n, e, f"{tmp_path}/g")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "g").glob("part-*"))
+    assert len(parts) > 2
+    rows = lambda t: sorted(tuple(r) for r in t.collect())
+    got = files.read_graph(spark, f"{tmp_path}/g")
+    assert [rows(t) for t in got] == [rows(n), rows(e)]
+    # together the parts are one document, which needs no lines
+    f = tmp_path / "whole.graphml"
+    f.write_text("".join(p.read_text() for p in parts).replace("<data ", "\n  <data "))
+    whole = files.read_graph(spark, str(f))
+    assert [t.count() for t in whole] == [200, 199]
+    assert whole[1].agg({"weight": "sum"}).first()[0] == sum(range(199))
+
+
 def test_folders_and_json(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.TXT").write_text("hello")
