@@ -69,7 +69,10 @@ def clean_html(c: pd.Series) -> pd.Series:
 def split_markers(c: Column, *markers: str) -> Column:
     """Pieces between any of the markers, stripped, without empty ones."""
     parts = F.split(c, "|".join(map(quoted, markers)))
-    return F.filter(F.transform(parts, strip), lambda x: x != "")
+    # trimming walks through the whole piece, so one without white space at its ends is left alone
+    space = lambda x, at: F.lit(SPACES).contains(F.substring(x, at, 1))
+    stripped = lambda x: F.when(space(x, 1) | space(x, -1), strip(x)).otherwise(x)
+    return F.filter(F.transform(parts, stripped), lambda x: x != "")
 
 
 def words(c: Column) -> Column:

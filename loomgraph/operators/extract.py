@@ -38,6 +38,28 @@ def relations(recs: DataFrame, chunk: str = "chunk_id") -> DataFrame:
     )
 
 
+def said(answers: DataFrame, chunk: str = "chunk_id") -> DataFrame:
+    """Entity and relation records of answers in one table, so that answers are taken apart once: what `said_entities` and `said_relations` take from it is what `entities` and `relations` give.
+
+    linked: false for an entity (a: its name, b: its type), true for a relation (a, b: its ends, keywords, weight).
+    """
+    a = F.col("attrs")
+    marker = F.get(a, F.lit(0))
+    ok = records(answers).where(((F.size(a) >= 4) & (marker == '"entity"')) | ((F.size(a) >= 5) & (marker == '"relationship"')))
+    return ok.select(
+        (marker == '"relationship"').alias("linked"), clean(F.upper(a[1])).alias("a"), clean(F.upper(a[2])).alias("b"), clean(a[3]).alias("description"),
+        F.when(marker == '"relationship"', clean(a[4])).alias("keywords"), F.when(marker == '"relationship"', weight(F.element_at(a, -1))).alias("weight"), F.col(chunk).alias("source_id"), "ord",
+    )
+
+
+def said_entities(rows: DataFrame) -> DataFrame:
+    return rows.where("NOT linked AND trim(a) <> ''").select(F.col("a").alias("entity_name"), F.col("b").alias("entity_type"), "description", "source_id", "ord")
+
+
+def said_relations(rows: DataFrame) -> DataFrame:
+    return rows.where("linked").select(F.col("a").alias("src_id"), F.col("b").alias("tgt_id"), "description", "keywords", "weight", "source_id", "ord")
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Edges with src_id <= tgt_id."""
     return edges.withColumns({"src_id": F.least("src_id", "tgt_id"), "tgt_id": F.greatest("src_id", "tgt_id")})

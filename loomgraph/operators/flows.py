@@ -55,14 +55,13 @@ def extract_graph(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _sets(new: DataFrame, old: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """The fields' values by key, new ones and those that old rows hold joined, as sets joined again."""
-    each = lambda t, f, v: t.select(*keys, F.lit(f).alias("_f"), v.alias("_v"))
-    rows = None
+    """The fields' values by key, new ones and those that old rows hold joined, as sets joined again. All fields of a new row go through one shuffle."""
+    value = lambda c: F.nullif(c, F.lit(""))
+    rows = new.select(*keys, *(value(F.col(f)).alias(f) for f in fields))
     for f in fields:
-        part = each(new, f, F.col(f)).unionByName(each(old, f, F.explode(F.split(F.col(f), quoted(FIELD_SEP)))))
-        rows = part if rows is None else rows.unionByName(part)
-    rows = rows.where(F.col("_v") != "").distinct()
-    return rows.groupBy(*keys).agg(*(merge.joined(F.collect_set(F.when(F.col("_f") == f, F.col("_v")))).alias(f) for f in fields))
+        held = F.explode(F.split(F.col(f), quoted(FIELD_SEP)))
+        rows = rows.unionByName(old.select(*keys, held.alias(f)).select(*keys, value(F.col(f)).alias(f)), allowMissingColumns=True)
+    return rows.where(F.coalesce(*fields).isNotNull()).groupBy(*keys).agg(*(merge.joined(F.collect_set(f)).alias(f) for f in fields))
 
 
 def extract_into(answers: DataFrame, nodes: DataFrame, edges: DataFrame, tokens: Column | None = None, summarise: Column | None = None, least: int = 500) -> tuple[DataFrame, DataFrame]:
@@ -70,9 +69,10 @@ def extract_into(answers: DataFrame, nodes: DataFrame, edges: DataFrame, tokens:
 
     Types are voted on by all new records and one vote of the stored node, which loses ties; descriptions and sources are united, weights
     added; endpoints that neither side describes become nodes. With `summarise`, descriptions of `least` tokens or more go through it.
+    Answers are taken apart once; their records are a table in the shared folder.
     """
-    recs = extract.records(answers)
-    return merge_into(extract.entities(recs), extract.relations(recs), nodes, edges, tokens, summarise, least)
+    rows = materialize(extract.said(answers))
+    return merge_into(extract.said_entities(rows), extract.said_relations(rows), nodes, edges, tokens, summarise, least)
 
 
 def merge_into(found: DataFrame, links: DataFrame, nodes: DataFrame, edges: DataFrame, tokens: Column | None = None, summarise: Column | None = None, least: int = 500) -> tuple[DataFrame, DataFrame]:
@@ -84,9 +84,11 @@ def merge_into(found: DataFrame, links: DataFrame, nodes: DataFrame, edges: Data
     n = kind.join(_sets(found, nodes, ["entity_name"], ["description", "source_id"]), "entity_name", "left")
     old = extract.undirected(edges)
     pair = ["src_id", "tgt_id"]
-    weight = links.select(*pair, "weight").unionByName(old.select(*pair, "weight")).groupBy(*pair).agg(F.sum("weight").alias("weight"))
-    e = weight.join(_sets(links, old, pair, ["description", "keywords", "source_id"]), pair, "left")
-    n = n.unionByName(merge.missing_endpoints(n, e))
+    weight = lambda new, old: new.select(*pair, "weight").unionByName(old.select(*pair, "weight")).groupBy(*pair).agg(F.sum("weight").alias("weight"))
+    e = weight(links, old).join(_sets(links, old, pair, ["description", "keywords", "source_id"]), pair, "left")
+    few = merge.undescribed(votes.select("entity_name").distinct(), links, old)
+    ends = weight(*few).join(_sets(*few, pair, ["description", "source_id"]), pair, "left")
+    n = n.unionByName(merge.missing_endpoints(n, ends))
     if summarise is not None:
         n, e = (merge.summarised(t, tokens, summarise, least) for t in (n, e))
     return n, e

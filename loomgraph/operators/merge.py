@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import FIELD_SEP, content_id
+from ..scratch import materialize
 from .extract import undirected
 
 
@@ -49,6 +52,19 @@ def missing_endpoints(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
     return first.select("entity_name", F.lit('"UNKNOWN"').alias("entity_type"), "e.description", "e.source_id")
 
 
+def undescribed(named: DataFrame, *links: DataFrame) -> list[DataFrame]:
+    """Those rows of each of links (src_id, tgt_id and more, any number for a pair) that have an end among the names that `named` (entity_name) lacks: all that `missing_endpoints` needs.
+
+    Such names are few, so they are found first, and what is joined to them is filtered and not merged as a whole.
+    """
+    ends = reduce(DataFrame.unionByName, (t.select(F.explode(F.array("src_id", "tgt_id")).alias("_end")) for t in links)).distinct()
+    lone = materialize(ends.join(named.select(F.col("entity_name").alias("_end")), "_end", "left_anti"))
+    if lone.isEmpty():
+        return [t.where(F.lit(False)) for t in links]
+    at = lambda t, end, how: t.join(lone.withColumnRenamed("_end", end), end, how).select(*t.columns)
+    return [at(t, "src_id", "left_semi").unionByName(at(at(t, "tgt_id", "left_semi"), "src_id", "left_anti")) for t in links]
+
+
 def summarised(rows: DataFrame, tokens: Column, summarise: Column, least: int = 500) -> DataFrame:
     """Descriptions of `least` tokens or more put through a summariser."""
     return rows.withColumn("description", F.when(tokens < least, F.col("description")).otherwise(summarise))

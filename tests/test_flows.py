@@ -20,6 +20,17 @@ def test_questions_and_graph(spark):
     assert edges.first().weight == 3.0
 
 
+def test_answers_are_taken_apart_once(spark):
+    a = spark.createDataFrame([("c1", '("entity"<|>"a"<|>"t"<|>"d")##("relationship"<|>"a"<|>"z"<|>"r"<|>"k"<|>3)')], "chunk_id string, answer string")
+    n = spark.createDataFrame([('"A"', '"OLD"', "x<SEP>d", "s1")], "entity_name string, entity_type string, description string, source_id string")
+    e = spark.createDataFrame([('"FAR"', '"A"', 2.0, "r", "", "s1")], "src_id string, tgt_id string, weight double, description string, keywords string, source_id string")
+    nodes, edges = flows.extract_into(a, n, e)
+    for t in (nodes, edges):
+        assert "regexp_extract" not in t._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.entity_name: (r.entity_type, r.description, r.source_id) for r in nodes.collect()} == {'"A"': ('"T"', '"d"<SEP>d<SEP>x', "c1<SEP>s1"), '"Z"': ('"UNKNOWN"', '"r"', "c1"), '"FAR"': ('"UNKNOWN"', "r", "s1")}
+    assert {(r.src_id, r.tgt_id): r.weight for r in edges.collect()} == {('"A"', '"Z"'): 3.0, ('"A"', '"FAR"'): 2.0}
+
+
 def test_chunks_and_batches(spark):
     p = spark.createDataFrame([(0, " a "), (1, "b"), (2, "a")], "ord int, content string")
     doc, c = flows.custom_chunks("a b a", p)
