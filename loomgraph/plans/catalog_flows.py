@@ -182,7 +182,8 @@ def _into(spark, d):
 def _streamed(spark, d):
     """The answers of all order lines, as four files that come one after another, merged by the stream; numbers of lines that come twice count twice."""
     folder = scratch(spark)
-    answers(spark, d).repartition(4, "chunk_id").write.parquet(f"{folder}/answers")
+    # row groups of 8 MB, so that several tasks read a file
+    answers(spark, d).repartition(4, "chunk_id").write.option("parquet.block.size", 8 << 20).parquet(f"{folder}/answers")
     stream = spark.readStream.schema("chunk_id string, answer string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/answers")
     stream_graph.merge_stream(stream, folder, once=False).trigger(availableNow=True).start().awaitTermination()
     return stream_graph.read_graph(spark, folder)

@@ -85,6 +85,16 @@ def test_a_replayed_batch_adds_nothing(spark, tmp_path):
     assert [rows(t) for t in G.read_graph(spark, f"{tmp_path}/g")] == before
 
 
+def test_a_batch_holds_no_state_of_members(spark, tmp_path):
+    put(spark, tmp_path, 0, said(5, 1))
+    put(spark, tmp_path, 1, said(5, 1))
+    run(spark, tmp_path, once=False)
+    assert not (tmp_path / "g/progress/state").exists()
+    one, both = (flows.extract_graph(spark.createDataFrame(said(5, 1) * n, ANSWER)) for n in (1, 2))
+    got = G.read_graph(spark, f"{tmp_path}/g")
+    assert [rows(t) for t in got] == [rows(t) for t in both] and rows(got[0]) == rows(one[0])
+
+
 def test_graph_that_was_there_before(spark, tmp_path):
     nodes = spark.createDataFrame([('"N1"', '"OLD"', "d1<SEP>x", "s1"), ('"FAR"', '"OLD"', "y", "s2")], "entity_name string, entity_type string, description string, source_id string")
     edges = spark.createDataFrame([('"N2"', '"N1"', 2.5, "r", "k", "s1<SEP>s2"), ('"FAR"', '"GONE"', None, "r", "", "s3")], "src_id string, tgt_id string, weight double, description string, keywords string, source_id string")
