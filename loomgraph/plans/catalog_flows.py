@@ -14,7 +14,7 @@ from ..scratch import scratch
 from ..sources import files
 from ..streaming import graph as stream_graph
 from ..streaming.ingest import scan_stream, sessions, windowed_counts
-from .catalog_graph import CL, COS, EDGES, GLOBAL, ENDS, NAIVE, REC, _naive, best, edges, given_clusters, global_kept, nodes, predictions, records, sharing
+from .catalog_graph import CL, COS, EDGES, GLOBAL, ENDS, NAIVE, REC, _naive, best, described_edges, edges, given_clusters, global_kept, nodes, predictions, records, sharing
 from .catalog_text import WORDS, answers, table
 from .engine import Engine
 
@@ -307,7 +307,7 @@ ed AS (SELECT DISTINCT level, cluster, 1 AS kind, least(b.node, neighbour) || '
 r AS (SELECT *, sum(tokens) OVER (PARTITION BY level, cluster, kind ORDER BY rank DESC, name) AS s FROM (SELECT * FROM nd UNION ALL SELECT * FROM ed)) SELECT level, cluster, md5(string_agg(name, ',' ORDER BY name)) AS report FROM r WHERE s <= 50 GROUP BY 1, 2""")
 def reports_by_level(spark, d):
     """Reports of all communities, the deepest level first, by a stand-in for the model: the names that a report would be written from."""
-    e = graph.edge_degrees(edges(spark, d)).withColumn("tokens", F.lit(5))
+    e = graph.edge_degrees(described_edges(spark, d)).withColumn("tokens", F.lit(5))
     n = graph.degrees(e).select(F.col("node").alias("entity_name"), "degree", F.lit(3).alias("tokens"), F.lit("").alias("description"))
     write = lambda rows: rows.groupBy("level", "cluster").agg(F.md5(F.array_join(F.array_sort(F.collect_list("name")), ",")).alias("report"))
     return flows.report_levels(given_clusters(spark, d), n, e.select("src_id", "tgt_id", "rank", "tokens", "description"), write, 100)

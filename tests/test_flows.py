@@ -1,6 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
-from loomgraph.operators import flows
+from loomgraph.operators import community, flows, tables
 
 
 def test_questions_and_graph(spark):
@@ -99,3 +101,30 @@ def test_reports_stand_in_for_what_does_not_fit(spark):
     seen.clear()
     flows.report_levels(c, n, e, write, 22)
     assert seen[0, "x"][-3:] == [("node", "a"), ("node", "b"), ("node", "c")]
+
+
+def test_a_large_key_is_cut_before_its_rows_meet(spark):
+    r = random.Random(5)
+    data = [(f"k{r.randrange(3)}", i, r.choice([0, 0, 1, 2, 7, None])) for i in range(400)]
+    t = spark.createDataFrame(data, "k string, o int, tokens int")
+    got = tables.within_budget(t, [F.desc("o")], F.col("tokens"), 20, ["k"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan[plan.index("Exchange"):]
+    want = []
+    for k in ("k0", "k1", "k2"):
+        total, any_ = 0, False
+        for row in sorted((x for x in data if x[0] == k), key=lambda x: -x[1]):
+            total, any_ = total + (row[2] or 0), any_ or row[2] is not None
+            if any_ and total <= 20:
+                want.append(row)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_lines_of_edges_that_are_stored_twice(spark):
+    c = spark.createDataFrame([(x, level, k) for x, k in zip("abcd", "xxyy", strict=True) for level in (0, 1)], "entity_name string, level int, cluster string")
+    n = spark.createDataFrame([(x, "d", 1, 2) for x in "abcd"], "entity_name string, description string, degree long, tokens int")
+    e = spark.createDataFrame([("a", "b", "d", 2, 3), ("b", "a", "d", 2, 3), ("b", "c", "e", 4, 3), ("d", "d", "l", 1, 3), ("a", "z", "d", 1, 3)], "src_id string, tgt_id string, description string, rank long, tokens int")
+    got = sorted((r.level, r.cluster, r.ord, r.name) for r in community.describe(c, n, e, 1000).collect() if r.kind == "edge")
+    assert got == [(v, k, i, x) for v in (0, 1) for k, names in (("x", ["b -> c", "a -> b", "a -> z"]), ("y", ["b -> c", "d -> d"])) for i, x in enumerate(names)]
+    covered = {(r.cluster, r.name) for r in community._lines(c, n, e, spark.createDataFrame([("b", 0, "x")], "entity_name string, level int, cluster string")).collect() if r.covered}
+    assert covered == {("x", "b"), ("x", "a -> b"), ("x", "b -> c")}
