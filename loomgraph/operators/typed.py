@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, json_body, let
-from ..scratch import stored
+from ..scratch import materialize, stored, tidy
 from . import extract, merge
 
 ENTITY = "struct<entity_name:string,entity_type:string,description:string,importance_score:double>"
@@ -47,23 +47,27 @@ def parsed(answer: Column) -> Column:
     return let(F.from_json(json_body(answer), FOUND), fit)
 
 
-def _turn(todo: DataFrame, path: str, ask: Callable[[DataFrame, Column], DataFrame], retries: int, batches: int) -> DataFrame:
-    """(id, found) of a turn for todo's ids, found null where no attempt gave records. What the path holds isn't asked again.
+def _turn(ids: DataFrame, todo: DataFrame, path: str, ask: Callable[[DataFrame, Column], DataFrame], retries: int, batches: int) -> DataFrame:
+    """(id, found) of a turn for the ids, whose rows `todo` holds; found null where no attempt gave records. What the path holds isn't asked again.
 
-    Each batch of each attempt is one job, whose rows are stored when it ends: that is what a lost driver can lose.
+    Each batch of each attempt is one job, whose rows are stored when it ends: that is what a lost driver can lose. What is left for an attempt is found by the ids
+    alone, without their contents.
     """
     spark = todo.sparkSession
     for attempt in range(retries + 1):
-        had = stored(spark, path, TURN)
-        settled = had.where(F.col("found").isNotNull() | (F.col("attempt") >= attempt)).select("id").distinct()
-        left = todo.join(settled, "id", "left_anti")
-        if left.isEmpty():
-            continue
+        had, left = stored(spark, path, TURN), todo
+        if not had.isEmpty():
+            settled = had.where(F.col("found").isNotNull() | (F.col("attempt") >= attempt)).select("id")
+            open_ = materialize(ids.join(settled, "id", "left_anti"))
+            if open_.isEmpty():
+                continue
+            left = todo.join(open_, "id", "left_semi")
         for b in range(batches):
             part = left.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == b) if batches > 1 else left
-            ask(part, F.lit(attempt)).write.mode("append").parquet(path)
+            with tidy(spark):
+                ask(part, F.lit(attempt)).write.mode("append").option("compression", "zstd").parquet(path)
     last = stored(spark, path, TURN).groupBy("id").agg(F.max_by("found", "attempt").alias("found"))
-    return last.join(todo.select("id"), "id", "left_semi")
+    return last.join(ids, "id", "left_semi")
 
 
 def extracted(chunks: DataFrame, model: Model, folder: str, turns: int = 1, retries: int = 3, batches: int = 1) -> DataFrame:
@@ -77,6 +81,8 @@ def extracted(chunks: DataFrame, model: Model, folder: str, turns: int = 1, retr
     if turns < 0 or retries < 0 or batches < 1:
         raise ValueError("turns and retries can't be negative, and there is one batch at least")
     c = chunks.select("id", F.coalesce("content", F.lit("")).alias("content")).where(F.col("id").isNotNull()).dropDuplicates(["id"])
+    c = materialize(c)  # each turn and attempt reads the chunks, which may be the result of a long plan
+    ids = c.select("id")
     nothing = F.from_json(F.lit('{"entities": [], "relationships": []}'), FOUND)
 
     def first(todo: DataFrame, attempt: Column) -> DataFrame:
@@ -87,10 +93,10 @@ def extracted(chunks: DataFrame, model: Model, folder: str, turns: int = 1, retr
         answer = model.refine(F.col("content"), F.col("current"), F.col("critique"), attempt)
         return said.select("id", attempt.alias("attempt"), "critique", parsed(answer).alias("found"))
 
-    now = _turn(c, f"{folder}/extract", first, retries, batches).select("id", F.coalesce("found", nothing).alias("found"))
+    now = _turn(ids, c, f"{folder}/extract", first, retries, batches).select("id", F.coalesce("found", nothing).alias("found"))
     for t in range(turns):
         todo = c.join(now.select("id", F.to_json("found").alias("current")), "id")
-        new = _turn(todo, f"{folder}/refine-{t}", again, retries, batches)
+        new = _turn(ids, todo, f"{folder}/refine-{t}", again, retries, batches)
         now = now.join(new.withColumnRenamed("found", "_new"), "id").select("id", F.coalesce("_new", "found").alias("found"))
     return now
 
@@ -113,4 +119,5 @@ def graph_of(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 def write_examples(chunks: DataFrame, found: DataFrame, path: str) -> None:
     """Training examples as lines of JSON: content, entities and relationships of the chunks that have one of each at least."""
     both = chunks.select("id", "content").join(found.select("id", "found.entities", "found.relationships"), "id")
-    extract.training_examples(both).drop("id").write.json(path)
+    with tidy(chunks.sparkSession):
+        extract.training_examples(both).drop("id").write.option("compression", "gzip").json(path)

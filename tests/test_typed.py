@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.operators import typed
+from loomgraph.scratch import CLEANUP, tidy
 
 E1 = {"entity_name": " ann &amp; co ", "entity_type": "org", "description": "d", "importance_score": 0.5}
 E2 = {"entity_name": "bob", "entity_type": "person", "description": "e", "importance_score": 1}
@@ -86,3 +87,14 @@ def test_graph_and_examples(spark, tmp_path):
     assert sorted(r.content for r in back.collect()) == ["a", "b"] and sorted(back.columns) == ["content", "entities", "relationships"]
     empty = typed.graph_of(found.limit(0))
     assert empty[0].count() == 0 and empty[1].count() == 0
+
+
+def test_examples_are_compressed_and_the_session_stays_as_it_was(spark, tmp_path):
+    chunks = spark.createDataFrame([("1", "a"), ("2", "b")], "id string, content string")
+    found = spark.createDataFrame([("1", ([E1], [R1])), ("2", ([E1], []))], f"id string, found {typed.FOUND}")
+    typed.write_examples(chunks, found, f"{tmp_path}/examples")
+    assert list((tmp_path / "examples").glob("part-*.json.gz")) and spark.read.json(f"{tmp_path}/examples").count() == 1
+    before = spark.conf.get(CLEANUP)
+    with tidy(spark):
+        assert spark.conf.get(CLEANUP) == "true"
+    assert spark.conf.get(CLEANUP) == before
