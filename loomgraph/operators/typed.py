@@ -110,7 +110,7 @@ def records(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def graph_of(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and directed edges of (id, found): weights summed, the smallest order, endpoints without a record included."""
-    entities, links = records(found)
+    entities, links = records(materialize(found))  # nodes and edges read it several times, and it is the result of a long plan
     edges = merge.edges(links.withColumn("keywords", F.lit("")), directed=True)
     nodes = merge.nodes(entities, ["source_id", "ord"])
     return nodes.unionByName(merge.missing_endpoints(nodes, edges)), edges
